@@ -101,11 +101,11 @@ def neighbours(products: DataFrame, k: int = 4) -> DataFrame:
         "category", "performance", F.explode(F.sequence(F.col("position") - k, F.col("position") + k)).alias("position")
     )
     near = around.join(
-        levels.select(F.col("category").alias("_c"), F.col("performance").alias("near"), "position"), "position"
-    ).filter(F.col("category") == F.col("_c"))
+        levels.select("category", F.col("performance").alias("near"), "position"), ["category", "position"]
+    )
     choices = near.join(
-        members.select(F.col("category").alias("_c2"), F.col("performance").alias("near"), F.col("product_id").alias("other")), "near"
-    ).filter(F.col("category") == F.col("_c2"))
+        members.select("category", F.col("performance").alias("near"), F.col("product_id").alias("other")), ["category", "near"]
+    )
     gap = F.abs(F.col("near") - F.col("performance"))
     shortlist = choices.groupBy("category", "performance").agg(
         F.array_sort(F.collect_list(F.struct(gap.alias("gap"), F.col("other").alias("product_id")))).alias("near")
