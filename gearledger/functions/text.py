@@ -12,6 +12,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 COMBINING = "[\\u0300-\\u036f]"
 
@@ -52,7 +53,7 @@ def fold_text(text: Column, form: str = "NFKD") -> Column:
     return F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exact(values: pd.Series) -> pd.Series:
     """Opt-in Arrow version of :func:`fold_text` that also expands ligatures and fractions."""
     kept = values.fillna("").map(

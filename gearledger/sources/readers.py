@@ -80,7 +80,7 @@ def read_id_database(spark: SparkSession, path: str) -> DataFrame:
     sizes = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("path", "block", "first", "offset")
-    return lines.join(F.broadcast(offsets), ["path", "block"]).select(
+    return lines.join(offsets, ["path", "block"]).select(
         "path", (F.col("offset") + F.col("line_no") - F.col("first")).alias("line_no"), "line"
     )
 
