@@ -102,7 +102,7 @@ def value_median(products: DataFrame) -> DataFrame:
     ).filter(F.col("score").isNotNull())
     histogram = scored.groupBy("category", "score").agg(F.count("*").alias("frequency"))
     return histogram.groupBy("category").agg(
-        js_round(F.percentile("score", 0.5, "frequency")).alias("median_score"), F.sum("frequency").alias("scored")
+        js_round(F.percentile("score", 0.5, F.col("frequency"))).alias("median_score"), F.sum("frequency").alias("scored")
     )
 
 
