@@ -58,8 +58,11 @@ def relevance(document: Column, q: str) -> Column:
     """Sum over query words of ``1 - 1/(1+tf)``; only the order it gives is used."""
     words = F.split(document, " ")
     terms = dict.fromkeys(w for g in query_groups(q) for w in g)
-    gains = [1 - F.lit(1.0) / (1 + F.size(F.filter(words, lambda x, w=w: x == w))) for w in terms]
-    return sum(gains, start=F.lit(0.0))
+
+    def gain(term: str) -> Column:
+        return 1 - F.lit(1.0) / (1 + F.size(F.filter(words, lambda x: x == term)))
+
+    return sum((gain(t) for t in terms), start=F.lit(0.0))
 
 
 def _predicates(q, category, brand, socket, capacity) -> list[Column]:

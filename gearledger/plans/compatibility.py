@@ -241,7 +241,10 @@ def check_builds(builds: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def _verdict_columns(checks: Column) -> list[Column]:
-    counts = {s: F.size(F.filter(checks, lambda c, s=s: c["status"] == s)).cast("bigint") for s in STATUSES}
+    def count(status: str) -> Column:
+        return F.size(F.filter(checks, lambda c: c["status"] == status)).cast("bigint")
+
+    counts = {s: count(s) for s in STATUSES}
     only_empty = (F.size(checks) == 1) & (F.get(checks, 0)["rule"] == "empty")
     status = (
         F.when(only_empty, "unknown").when(counts["error"] > 0, "error").when(counts["warning"] > 0, "warning")
