@@ -116,7 +116,7 @@ def normalize_open_db(records: DataFrame) -> DataFrame:
     get = lambda path, kind="string": F.try_variant_get(F.col("data"), path, kind)
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))
     numbers = F.array_distinct(F.filter(
-        F.transform(F.coalesce(get("$.metadata.part_numbers", "array<string>"), F.array().cast("array<string>")), F.trim),
+        F.transform(F.coalesce(get("$.metadata.part_numbers", "array<string>"), F.array().cast("array<string>")), lambda n: F.trim(n)),
         lambda n: n != "",
     ))
     folder = F.col("folder")
