@@ -296,9 +296,9 @@ ORACLES = {
       SELECT CAST(l_suppkey AS VARCHAR) AS component_id, string_agg(DISTINCT n, ',' ORDER BY n) AS part_numbers FROM u GROUP BY l_suppkey""",
     "duplicate_pairs": f"""WITH {_GROUPS},
       p AS (SELECT a.id AS x, b.id AS y, a.copies AS cx, b.copies AS cy, len(list_intersect(a.words, b.words)) AS shared, len(a.words) + len(b.words) AS total,
-          len(list_filter(a.nums, lambda m: len(list_filter(b.nums, lambda o: starts_with(m, o) OR starts_with(o, m))) > 0)) > 0 AS linked
+          len(list_filter(a.nums, lambda m: len(list_filter(b.nums, lambda o: starts_with(m, o) OR starts_with(o, m))) > 0)) > 0 AS linked0
         FROM g a JOIN g b ON a.brand = b.brand AND a.id < b.id),
-      s AS (SELECT *, CAST(shared AS DOUBLE) / (total - shared) AS j FROM p),
+      s AS (SELECT *, coalesce(linked0, false) AS linked, CAST(shared AS DOUBLE) / (total - shared) AS j FROM p),
       t AS (SELECT *, least(99e-2, round(j * 85e-2 + CASE WHEN linked THEN 15e-2 ELSE 0e0 END, 4)) AS score FROM s)
       SELECT x AS left_id, y AS right_id, cx AS left_copies, cy AS right_copies, round(j, 6) AS jaccard, linked, score FROM t WHERE score >= 0.6""",
     "duplicate_copies": f"WITH {_GROUPS} SELECT g.id AS representative, n.record_id, copies FROM n JOIN g ON n.brand = g.brand AND n.words = g.words WHERE n.record_id <> g.id",
