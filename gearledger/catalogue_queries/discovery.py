@@ -15,8 +15,9 @@ from gearledger.plans import outline
 from gearledger.functions.text import fold_text
 
 QUERY_ROWS = f"""SELECT item_id AS query_id, {pick('item_id', 'cpu', 'gpu', 'motherboard', 'ram', 'psu', 'case', 'storage', 'cooling', 'expansion')} AS category,
-  {pick('item_id', 'Thand', 'Ereth', 'Of', 'Inst')} AS brand, text AS query FROM {{benchmark}}"""
-HITS = "SELECT doc_id % 40 AS query_id, CAST(doc_id AS STRING) AS external_id, source AS label, text AS description FROM {documents}"
+  {pick('item_id', 'The', 'De', 'Of', 'Und')} AS brand, text AS query FROM {{benchmark}}"""
+HITS = f"""SELECT doc_id % 40 AS query_id, CAST(doc_id AS STRING) AS external_id, source AS label,
+  text || {pick('doc_id', ' graphics', ' Ryzen', ' motherboard rog', '', ' memory', ' supply', ' o11', ' nvme', ' cooler', ' ethernet', ' dark rock')} AS description FROM {{documents}}"""
 SOURCE_ROWS = "SELECT 'src' || CAST(n_nationkey AS STRING) AS source_id, n_regionkey <> 2 AS enabled, CASE WHEN n_regionkey = 1 THEN 'manufacturer-index' ELSE 'open' END AS type FROM {nation}"
 REGISTERED = "SELECT DISTINCT CASE n_regionkey WHEN 0 THEN 'cpu' WHEN 1 THEN 'gpu' WHEN 2 THEN 'ram' ELSE 'psu' END AS category, 'Maker ' || CAST(n_nationkey % 7 AS STRING) AS brand, n_name AS query FROM {nation}"
 
@@ -236,7 +237,7 @@ HITS_SQL = f"""WITH q AS (SELECT *, {_WORDS('query')} AS qw, {_WORDS('brand')} A
   j AS (SELECT h.external_id, q.*, CAST(len(list_intersect(qw, w)) AS DOUBLE) / len(qw) AS o, len(list_intersect(bw, w)) > 0 AS b, len(list_intersect(cw, w)) > 0 AS c FROM h JOIN q ON h.query_id = q.query_id),
   s AS (SELECT *, CASE WHEN b THEN 42e-2 ELSE 0e0 END + least(33e-2, o * 4e-1) + CASE WHEN c THEN 25e-2 ELSE 0e0 END AS score FROM j)
   SELECT 'candidate-' || substr(sha1('wikidata:' || external_id || ':' || category), 1, 16) AS candidate_id, external_id, brand, category,
-    CASE WHEN score >= 72e-2 THEN 'Moyenne' ELSE 'Faible' END AS confidence, round(score, 2) AS score FROM s WHERE score >= 42e-2 AND (c OR o >= 65e-2)"""
+    CASE WHEN score >= 72e-2 THEN 'Moyenne' ELSE 'Faible' END AS confidence, CAST(round(CAST(CAST(score AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DOUBLE) AS score FROM s WHERE score >= 42e-2 AND (c OR o >= 65e-2)"""
 
 RUN_SQL = f"""WITH {_TRIAGE}, src AS ({plain_sql(SOURCE_ROWS)}), lab AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM labels)
   SELECT candidate_id, category, brand, triage, promotable, lane, duplicate,

@@ -171,7 +171,8 @@ DUPLICATES = """SELECT l_partkey AS left_id, l_suppkey AS right_id,
 
 # Candidates: documents, the first line is the label and the rest the description.
 CANDIDATES = f"""SELECT CAST(doc_id AS STRING) AS candidate_id, source AS source_id, CAST(doc_id AS STRING) AS external_id,
-  CASE WHEN source = 'src19' THEN 'hardware-identifier' ELSE 'product-candidate' END AS kind, text,
+  CASE WHEN source = 'src19' THEN 'hardware-identifier' ELSE 'product-candidate' END AS kind,
+  {pick('doc_id', 'AMD Ryzen 5 3600 ', 'NVIDIA GeForce RTX 4070 Ti ', 'Radeon 760M integrated ', '', 'GeForce Now cloud gaming ', 'Samsung 990 Pro ', 'NZXT H510 ', 'Carte série ', '', 'Intel Core i5-12400F ', '')} || text AS text,
   {pick('doc_id', 'cpu', 'gpu', 'motherboard', 'ram', 'psu', 'case', 'storage', 'cooling', 'expansion')} AS category,
   'Maker ' || lang AS brand, 'https://' || source || '.example.com/item/' || CAST(doc_id AS STRING) AS url
 FROM {{documents}}"""
