@@ -5,6 +5,8 @@ Flat markup is expected: a table inside a table or an element nested in another
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a value several times in ``body`` but compute it once per row."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def visible(html: Column) -> Column:
     """The page without comments, scripts and styles."""
     return F.regexp_replace(html, _HIDDEN, "")
@@ -49,12 +56,13 @@ def meta_map(html: Column) -> Column:
 
     entries = F.transform(_all(visible(html), "(?is)<meta\\b[^>]*>"), entry)
     kept = F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
-    # Later entries win: look each key up from the end instead of relying on duplicate map keys.
-    backwards = F.reverse(kept)
-    return F.map_from_entries(F.filter(
-        backwards,
-        lambda e, i: F.array_position(F.transform(backwards, lambda x: x["key"]), e["key"]) == i + 1,
-    ))
+
+    def last_of_each(backwards: Column) -> Column:
+        # Later entries win: each key is looked up from the end instead of relying on duplicate map keys.
+        return let(F.transform(backwards, lambda x: x["key"]), lambda keys: F.map_from_entries(
+            F.filter(backwards, lambda e, i: F.array_position(keys, e["key"]) == i + 1)))
+
+    return let(F.reverse(kept), last_of_each)
 
 
 def title(html: Column) -> Column:
@@ -81,7 +89,7 @@ def links(html: Column) -> Column:
         inner = F.regexp_replace(anchor, "(?is)^<a\\b[^>]*>|</a\\s*>$", "")
         heads = clean_markup(F.array_join(_all(inner, "(?is)<h([1-6])\\b[^>]*>(.*?)</h\\1\\s*>", 2), " "))
         pictured = F.regexp_replace(inner, "(?is)<img\\b[^>]*?\\balt\\s*=\\s*\"([^\"]*)\"[^>]*>", " $1 ")
-        text = F.when(heads != "", heads).otherwise(clean_markup(pictured))
+        text = F.coalesce(F.when(inner.rlike("(?i)<h[1-6]\\b"), let(heads, lambda h: F.nullif(h, F.lit("")))), clean_markup(pictured))
         return F.struct(i.alias("position"), attribute(opening, "href").alias("href"), text.alias("text"))
 
     anchors = _all(visible(html), "(?is)<a\\b[^>]*>.*?</a\\s*>")
@@ -118,60 +126,74 @@ def _table_rows(table: Column) -> Column:
     head_part = F.array_join(_all(table, "(?is)<thead\\b[^>]*>(.*?)</thead\\s*>", 1), " ")
     body_part = F.regexp_replace(table, "(?is)<thead\\b[^>]*>.*?</thead\\s*>", "")
     rows = F.concat(parse(_all(head_part, _TR, 1), True), parse(_all(body_part, _TR, 1), False))
-    filled = F.filter(rows, lambda r: F.exists(r["cells"], lambda c: c != ""))
     is_heading = lambda r: r["head"] | ((r["heads"] == F.size(r["cells"])) & (F.size(r["cells"]) >= 2))
-    headings, data = F.filter(filled, is_heading), F.filter(filled, lambda r: ~is_heading(r))
-    columns = F.coalesce(F.array_max(F.transform(headings, lambda r: F.size(r["cells"]))), F.lit(0))
-    pairs = F.transform(
-        F.filter(data, lambda r: F.size(r["cells"]) == 2),
-        lambda r: _row(F.get(r["cells"], 0), F.get(r["cells"], 1), "spec-table"),
-    )
-    # zip stops at the shorter side
-    names, values = F.get(headings, 0)["cells"], F.get(data, 0)["cells"]
-    width = F.least(F.size(names), F.size(values))
-    single = F.when(
-        (F.size(data) == 1) & (F.size(values) == columns),
-        _zip(F.slice(names, F.lit(1), width), F.slice(values, F.lit(1), width), "spec-table"),
-    )
-    return F.when(columns < 3, pairs).otherwise(F.coalesce(single, _no_rows()))
+
+    def read(parts: Column) -> Column:
+        headings, data = parts["headings"], parts["data"]
+        columns = F.coalesce(F.array_max(F.transform(headings, lambda r: F.size(r["cells"]))), F.lit(0))
+        pairs = F.transform(
+            F.filter(data, lambda r: F.size(r["cells"]) == 2),
+            lambda r: _row(F.get(r["cells"], 0), F.get(r["cells"], 1), "spec-table"),
+        )
+        # Names and values are paired up to the shorter side.
+        names, values = F.get(headings, 0)["cells"], F.get(data, 0)["cells"]
+        width = F.least(F.size(names), F.size(values))
+        single = F.when(
+            (F.size(data) == 1) & (F.size(values) == columns),
+            _zip(F.slice(names, F.lit(1), width), F.slice(values, F.lit(1), width), "spec-table"),
+        )
+        return F.when(columns < 3, pairs).otherwise(F.coalesce(single, _no_rows()))
+
+    filled = F.filter(rows, lambda r: F.exists(r["cells"], lambda c: c != ""))
+    split = let(filled, lambda f: F.struct(
+        F.filter(f, is_heading).alias("headings"), F.filter(f, lambda r: ~is_heading(r)).alias("data")))
+    return let(split, read)
 
 
 def _list_rows(block: Column) -> Column:
     """Pairs of a definition list; lists without any figure are navigation."""
-    kinds = F.transform(_all(block, _TERM, 1), F.lower)
-    texts = F.transform(_all(block, _TERM, 2), _cell_text)
-    items = F.arrays_zip(kinds.alias("kind"), texts.alias("text"))
-    pairs = F.transform(items, lambda x, i: F.struct(
-        x["kind"].alias("kind"), F.when(F.get(kinds, i - 1) == "dt", F.get(texts, i - 1)).alias("term"), x["text"].alias("text")
-    ))
-    kept = F.filter(pairs, lambda p: (p["kind"] == "dd") & F.coalesce(p["term"] != "", F.lit(False)))
-    rows = F.transform(kept, lambda p: _row(p["term"], p["text"], "definition-list"))
-    return F.when(F.exists(rows, lambda r: r["value"].rlike("\\d")), rows).otherwise(_no_rows())
+    items = F.zip_with(
+        _all(block, _TERM, 1), _all(block, _TERM, 2), lambda k, t: F.struct(F.lower(k).alias("kind"), _cell_text(t).alias("text")))
+
+    def read(x: Column) -> Column:
+        pairs = F.transform(x, lambda item, i: F.struct(
+            item["kind"].alias("kind"), F.when(F.get(x, i - 1)["kind"] == "dt", F.get(x, i - 1)["text"]).alias("term"), item["text"].alias("text")))
+        kept = F.filter(pairs, lambda p: (p["kind"] == "dd") & F.coalesce(p["term"] != "", F.lit(False)))
+        rows = F.transform(kept, lambda p: _row(p["term"], p["text"], "definition-list"))
+        return let(rows, lambda r: F.when(F.exists(r, lambda y: y["value"].rlike("\\d")), r).otherwise(_no_rows()))
+
+    return let(items, read)
 
 
 def layout_rows(html: Column) -> Column:
     """Label/value rows of tables, definition lists and labelled elements in document order."""
-    blocks = F.transform(_all(visible(html), _BLOCK), lambda b, i: F.struct(i.alias("at"), b.alias("html")))
     kind = lambda b: F.lower(F.regexp_extract(b["html"], "^<([A-Za-z0-9]+)", 1))
     opening = lambda b: F.lower(attribute(F.regexp_extract(b["html"], "(?s)^<[^>]*>", 0), "class"))
-    structured = F.transform(
-        F.filter(blocks, lambda b: kind(b).isin("table", "dl")),
-        lambda b: F.struct(b["at"].alias("at"), F.when(kind(b) == "table", _table_rows(b["html"])).otherwise(_list_rows(b["html"])).alias("rows")),
-    )
-    marked = F.transform(
-        F.filter(blocks, lambda b: ~kind(b).isin("table", "dl")),
-        lambda b: F.struct(
-            b["at"].alias("at"), opening(b).rlike("(^|[\\s_-])label([\\s_-]|$)").alias("label"),
-            _cell_text(F.regexp_replace(b["html"], "(?s)^<[^>]*>", "")).alias("text"),
-        ),
-    )
-    paired = F.transform(marked, lambda m, i: F.struct(
-        m["at"].alias("at"),
-        F.when(~m["label"] & F.coalesce(F.get(marked, i - 1)["label"], F.lit(False)),
-               F.array(_row(F.get(marked, i - 1)["text"], m["text"], "spec-list"))).otherwise(_no_rows()).alias("rows"),
-    ))
-    ordered = F.array_sort(F.concat(structured, paired))
-    return F.filter(F.flatten(F.transform(ordered, lambda b: b["rows"])), _acceptable)
+
+    def pair_up(marked: Column) -> Column:
+        return F.transform(marked, lambda m, i: F.struct(
+            m["at"].alias("at"),
+            F.when(~m["label"] & F.coalesce(F.get(marked, i - 1)["label"], F.lit(False)),
+                   F.array(_row(F.get(marked, i - 1)["text"], m["text"], "spec-list"))).otherwise(_no_rows()).alias("rows"),
+        ))
+
+    def read(blocks: Column) -> Column:
+        structured = F.transform(
+            F.filter(blocks, lambda b: b["kind"].isin("table", "dl")),
+            lambda b: F.struct(b["at"].alias("at"), F.when(b["kind"] == "table", _table_rows(b["html"])).otherwise(_list_rows(b["html"])).alias("rows")),
+        )
+        marked = F.transform(
+            F.filter(blocks, lambda b: ~b["kind"].isin("table", "dl")),
+            lambda b: F.struct(
+                b["at"].alias("at"), opening(b).rlike("(^|[\\s_-])label([\\s_-]|$)").alias("label"),
+                _cell_text(F.regexp_replace(b["html"], "(?s)^<[^>]*>", "")).alias("text"),
+            ),
+        )
+        ordered = F.array_sort(F.concat(structured, let(marked, pair_up)))
+        return F.filter(F.flatten(F.transform(ordered, lambda b: b["rows"])), _acceptable)
+
+    found = F.transform(_all(visible(html), _BLOCK), lambda b, i: F.struct(i.alias("at"), b.alias("html")))
+    return let(F.transform(found, lambda b: F.struct(b["at"].alias("at"), kind(b).alias("kind"), b["html"].alias("html"))), read)
 
 
 def _acceptable(row: Column) -> Column:
@@ -192,12 +214,15 @@ def json_nodes(html: Column) -> Column:
             kind(v).startswith("OBJECT"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
         ).when(kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(empty)
 
-    level = F.filter(F.transform(_all(html, _LD, 1), F.try_parse_json), lambda v: v.isNotNull())
-    levels = [level]
-    for _ in range(JSON_DEPTH):
-        level = F.flatten(F.transform(level, children))
-        levels.append(level)
-    return F.filter(F.concat(*levels), lambda v: kind(v).startswith("OBJECT"))
+    def deeper(acc: Column, _level: Column) -> Column:
+        return let(F.flatten(F.transform(acc["level"], children)), lambda nodes: F.struct(
+            F.concat(acc["found"], nodes).alias("found"), nodes.alias("level")))
+
+    first = F.filter(F.transform(_all(html, _LD, 1), F.try_parse_json), lambda v: v.isNotNull())
+    start = let(first, lambda nodes: F.struct(nodes.alias("found"), nodes.alias("level")))
+    nodes = F.aggregate(F.sequence(F.lit(1), F.lit(JSON_DEPTH)), start, deeper)["found"]
+    # Most pages carry no JSON-LD at all and skip the walk.
+    return F.when(html.rlike("(?i)ld\\+json"), F.filter(nodes, lambda v: kind(v).startswith("OBJECT"))).otherwise(empty)
 
 
 def _printed(v: Column) -> Column:
@@ -232,17 +257,20 @@ def property_value(prop: Column) -> Column:
 
 def json_rows(html: Column) -> Column:
     """Label/value rows of the JSON-LD properties of a page."""
-    rows = F.flatten(F.transform(json_nodes(html), lambda n: F.transform(
-        node_properties(n), lambda p: _row(clean_cell(property_name(p)), clean_cell(property_value(p)), "json-ld")
-    )))
+    def rows_of(node: Column) -> Column:
+        return F.transform(node_properties(node), lambda p: _row(clean_cell(property_name(p)), clean_cell(property_value(p)), "json-ld"))
+
+    rows = F.flatten(F.transform(json_nodes(html), rows_of))
     return F.filter(rows, lambda r: (r["field"] != "") & (r["value"] != "") & (F.length(r["field"]) <= NAME_LIMIT) & (F.length(r["value"]) <= VALUE_LIMIT))
 
 
 def prose_rows(html: Column) -> Column:
     """The page description as one row."""
-    metas = meta_map(html)
-    text = F.coalesce(*[F.nullif(clean_cell(metas[k]), F.lit("")) for k in ("og:description", "description")])
-    return F.when(text.isNotNull(), F.array(_row(F.lit("og:description"), F.substring(text, 1, VALUE_LIMIT), "meta"))).otherwise(_no_rows())
+    def describe(metas: Column) -> Column:
+        return F.coalesce(*[F.nullif(clean_cell(metas[k]), F.lit("")) for k in ("og:description", "description")])
+
+    return let(let(meta_map(html), describe), lambda text: F.when(
+        text.isNotNull(), F.array(_row(F.lit("og:description"), F.substring(text, 1, VALUE_LIMIT), "meta"))).otherwise(_no_rows()))
 
 
 def first_text(value: Column) -> Column:

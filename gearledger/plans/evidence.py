@@ -46,9 +46,16 @@ def parse_pages(pages: DataFrame, property_limit: int = PROPERTY_LIMIT) -> DataF
     ``pages`` keeps its columns, including ``url`` and ``html``; the html itself is dropped.
     """
     html = F.col("html")
+    def choose(products: Column) -> Column:
+        named = F.filter(products, lambda n: page.first_text(F.try_variant_get(n, "$.name", "variant")) != "")
+        return F.coalesce(F.get(named, 0), F.get(products, 0))
+
+    # Each reading of the page is a column of its own, so that it is done once however often it is used.
     products = F.filter(page.json_nodes(html), lambda n: F.coalesce(_is_product(n), F.lit(False)))
-    named = F.filter(products, lambda n: page.first_text(F.try_variant_get(n, "$.name", "variant")) != "")
-    found = pages.withColumn("_product", F.coalesce(F.get(named, 0), F.get(products, 0)))
+    found = pages.withColumns({
+        "_product": page.let(products, choose), "_metas": page.meta_map(html), "_link": page.canonical_href(html),
+        "_h1": page.first_heading(html), "_title": page.title(html),
+    })
     product = F.col("_product")
 
     def value(name: str, limit: int) -> Column:
@@ -60,9 +67,10 @@ def parse_pages(pages: DataFrame, property_limit: int = PROPERTY_LIMIT) -> DataF
         for n, v in [(n, value(n, 200)) for n in IDENTITY_FIELDS] + [("brand", brand)]
     ])
     identity = F.map_from_entries(F.filter(entries, lambda e: F.coalesce(e["value"] != "", F.lit(False))))
-    metas = page.meta_map(html)
-    first = lambda *options: F.coalesce(*[F.nullif(o, F.lit("")) for o in options], F.lit(""))
-    title = first(value("name", 200), clean_markup(metas["og:title"]), clean_markup(metas["twitter:title"]), page.first_heading(html), page.title(html))
+    metas = F.col("_metas")
+    filled = lambda o: page.let(o, lambda v: F.nullif(v, F.lit("")))
+    first = lambda *options: F.coalesce(*[filled(o) for o in options], F.lit(""))
+    title = first(value("name", 200), clean_markup(metas["og:title"]), clean_markup(metas["twitter:title"]), F.col("_h1"), F.col("_title"))
     description = first(value("description", 500), clean_markup(metas["og:description"]), clean_markup(metas["description"]))
     properties = F.transform(page.node_properties(product), lambda p: F.struct(
         F.substring(clean_markup(page.property_name(p)), 1, 120).alias("name"),
@@ -72,7 +80,7 @@ def parse_pages(pages: DataFrame, property_limit: int = PROPERTY_LIMIT) -> DataF
     return found.select(
         *[c for c in pages.columns if c != "html"],
         F.substring(title, 1, 240).alias("page_title"), F.substring(description, 1, 500).alias("page_description"),
-        F.when(page.canonical_href(html).isNotNull(), resolve(F.col("url"), page.canonical_href(html))).otherwise(F.col("url")).alias("canonical_url"),
+        F.when(F.col("_link").isNotNull(), resolve(F.col("url"), F.col("_link"))).otherwise(F.col("url")).alias("canonical_url"),
         F.when(product.isNotNull(), identity).otherwise(F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))).alias("identity"),
         F.coalesce(F.slice(kept, 1, property_limit), F.array().cast("array<struct<name:string,value:string>>")).alias("properties"),
         product.isNotNull().alias("structured"),
