@@ -53,10 +53,10 @@ def compilable(patterns: pd.Series) -> pd.Series:
 
 def _flag(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """One pass over a table for all its row rules; a rule without an answer counts as broken."""
-    broken = F.filter(
-        F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()]), lambda r: r.isNotNull()
-    )
-    return df.select(F.explode(broken).alias("rule"), F.col(key).cast("string").alias("subject"))
+    # Bounds may be scalar sub-queries, which a higher-order function cannot hold: the misses are dropped after the explode.
+    broken = F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()])
+    listed = df.select(F.col(key).cast("string").alias("subject"), broken.alias("_broken"))
+    return listed.select(F.explode("_broken").alias("rule"), "subject").filter(F.col("rule").isNotNull())
 
 
 def _repeated(df: DataFrame, key: list[str], rule: str) -> DataFrame:
