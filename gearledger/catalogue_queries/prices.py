@@ -41,7 +41,7 @@ P = plain_sql(PRODUCTS)
 SCORE = f"CASE WHEN performance <> 0 AND coalesce(used_price, new_price) <> 0 THEN {round_sql('performance / coalesce(used_price, new_price) * 100')} END"
 DROP = f"CASE WHEN launch_price IS NOT NULL AND new_price IS NOT NULL THEN {round_sql('(1 - new_price / launch_price) * 100')} END"
 
-TRACK_SQL = f"""WITH p AS (SELECT *, greatest(0, {YEAR} - year) AS span FROM ({P})),
+TRACK_SQL = f"""WITH p AS (SELECT *, CASE WHEN year IS NOT NULL THEN greatest(0, {YEAR} - year) END AS span FROM ({P})),
 a AS (SELECT *, CASE WHEN new_price > 0 THEN pow(new_price / launch_price, 1.0 / span) ELSE {_case(ANNUAL_RETENTION)} END AS retention
   FROM p WHERE launch_price IS NOT NULL AND year IS NOT NULL AND span > 0),
 s AS (SELECT *, unnest(range(1, span + 1)) AS step FROM a)
@@ -66,7 +66,7 @@ FROM (SELECT category, {SCORE} AS score FROM ({P})) WHERE score IS NOT NULL GROU
 
 INSIGHT_SQL = f"""WITH m AS ({MEDIAN_SQL}),
 b AS (SELECT p.product_id, p.category, new_price, used_price, {DROP} AS drop_percent, {SCORE} AS value_score, median_score,
-    greatest(0, {YEAR} - year) AS age, {_case(SERVICE_LIFE, 'p.category')} AS life, CASE WHEN p.category IN ('cpu', 'motherboard') THEN socket END AS socket
+    CASE WHEN year IS NOT NULL THEN greatest(0, {YEAR} - year) END AS age, {_case(SERVICE_LIFE, 'p.category')} AS life, CASE WHEN p.category IN ('cpu', 'motherboard') THEN socket END AS socket
   FROM ({P}) p LEFT JOIN m ON p.category = m.category),
 g AS (SELECT *, {round_sql('(value_score - median_score) / median_score * 100')} AS gap FROM b),
 f AS (SELECT *,
@@ -93,7 +93,7 @@ SELECT product_id, category,
   factors, drop_percent, value_score, median_score, age FROM w"""
 
 # Figures are written with exponents so that they are doubles and not exact decimals.
-APPRAISE_SQL = f"""WITH j AS (SELECT l.*, p.category, greatest(0, {YEAR} - p.year) AS age, new_price, used_price FROM ({plain_sql(LISTINGS)}) l
+APPRAISE_SQL = f"""WITH j AS (SELECT l.*, p.category, CASE WHEN p.year IS NOT NULL THEN greatest(0, {YEAR} - p.year) END AS age, new_price, used_price FROM ({plain_sql(LISTINGS)}) l
     JOIN ({P}) p ON l.product_id = p.product_id),
 e AS (SELECT *, greatest(0, price) + greatest(0, shipping) + greatest(0, protection) AS total,
     coalesce(used_price, CASE WHEN new_price <> 0 THEN new_price * greatest(25e-2, 84e-2 - coalesce(age, 0) * 55e-3) END) AS base,

@@ -70,7 +70,7 @@ def link_label(text: Column, url: Column, segment: Column) -> Column:
     position = F.when(segment >= 0, segment + 1).otherwise(size + segment + 1)
     position = F.when((position >= 1) & (position <= size), position).otherwise(size)
     # "+" is a literal character in a path, only %XX sequences are decoded.
-    decoded = F.try_url_decode(F.replace(F.try_element_at(parts, position.cast("int")), F.lit("+"), F.lit("%2B")))
+    decoded = F.try_url_decode(F.replace(F.get(parts, position.cast("int") - 1), F.lit("+"), F.lit("%2B")))
     slug = F.regexp_replace(decoded, "(?i)\\.(?:s?html?|php)$", "")
     words = F.trim(F.regexp_replace(slug, "[_-]", " "))
     return F.when(usable, caption).otherwise(F.coalesce(words, F.lit("")))

@@ -20,7 +20,8 @@ from gearledger.model.dimensions import (
 
 
 def age(year: Column, as_of_year: int) -> Column:
-    return F.greatest(F.lit(0), F.lit(as_of_year) - year)
+    # greatest() skips nulls: an unknown year must stay unknown.
+    return F.when(year.isNotNull(), F.greatest(F.lit(0), F.lit(as_of_year) - year))
 
 
 def drop_percent(launch: Column, current: Column) -> Column:
