@@ -52,16 +52,6 @@ def match_identity(records: DataFrame, components: DataFrame) -> DataFrame:
     ).select("record_id", "component_id")
 
 
-def match_tiers(records: DataFrame, sources: DataFrame, identifiers: DataFrame, components: DataFrame) -> DataFrame:
-    """First tier that hits, against the stored catalogue only. A tier only sees what earlier ones left over."""
-    first = match_source(records, sources).withColumn("tier", F.lit("source_record"))
-    left = records.join(first.select("record_id"), "record_id", "left_anti")
-    second = match_codes(left, identifiers).withColumn("tier", F.lit("code"))
-    left = left.join(second.select("record_id"), "record_id", "left_anti")
-    third = match_identity(left, components).withColumn("tier", F.lit("strict_identity"))
-    return first.unionByName(second).unionByName(third)
-
-
 def _record_keys(records: DataFrame) -> DataFrame:
     """All keys of a record in the order they are tried: (record_id, arrival, tier, rank, key)."""
     source = F.struct(F.lit(SOURCE).alias("tier"), F.lit(0).alias("rank"),
@@ -92,6 +82,21 @@ def _stored_holders(sources, identifiers, components) -> DataFrame | None:
     return stored.withColumn("at", F.lit(BEFORE_BATCH).cast("bigint"))
 
 
+def match_tiers(records: DataFrame, sources: DataFrame, identifiers: DataFrame, components: DataFrame) -> DataFrame:
+    """First tier that hits, against the stored catalogue only.
+
+    All keys of a record meet the stored keys in one join; the first usable one in trial order names the component.
+    """
+    stored = _stored_holders(sources, identifiers, components)
+    single = stored.groupBy("key").agg(F.min("component_id").alias("component_id"), F.max("component_id").alias("_last"))
+    hits = _record_keys(records).join(single, "key").filter(
+        (F.col("tier") == SOURCE) | (F.col("component_id") == F.col("_last"))
+    )
+    names = F.when(F.col("tier") == SOURCE, "source_record").when(F.col("tier") == CODE, "code").otherwise("strict_identity")
+    best = F.min_by(F.struct("component_id", names.alias("name")), F.struct("tier", "rank"))
+    return hits.groupBy("record_id").agg(best.alias("b")).select("record_id", "b.component_id", F.col("b.name").alias("tier"))
+
+
 def _first_two(holders: DataFrame) -> DataFrame:
     """First holder of each key and the arrival of the first holder that is another component."""
     arrivals = holders.groupBy("key", "component_id").agg(F.min("at").alias("at"))
