@@ -117,7 +117,7 @@ def _first_guess(keys: DataFrame, own: DataFrame, stored: DataFrame | None) -> D
     linked = keys.join(first, "key").filter(F.col("h.at") < F.col("arrival"))
     parents = linked.groupBy("record_id").agg(F.min_by("h", F.struct("tier", "rank")).alias("h"))
     guess = own.join(parents, "record_id", "left").select(
-        "record_id", "arrival", "own_id",
+        "record_id", "arrival", "own_id", F.col("h").isNull().alias("founder"),
         F.when(F.col("h").isNull(), F.col("own_id")).otherwise(F.col("h.component_id")).alias("component_id"),
         F.col("h.holder").alias("parent"),
     )
@@ -125,10 +125,10 @@ def _first_guess(keys: DataFrame, own: DataFrame, stored: DataFrame | None) -> D
     while not guess.filter(F.col("component_id").isNull()).isEmpty():
         target = guess.select(F.col("record_id").alias("parent"), F.col("component_id").alias("up_id"), F.col("parent").alias("up"))
         guess = cut_lineage(guess.join(target, "parent", "left").select(
-            "record_id", "arrival", "own_id", F.coalesce("component_id", "up_id").alias("component_id"),
+            "record_id", "arrival", "own_id", "founder", F.coalesce("component_id", "up_id").alias("component_id"),
             F.when(F.col("component_id").isNull() & F.col("up_id").isNull(), F.col("up")).alias("parent"),
         ))
-    return guess.select("record_id", "arrival", "own_id", "component_id")
+    return guess.select("record_id", "arrival", "own_id", "founder", "component_id")
 
 
 def resolve_entities(
@@ -145,9 +145,9 @@ def resolve_entities(
     stored = _stored_holders(sources, identifiers, components)
     state = _first_guess(keys, own, stored)
     while True:
-        held = keys.join(state.select("record_id", "component_id", "own_id"), "record_id")
+        held = keys.join(state.select("record_id", "component_id", "founder"), "record_id")
         # A component's strict identity is the one it was founded with.
-        counted = held.filter((F.col("tier") != IDENTITY) | (F.col("component_id") == F.col("own_id")))
+        counted = held.filter((F.col("tier") != IDENTITY) | F.col("founder"))
         holders = counted.select("key", "component_id", F.col("arrival").alias("at"))
         if stored is not None:
             holders = holders.unionByName(stored)
@@ -159,15 +159,15 @@ def resolve_entities(
             F.min_by("component_id", F.struct("tier", "rank")).alias("found")
         )
         update = state.join(chosen, "record_id", "left").select(
-            "record_id", "arrival", "own_id", F.coalesce("found", "own_id").alias("component_id"),
-            (F.coalesce("found", "own_id") != F.col("component_id")).alias("changed"),
+            "record_id", "arrival", "own_id", F.col("found").isNull().alias("founder"), F.coalesce("found", "own_id").alias("component_id"),
+            ((F.coalesce("found", "own_id") != F.col("component_id")) | (F.col("found").isNull() != F.col("founder"))).alias("changed"),
         )
         update = cut_lineage(update)
         settled = update.filter("changed").isEmpty()
         state = update.drop("changed")
         if settled:
             break
-    return state.select("record_id", "component_id", (F.col("component_id") == F.col("own_id")).alias("created"))
+    return state.select("record_id", "component_id", F.col("founder").alias("created"))
 
 
 def cluster(records: DataFrame) -> DataFrame:
