@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gearledger.catalogue_queries.shapes import CANDIDATES_SQL, candidates, fold_sql, pick, plain_sql, shape, table
+from gearledger.functions.infer import SOCKET_MARKS
 from gearledger.functions.specs import display, spec_map, text_spec
 from gearledger.functions.urls import in_domains
 from gearledger.model.dimensions import CATEGORY_TERMS, FALSE_POSITIVE_TERMS, FAMILY_TERMS, GENERIC_TOKENS, STRONG_FAMILY_PHRASES
@@ -316,7 +317,31 @@ SECTIONS_SQL = f"""WITH l AS (SELECT *, CASE WHEN kind = 'paragraph' THEN {_SEC_
     CASE WHEN category IN ('cpu', 'gpu') THEN coalesce(nullif({_CLEAN_P("string_split(ctx, '—')[1]")}, ''), 'À vérifier') ELSE a END AS series,
     CAST(nullif(regexp_extract(CASE WHEN category IN ('cpu', 'gpu') THEN detail || ' ' || ctx ELSE detail END, '(?:19|20)\\d{{2}}'), '') AS INT) AS year, CASE WHEN category IN ('cpu', 'gpu') THEN 'Moyenne' ELSE 'Faible' END AS confidence FROM x"""
 
+_MARKS = " ".join(
+    "WHEN " + " OR ".join(f"contains(upper(key || ' ' || ctx), '{m}')" for m in marks) + f" THEN '{socket}'" for marks, socket in SOCKET_MARKS)
+_STARTS = lambda words: "(" + " OR ".join(f"starts_with(text, '{w}')" for w in words) + ")"
+_BRAND = "CASE " + " ".join(f"WHEN text = '{k}' OR starts_with(text, '{k} (') THEN '{v}'" for k, v in outline.BRAND_HEADINGS.items()) + " " + " ".join(
+    f"WHEN starts_with(text, '{k}') THEN '{v}'" for k, v in outline.OEM_HEADINGS.items()) + f" WHEN starts_with(text, '{outline.OEM_RESET}') THEN 'À vérifier' END"
+BOARDS_SQL = rf"""WITH t AS (SELECT doc, line_no, {_CLEAN_P('text')} AS text FROM ({plain_sql(BOARD_LINES)})),
+  r AS (SELECT *, {_BRAND} AS brand0, regexp_extract(text, '^([^:]{{1,65}}?)\s*:\s*(.+)$', 1) AS key0 FROM t),
+  m AS (SELECT *, CASE WHEN brand0 IS NOT NULL THEN 'brand' WHEN {_STARTS(outline.CONTEXT_STARTS)} THEN 'context' WHEN regexp_matches(key0, '[0-9]') THEN 'entry' ELSE 'more' END AS role FROM r),
+  c AS (SELECT *, last_value(brand0 IGNORE NULLS) OVER w AS brand, coalesce(last_value(CASE WHEN role IN ('brand', 'context') THEN text END IGNORE NULLS) OVER w, '') AS ctx,
+      last_value(CASE WHEN role <> 'more' THEN line_no END IGNORE NULLS) OVER w AS entry, last_value(CASE WHEN role <> 'more' THEN role END IGNORE NULLS) OVER w AS entry_role
+    FROM m WINDOW w AS (PARTITION BY doc ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+  e AS (SELECT entry AS line_no, {_CLEAN_P('max(CASE WHEN role = ' + "'entry'" + ' THEN key0 END)')} AS key, arg_min(brand, line_no) AS brand, arg_min(ctx, line_no) AS ctx,
+      {_CLEAN_P(r"string_agg(CASE WHEN role = 'entry' THEN regexp_extract(text, '^[^:]*:\s*(.*)$', 1) ELSE text END, ' ' ORDER BY line_no)")} AS value
+    FROM c WHERE entry_role = 'entry' GROUP BY entry),
+  k AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(value, '\(([^(),]*),([^(),]*)\)', '(\1§\2)', 'g'), ','), lambda x: trim(replace(x, '§', ','), ' ,.;')),
+      lambda x: length(x) >= 3 AND lower(x) NOT IN ('intel', 'amd', 'legacy')) AS models FROM e WHERE brand IS NOT NULL AND brand <> 'À vérifier' AND key <> '' AND value <> ''),
+  u AS (SELECT *, unnest(models) AS model0, generate_subscripts(models, 1) - 1 AS item_no FROM k),
+  v AS (SELECT *, trim(regexp_replace(model0, '(?i)^(ASUS|BIOSTAR|NZXT)\s+', ''), ' ,.;') AS model, trim(regexp_extract(key, '^([^(]*)', 1), ' ,.;') AS series FROM u)
+  SELECT line_no, item_no, brand, CASE WHEN contains(lower(model), lower(brand)) THEN model ELSE brand || ' ' || model END AS name, model AS reference, series,
+    CASE {_MARKS} ELSE coalesce(nullif(regexp_extract(upper(key || ' ' || ctx), '(LGA\s*\d+(?:\s*V[12])?|AM[345]\+?|STRX4|STR5|TR4)', 1), ''), 'À vérifier') END AS socket,
+    CASE WHEN contains(upper(model), 'ITX') THEN 'Mini-ITX' WHEN contains(upper(model), 'MATX') THEN 'Micro-ATX' ELSE 'À vérifier' END AS format,
+    CASE WHEN contains(upper(ctx), 'DDR5') THEN 'DDR5' WHEN contains(upper(ctx), 'DDR4') THEN 'DDR4' ELSE 'À vérifier' END AS ram FROM v"""
+
 ORACLES = {
+    "outline_boards": BOARDS_SQL,
     "score_hits": HITS_SQL,
     "triage": f"WITH {_TRIAGE} SELECT candidate_id, triage, duplicate, promotable, blocker, lane FROM t",
     "triage_counts": f"WITH {_TRIAGE} SELECT triage, count(*) AS count FROM t GROUP BY triage",

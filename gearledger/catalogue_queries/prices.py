@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gearledger.catalogue_queries.shapes import LISTINGS, OBSERVATIONS, PRODUCTS, plain_sql, products, round_sql, shape
 from gearledger.model.dimensions import ANNUAL_RETENTION, CATEGORY_RISK, CONDITION_FACTOR, SERVICE_LIFE
-from gearledger.plans.pricing import appraise, price_insight, price_summary, price_track, value_median
+from gearledger.plans.pricing import appraise, ordered_points, price_insight, price_summary, price_track, value_median, with_launch_price
 
 YEAR = 2026
 
@@ -33,6 +33,21 @@ def q_appraise_listings(spark, folder):
     return appraise(shape(spark, folder, LISTINGS), products(spark, folder), YEAR)
 
 
+def q_launch_prices(spark, folder):
+    prices = shape(spark, folder, LAUNCH)
+    return with_launch_price(products(spark, folder).select("product_id", "launch_price", "name"), prices).select("product_id", "name", "launch_price")
+
+
+def q_price_points(spark, folder):
+    """Modelled points of each product in year and value order."""
+    points = ordered_points(price_track(products(spark, folder), None, YEAR))
+    shown = F.transform("points", lambda p: F.concat_ws(":", p["year"].cast("string"), p["value"].cast("bigint").cast("string"), p["kind"]))
+    return points.select("product_id", F.array_join(shown, ",").alias("points"))
+
+
+LAUNCH = "SELECT o_custkey AS product_id, max(floor(o_totalprice)) AS launch_price FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_custkey"
+
+
 def _case(values: dict, column: str = "category") -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
 
@@ -113,11 +128,17 @@ SELECT listing_id, product_id, total, age,
   CASE WHEN base IS NULL THEN 0.0 ELSE greatest(0, least(100, {round_sql('75 - delta + CAST(evidence AS DOUBLE) * 100')})) END AS score, delta
 FROM d"""
 
+POINTS_SQL = f"""SELECT product_id, string_agg(year || ':' || CAST(value AS BIGINT) || ':' || kind, ',' ORDER BY year, value, kind) AS points
+  FROM ({TRACK_SQL}) WHERE kind <> 'observed' GROUP BY product_id"""
+LAUNCH_SQL = f"SELECT p.product_id, p.name, l.launch_price FROM ({P}) p LEFT JOIN ({plain_sql(LAUNCH)}) l ON p.product_id = l.product_id"
+
 QUERIES = {
+    "launch_prices": q_launch_prices, "price_points": q_price_points,
     "price_track": q_price_track, "price_summary": q_price_summary, "value_median": q_value_median,
     "price_insight": q_price_insight, "appraise_listings": q_appraise_listings,
 }
 ORACLES = {
+    "launch_prices": LAUNCH_SQL, "price_points": POINTS_SQL,
     "price_track": TRACK_SQL, "price_summary": SUMMARY_SQL, "value_median": MEDIAN_SQL, "price_insight": INSIGHT_SQL,
     "appraise_listings": APPRAISE_SQL,
 }

@@ -143,6 +143,9 @@ def resolve_entities(
     keys = cut_lineage(_record_keys(records))
     own = keys.filter(F.col("tier") == SOURCE).select("record_id", "arrival", F.col("record_id").alias("own_id"))
     stored = _stored_holders(sources, identifiers, components)
+    if stored is not None:
+        # Only the stored keys this batch mentions matter; they are picked once, not in every round.
+        stored = cut_lineage(stored.join(keys.select("key").distinct(), "key", "left_semi"))
     state = _first_guess(keys, own, stored)
     while True:
         held = keys.join(state.select("record_id", "component_id", "founder"), "record_id")

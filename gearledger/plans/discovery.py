@@ -22,6 +22,7 @@ from gearledger.operators.ranking import cap_per_group, carry_forward, first_win
 from gearledger.operators.sets import (
     candidate_queue, drop_promoted, flag_known, merge_candidates, only_enabled, overlay, union_feeds,
 )
+from gearledger.session import cut_lineage
 
 PER_BRAND_CATEGORY = 25
 INDEX_CANDIDATES = 500
@@ -43,10 +44,12 @@ def score_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     })
     overlap = F.size(F.array_intersect("_query", "_words")) / F.greatest(F.lit(1), F.size("_query"))
     brand, category = F.arrays_overlap("_brand", "_words"), F.arrays_overlap(terms[F.col("category")], F.col("_words"))
-    scored = staged.withColumns({"_overlap": overlap, "_category": category, "_score": (
+    measured = F.struct(overlap.alias("_overlap"), category.alias("_category"), (
         F.when(brand, 0.42).otherwise(0.0) + F.least(F.lit(0.33), overlap * 0.4) + F.when(category, 0.25).otherwise(0.0)
-    )})
-    kept = scored.filter((F.col("_score") >= 0.42) & (F.col("_category") | (F.col("_overlap") >= 0.65)))
+    ).alias("_score"))
+    # Weak hits are dropped inside the one-element array: a filter would be pushed down and measure every text again.
+    strong = F.filter(F.array(measured), lambda m: (m["_score"] >= 0.42) & (m["_category"] | (m["_overlap"] >= 0.65)))
+    kept = staged.select("external_id", "label", "description", "brand", "category", "query", F.inline(strong))
     return kept.select(
         candidate_key(F.lit("wikidata"), F.col("external_id"), F.col("category")).alias("candidate_id"),
         F.lit("wikidata").alias("source_id"), "external_id", F.lit("product-candidate").alias("kind"),
@@ -122,7 +125,8 @@ def hardware_candidates(lines: DataFrame, vendors: DataFrame, per_group: int = P
         "path", "line_no", "vendor_id", F.lower(F.regexp_extract("line", device, 1)).alias("device_id"),
         F.trim(F.regexp_extract("line", device, 2)).alias("device"),
     )
-    known = devices.join(vendors, "vendor_id").withColumn("category", device_category(F.col("device"))).filter(F.col("category").isNotNull())
+    placed = F.filter(F.array(device_category(F.col("device"))), lambda c: c.isNotNull())
+    known = devices.join(vendors, "vendor_id").select("path", "line_no", "vendor_id", "device_id", "device", "brand", F.explode(placed).alias("category"))
     first = cap_per_group(known, ["brand", "category"], ["path", "line_no"], per_group)
     external = F.concat_ws(":", "vendor_id", "device_id")
     return first.select(
@@ -190,7 +194,8 @@ def discovery_run(
         fresh = fresh.drop("duplicate")
     fresh = flag_known(fresh, identities).withColumns({"status": F.lit(TO_CHECK), "first_seen": F.lit(run_date)})
     merged = merge_candidates(only_enabled(previous, sources), fresh)
-    triaged = triage(candidate_queue(merged, limit))
+    # The queue has a fixed length; it is written once and read for every lane.
+    triaged = cut_lineage(triage(candidate_queue(merged, limit)))
     kept = drop_promoted(triaged.filter(F.col("lane") == "candidates"), promoted)
     return kept.unionByName(triaged.filter(F.col("lane") != "candidates"))
 

@@ -115,7 +115,7 @@ def evidence_summary(active: DataFrame, evidence: DataFrame, failures: DataFrame
     spark = active.sparkSession
     counts = evidence.groupBy("status").agg(F.count("*").alias("value"))
     statuses = inline_table(spark, "status string", [(s,) for s in EVIDENCE_STATUSES])
-    by_status = statuses.join(F.broadcast(counts), "status", "left").select(
+    by_status = statuses.join(counts, "status", "left").select(
         F.concat(F.lit("status:"), F.col("status")).alias("name"), F.coalesce("value", F.lit(0).cast("bigint")).alias("value")
     )
     n = lambda df: df.select(F.count("*").alias("n")).scalar()

@@ -24,6 +24,17 @@ def age(year: Column, as_of_year: int) -> Column:
     return F.when(year.isNotNull(), F.greatest(F.lit(0), F.lit(as_of_year) - year))
 
 
+def with_launch_price(products: DataFrame, launch_prices: DataFrame) -> DataFrame:
+    """Add the documented launch price; a product that is not listed keeps none. ``launch_prices``: product_id, launch_price."""
+    return products.drop("launch_price").join(launch_prices.select("product_id", "launch_price"), "product_id", "left")
+
+
+def ordered_points(points: DataFrame) -> DataFrame:
+    """Points of each product as one array in (year, value) order."""
+    point = F.struct("year", "value", "kind")
+    return points.groupBy("product_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
+
+
 def drop_percent(launch: Column, current: Column) -> Column:
     return F.when(launch.isNotNull() & current.isNotNull(), js_round((1 - F.try_divide(current, launch)) * 100))
 
@@ -110,6 +121,8 @@ def value_median(products: DataFrame) -> DataFrame:
 def price_insight(products: DataFrame, as_of_year: int, medians: DataFrame | None = None) -> DataFrame:
     """Purchase verdict with every factor stated. ``products`` also carries performance, used_price and specs."""
     medians = value_median(products) if medians is None else medians
+    # One row per known category, whoever made the table: that is what bounds the broadcast below.
+    medians = medians.filter(F.col("category").isin(*CATEGORIES)).groupBy("category").agg(F.max("median_score").alias("median_score"))
     socket = F.when(F.col("category").isin("cpu", "motherboard"), F.nullif(text_of(F.col("specs"), "Socket"), F.lit("")))
     base = products.select(
         "product_id", "category", "new_price", "used_price",
@@ -117,7 +130,7 @@ def price_insight(products: DataFrame, as_of_year: int, medians: DataFrame | Non
         value_score(F.col("performance"), F.col("used_price"), F.col("new_price")).alias("value_score"),
         age(F.col("year"), as_of_year).alias("age"),
         socket.alias("socket"),
-    ).join(F.broadcast(medians.select("category", "median_score")), "category", "left")
+    ).join(F.broadcast(medians), "category", "left")
 
     drop, years = F.col("drop_percent"), F.col("age")
     life = literal_map(SERVICE_LIFE)[F.col("category")]

@@ -143,7 +143,7 @@ def spec_summary(records: DataFrame, specs: DataFrame, raw: DataFrame, key: str
     for part in parts[1:]:
         found = found.unionByName(part)
     zero = F.lit(0).cast("bigint")
-    return names.join(F.broadcast(found), ["section", "name"], "left").join(F.broadcast(counted), ["section", "name"], "left").select(
+    return names.join(found, ["section", "name"], "left").join(counted, ["section", "name"], "left").select(
         "section", "name", F.coalesce("records", zero).alias("records"), F.coalesce("values", zero).alias("values")
     )
 
