@@ -257,7 +257,7 @@ TOTALS_SQL = f"""WITH {_TRIAGE}, r AS ({plain_sql(REGISTERED)}) SELECT count(*)
   (SELECT count(*) FROM r) AS registered_queries, (SELECT count(DISTINCT brand) FROM r) AS registered_brands, (SELECT count(DISTINCT category) FROM r) AS registered_categories FROM t"""
 
 _TAIL = lambda u: f"regexp_extract({u}, '^https://[^/?#]*([^?#]*)', 1)"
-_UNESCAPE = lambda c: f"replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_UNESCAPE = lambda c: f"replace(replace(replace(replace(replace({c}, '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 _SLUGGED = "trim(regexp_replace(list_filter(string_split(path, '/'), lambda x: x <> '')[-1], '[_-]', ' ', 'g'))"
 LINKS_SQL = f"""WITH i AS ({plain_sql(INDEXES)}), v AS (SELECT {PAGE_INDEX} AS index_id, page_id, url, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', '', 'g') AS html FROM pages),
   a AS (SELECT index_id, page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>')) AS anchor, generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>'), 1) - 1 AS pos FROM v),

@@ -6,8 +6,10 @@ Characters that expand to several letters (ligatures, fractions) are left to :fu
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -106,20 +108,33 @@ def clean_cell(text: Column) -> Column:
     return F.btrim(value, F.lit(" ,;:·"))
 
 
-# The character references found in product pages.
-ENTITIES = (
-    ("&nbsp;", " "), ("&times;", "×"), ("&reg;", "®"), ("&trade;", "™"), ("&copy;", "©"), ("&middot;", "·"),
-    ("&deg;", "°"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&eacute;", "é"), ("&egrave;", "è"),
-    ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
-)
+_REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+@lru_cache(maxsize=None)
+def _named_characters() -> str:
+    """The named characters of HTML 4 as one JSON literal."""
+    names = {name: chr(point) for name, point in name2codepoint.items()}
+    return json.dumps({**names, "apos": "'"}, ensure_ascii=False)
+
+
+def _character(reference: Column) -> Column:
+    """One character reference resolved; a name nobody knows stays as it is printed."""
+    name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+    hexadecimal = F.conv(F.regexp_extract(name, "^#[xX](.*)$", 1), 16, 10)
+    code = F.when(name.rlike("^#[xX]"), hexadecimal).when(F.startswith(name, F.lit("#")), F.substring(name, 2, 8)).cast("bigint")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    named = F.from_json(F.lit(_named_characters()), "map<string,string>")[name]
+    return F.when(F.startswith(name, F.lit("#")), numbered).otherwise(F.coalesce(named, reference))
 
 
 def unescape_html(text: Column) -> Column:
-    """Resolve character references; ``&amp;`` comes last so nothing is resolved twice."""
-    value = text
-    for entity, char in ENTITIES:
-        value = F.replace(value, F.lit(entity), F.lit(char))
-    return value
+    """Resolve character references in one pass, so that nothing is resolved twice. Texts without ``&`` pass through."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), _character)
+    gaps = F.split(text, _REFERENCE)
+    joined = F.array_join(F.zip_with(gaps, found, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def clean_markup(text: Column, limit: int | None = None) -> Column:

@@ -105,3 +105,12 @@ def test_inference(spark):
     assert run(spark, "m string", [("ASUS A (x, y), B, Intel, C1, Prime",)], infer.split_models(F.col("m"))) == [["ASUS A (x, y)", "Prime"]]
     assert run(spark, "r string", [("Ryzen 5 / Ryzen 7",), ("AMD Ryzen 5",)], infer.compact_name(F.lit("AMD"), F.col("r"))) == ["AMD Ryzen 5 et variantes", "AMD Ryzen 5"]
     assert run(spark, "d string", [("GeForce RTX",), ("NVMe SSD",), ("Wi-Fi 6",), ("Host bridge",)], infer.device_category(F.col("d"))) == ["gpu", "storage", "expansion", None]
+
+
+def test_character_references(spark):
+    import html
+
+    rows = ["a &amp;lt; b", "129&times;136", "&reg;&nbsp;x", "&#39;&#x27;&#8217;", "plain", "R&D & co", "x &lt;b&gt;", "&#128512;", "fin &eacute;"]
+    assert run(spark, "v string", [(r,) for r in rows], text.unescape_html(F.col("v"))) == [html.unescape(r) for r in rows]
+    odd = run(spark, "v string", [("&unknown;",), ("&#xD800;",), (None,)], text.unescape_html(F.col("v")))
+    assert odd == ["&unknown;", "\ufffd", None]
