@@ -5,12 +5,10 @@ Flat markup is expected: a table inside a table or an element nested in another
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gearledger.functions.text import clean_cell, clean_markup, squeeze, unescape_html
+from gearledger.functions.text import clean_cell, clean_markup, let, squeeze, unescape_html
 
 ROW = "struct<field:string,value:string,method:string>"
 NAME_LIMIT, VALUE_LIMIT = 80, 400
@@ -31,11 +29,6 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Use a value several times in ``body`` but compute it once per row."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
-
-
 def visible(html: Column) -> Column:
     """The page without comments, scripts and styles."""
     return F.regexp_replace(html, _HIDDEN, "")

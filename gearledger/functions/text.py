@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 from html.entities import name2codepoint
 
@@ -19,6 +20,11 @@ from pyspark.sql.types import StringType
 COMBINING = "[\\u0300-\\u036f]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a value several times in ``body`` but compute it once per row."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 @lru_cache(maxsize=None)
 def _fold_table(form: str) -> tuple[str, str]:
     """Characters whose decomposition is one ASCII letter or digit plus combining marks."""
@@ -131,10 +137,13 @@ def _character(reference: Column) -> Column:
 
 def unescape_html(text: Column) -> Column:
     """Resolve character references in one pass, so that nothing is resolved twice. Texts without ``&`` pass through."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), _character)
-    gaps = F.split(text, _REFERENCE)
-    joined = F.array_join(F.zip_with(gaps, found, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+    def resolve(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)), _character)
+        gaps = F.split(t, _REFERENCE)
+        joined = F.array_join(F.zip_with(gaps, found, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit("")))), "")
+        return F.when(F.contains(t, F.lit("&")), joined).otherwise(t)
+
+    return let(text, resolve)
 
 
 def clean_markup(text: Column, limit: int | None = None) -> Column:
