@@ -18,18 +18,24 @@ def identity_match(label: Column, title: Column, brand: Column) -> Column:
     """``struct<score, signals>``: best of Dice and containment over the words that carry identity."""
     generic = F.array(*[F.lit(t) for t in GENERIC_TOKENS])
     ignored = F.concat(generic, tokens(brand))
-    left, right = F.array_except(tokens(label), ignored), F.array_except(tokens(title), ignored)
-    shared = F.array_intersect(left, right)
-    both = F.size(shared).cast("double")
-    dice = 2 * both / (F.size(left) + F.size(right))
-    containment = both / F.least(F.size(left), F.size(right))
-    longest_first = F.array_sort(F.transform(shared, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    signals = F.slice(F.transform(longest_first, lambda x: x["w"]), 1, 12)
-    known = (F.size(left) > 0) & (F.size(right) > 0)
-    return F.struct(
-        F.when(known, F.round(F.greatest(dice, containment), 2)).otherwise(F.lit(0.0)).alias("score"),
-        F.when(known, signals).otherwise(F.array().cast("array<string>")).alias("signals"),
-    )
+
+    def compare(words: Column) -> Column:
+        left, right, shared = words["left"], words["right"], words["shared"]
+        both = F.size(shared).cast("double")
+        dice = 2 * both / (F.size(left) + F.size(right))
+        containment = both / F.least(F.size(left), F.size(right))
+        longest_first = F.array_sort(F.transform(shared, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+        signals = F.slice(F.transform(longest_first, lambda x: x["w"]), 1, 12)
+        known = (F.size(left) > 0) & (F.size(right) > 0)
+        return F.struct(
+            F.when(known, F.round(F.greatest(dice, containment), 2)).otherwise(F.lit(0.0)).alias("score"),
+            F.when(known, signals).otherwise(F.array().cast("array<string>")).alias("signals"),
+        )
+
+    pair = F.struct(F.array_except(tokens(label), ignored).alias("left"), F.array_except(tokens(title), ignored).alias("right"))
+    shared = page.let(pair, lambda p: F.struct(
+        p["left"].alias("left"), p["right"].alias("right"), F.array_intersect(p["left"], p["right"]).alias("shared")))
+    return page.let(shared, compare)
 
 
 def _is_product(node: Column) -> Column:
