@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gearledger.llm import merkle, secrets, simhash
 from gearledger.llm.common import documents
 from gearledger.llm.mixing import mix, mixed_sizes
 from gearledger.llm.packing import byte_bpe, pack
@@ -26,5 +27,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(mix(documents(spark, sf_dir)))
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_mixing": op3_mixing}
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return merkle.fingerprints(documents(spark, sf_dir)).drop("changed_sections")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in every document."""
+    found = secrets.scan(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+        secrets.written(F.concat("base", "linked")).alias("spans"),
+    )
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of near-duplicates of every document."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op2_packing": op2_packing, "op3_mixing": op3_mixing, "op4_merkle": op4_merkle, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash}
 ORACLES: dict[str, str] = {}
