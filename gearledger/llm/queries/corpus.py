@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearledger.llm import merkle, secrets, simhash
-from gearledger.llm.common import documents
+from gearledger.llm import language, merkle, secrets, simhash, tokencount, toxicity
+from gearledger.llm.common import documents, held_out, table
 from gearledger.llm.mixing import mix, mixed_sizes
 from gearledger.llm.packing import byte_bpe, pack
 
@@ -32,6 +32,30 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(documents(spark, sf_dir)).drop("changed_sections")
 
 
+def _pieces() -> list[tuple[str, float]]:
+    return tokencount.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram pieces of every document."""
+    return tokencount.token_counts(documents(spark, sf_dir), _pieces)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.filter(~held_out()))
+    return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in every document."""
     found = secrets.scan(documents(spark, sf_dir))
@@ -47,5 +71,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_mixing": op3_mixing, "op4_merkle": op4_merkle, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash}
+QUERIES = {"op2_packing": op2_packing, "op3_mixing": op3_mixing, "op4_merkle": op4_merkle, "op5_token_counts": op5_token_counts,
+           "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_language": op8_language, "op9_toxicity": op9_toxicity}
 ORACLES: dict[str, str] = {}
