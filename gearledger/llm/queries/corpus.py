@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearledger.llm import language, merkle, secrets, simhash, tokencount, toxicity
+from gearledger.llm import language, merkle, secrets, simhash, substrings, tokencount, toxicity
 from gearledger.llm.common import documents, held_out, table
 from gearledger.llm.mixing import mix, mixed_sizes
 from gearledger.llm.packing import byte_bpe, pack
@@ -71,6 +71,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that occur more than once."""
+    found = substrings.remove_repeats(documents(spark, sf_dir))
+    span = F.transform("removed", lambda r: r["end"] - r["start"])
+    return found.select(
+        "doc_id", "n_bytes", F.aggregate(span, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {"op2_packing": op2_packing, "op3_mixing": op3_mixing, "op4_merkle": op4_merkle, "op5_token_counts": op5_token_counts,
-           "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_language": op8_language, "op9_toxicity": op9_toxicity}
+           "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {}
