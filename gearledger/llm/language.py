@@ -122,16 +122,25 @@ def infer(model: Model, text: str | None) -> tuple[str, float, dict[str, float]]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text) to doc_id, lang_pred, score (share of the language) and languages (share of each selected one)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            found = [infer(shared.value, t) for t in frame["text"]]
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found],
-                "languages": [f[2] for f in found],
-            })
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return texts.mapInPandas(predicted, "doc_id bigint, lang_pred string, score double, languages map<string,double>")
+    """``docs`` with lang_pred, score (share of that language in the text) and languages (share of each selected one).
+
+    Columns of ``docs`` that have one of these names are replaced.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
+
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values, as the tasks need no copy of the library
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("languages", MapType(StringType(), DoubleType()))]
+    docs = docs.drop(*[f.name for f in added])
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned = Model(**shared.value)
+        for batch in batches:
+            found = [infer(learned, t) for t in batch.column("text").to_pylist()]
+            columns = [
+                pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
+                pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64())),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lang_pred", "score", "languages"])
+
+    return docs.mapInArrow(predicted, StructType([*docs.schema.fields, *added]))

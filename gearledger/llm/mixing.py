@@ -78,9 +78,9 @@ def place(
 ) -> DataFrame:
     """Every document with its size, its word offset within its source, and the figures of its source."""
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
-    sized = cut_lineage(sized.select("doc_id", "source", "size"))
+    sized = cut_lineage(sized.select("doc_id", "source", "size", F.xxhash64("text").alias("text_key")))
     buckets = F.lit(-(-sized.count() // bucket_rows) or 1)
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), buckets))
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), buckets))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start"))
@@ -96,7 +96,7 @@ def place(
     line = Window.orderBy("source_rank")
     used = F.col("slots_0") + F.col("slots_1")
     totals = totals.withColumns({"first_slot": F.sum(used).over(line) - used, "all_slots": F.sum(used).over(Window.partitionBy())})
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("doc_id", "size")
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_key")
     rows = sized.withColumns({
         "number": F.row_number().over(in_bucket),
         "in_bucket": F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"),
@@ -104,7 +104,7 @@ def place(
     starts = starts.join(totals, starts["source"].eqNullSafe(totals["source"]), "inner").drop(totals["source"])
     joined = rows.join(starts, rows["source"].eqNullSafe(starts["source"]) & (rows["bucket"] == starts["bucket"]), "inner")
     return joined.select(
-        "doc_id", rows["source"], rows["bucket"], "number", "size", "source_size", "target", "source_rank", "blocks", "words_0", "words_1",
+        "doc_id", "text_key", rows["source"], rows["bucket"], "number", "size", "source_size", "target", "source_rank", "blocks", "words_0", "words_1",
         "slots_0", "slots_1", "first_slot", "all_slots", (F.col("bucket_start") + F.col("in_bucket")).alias("word_start"),
     )
 
@@ -157,3 +157,23 @@ def mixed_sizes(manifest: DataFrame) -> DataFrame:
     """Words that the mix takes of every document: doc_id, size, source_size, target, taken."""
     keys = ("source_rank", "bucket", "number", "doc_id", "size", "source_size", "target")
     return manifest.groupBy(*keys).agg(F.sum("length").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The documents of a mix, with the columns of ``docs``: a row per document and round with the words taken of it.
+
+    A document that is taken whole keeps its text, else the taken words stand in their order with single spaces. n_chars, where
+    there is such a column, is counted anew.
+    """
+    taken = manifest.filter("length > 0").groupBy("doc_id", "text_key", "source", "source_rank", "bucket", "number", "size", "round").agg(
+        F.sum("length").alias("words"), F.array_sort(F.collect_list(F.struct("start", "length"))).alias("ranges"))
+    keyed = docs.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key", "source"]).alias("d")
+    taken = taken.alias("t")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "text_key", "source")]
+    rows = taken.join(keyed, same[0] & same[1] & same[2])
+    words = F.regexp_extract_all("d.text", F.lit(WORD), 0)
+    chosen = F.flatten(F.transform("t.ranges", lambda r: F.slice(words, r["start"].cast("int") + 1, r["length"].cast("int"))))
+    text = F.when(F.col("t.words") == F.col("t.size"), F.col("d.text")).otherwise(F.array_join(chosen, " "))
+    out = rows.withColumn("mixed_text", text)
+    made = {"text": F.col("mixed_text"), "n_chars": F.length("mixed_text").cast("bigint")}
+    return out.select(*[made.get(c, F.col(f"d.{c}")).alias(c) for c in docs.columns])

@@ -53,6 +53,13 @@ def byte_bpe(json_path: str, ranks_path: str | None = None) -> Callable[[list[st
     return encode
 
 
+def public_byte_bpe() -> Callable[[list[str]], list[np.ndarray]]:
+    """The installed public byte-level BPE of 50 257 ids."""
+    import public_tokenizers
+
+    return byte_bpe(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 class Packer:
     """The open windows of one partition or merge. A piece is (doc_id, start, doc_tokens, ids)."""
 

@@ -9,16 +9,12 @@ from pyspark.sql import functions as F
 from gearledger.llm import language, merkle, secrets, simhash, substrings, tokencount, toxicity
 from gearledger.llm.common import documents, held_out, table
 from gearledger.llm.mixing import mix, mixed_sizes
-from gearledger.llm.packing import byte_bpe, pack
-
-
-def _byte_bpe():
-    return byte_bpe(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+from gearledger.llm.packing import pack, public_byte_bpe
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    pieces = pack(documents(spark, sf_dir), _byte_bpe, end_id=1, length=2048)
+    pieces = pack(documents(spark, sf_dir), public_byte_bpe, end_id=1, length=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

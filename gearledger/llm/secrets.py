@@ -105,3 +105,14 @@ def redact(text: Column, found: Column) -> Column:
         F.concat(s["out"], F.substring(text, s["at"] + 1, F.greatest(p["start"] - s["at"], F.lit(0))), F.when(p["start"] >= s["at"], F.get(names, p["kind"])).otherwise(F.lit(""))).alias("out"),
     )))
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.lit(2**31 - 1)))
+
+
+def redacted(docs: DataFrame, scope: int = 400) -> DataFrame:
+    """``docs`` with every finding, base or linked, replaced by its kind; n_chars, where there is such a column, is counted anew."""
+    found = scan(docs, scope).select("doc_id", "text_key", F.concat("base", "linked").alias("found"))
+    found = found.filter(F.size("found") > 0).dropDuplicates(["doc_id", "text_key"]).alias("f")
+    rows = docs.withColumn("text_key", F.xxhash64(text_or_empty())).alias("d")
+    rows = rows.join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key")), "left")
+    rows = rows.withColumn("clean_text", F.when(F.col("f.found").isNull(), F.col("d.text")).otherwise(redact(F.col("d.text"), F.col("f.found"))))
+    made = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("bigint")}
+    return rows.select(*[F.when(F.col("f.found").isNull(), F.col(f"d.{c}")).otherwise(made[c]).alias(c) if c in made else F.col(f"d.{c}").alias(c) for c in docs.columns])

@@ -31,32 +31,38 @@ from gearledger.llm.components import components
 BITS = 64
 
 
-def _fingerprint(text: str | None, shingle: int, chunk: int = 1 << 16) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle of a text, repeats included; fewer words than a shingle make one."""
     import re
 
     import xxhash
 
     if not text:
-        return 0
+        return np.zeros(0, dtype="<u8")
     # A-Z only; other letters keep their case.
     raw = text.encode("utf-8", "surrogatepass").lower()
     words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     size = min(shingle, len(words))
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     ends = ends[size - 1:].tolist()
-    digest, seed = xxhash.xxh64_intdigest, 42
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=False)), dtype="<u8", count=len(ends))
+
+
+def majority(hashes: np.ndarray, chunk: int = 1 << 16) -> int:
+    """The fingerprint: bits set in over half of the hashes."""
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(ends), chunk):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at:at + chunk], ends[at:at + chunk], strict=False)], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), chunk):
+        bits = np.unpackbits(hashes[at:at + chunk].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    set_bits = np.packbits(counts * 2 > len(ends), bitorder="little")
-    return int(set_bits.view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -64,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            made = np.array([_fingerprint(t, shingle) for t in frame["text"]], dtype="<u8").view("<i8")
+            made = np.array([majority(shingle_hashes(t, shingle)) for t in frame["text"]], dtype="<u8").view("<i8")
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fingerprint": made})
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -141,3 +147,82 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, pivots
 
 def hex_fingerprint(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+def _least(hashes: np.ndarray, factors: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    """Min-hashes of a set of shingle hashes under multiplicative permutations."""
+    out = np.full(len(factors), np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), chunk):
+        mixed = hashes[at:at + chunk, None] * factors[None, :]
+        out = np.minimum(out, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    return out
+
+
+def near_copies(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, loose: int = 24, pivots: int = 64, minhashes: int = 256, bands: int = 24, rows: int = 6,
+) -> DataFrame:
+    """(text_key, component) of every distinct text of ``docs``: groups of texts whose word shingles are similar.
+
+    At a Jaccard similarity of 0.8 fingerprints of 64 bits differ in up to 17 bits, which no choice of equal blocks enumerates
+    for many documents. So here candidates come from bands of min-hashes: every text meets the two members of its band that
+    have the least and the greatest hash under that band, so a band of any size gives two links per text. Candidates whose pivot
+    tables differ by more than ``loose`` in a coordinate are discarded, survivors are verified by the share of equal min-hashes
+    (one byte each; standard error 0.025 for 256). Texts are named by their MD5; a text without words is in a group of its own.
+    """
+    factors = np.random.default_rng(11).integers(1, 2**63, minhashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    refs = references(pivots)
+
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for key, text in zip(frame["text_key"], frame["text"], strict=True):
+                hashes = shingle_hashes(text, shingle)
+                if not len(hashes):
+                    continue
+                least = _least(np.unique(hashes), factors)
+                keys = least[: bands * rows].reshape(bands, rows) * factors[:rows]
+                mixed = np.bitwise_xor.reduce(keys ^ (keys >> np.uint64(29)), axis=1) * factors[0] + np.arange(bands, dtype=np.uint64)
+                out.append((key, majority(hashes), mixed.view(np.int64), (least >> np.uint64(40)).astype(np.uint8).tobytes()))
+            made = pd.DataFrame(out, columns=["text_key", "fingerprint", "bands", "sketch"])
+            made["fingerprint"] = np.array(made["fingerprint"].tolist(), dtype="<u8").view("<i8")
+            yield made
+
+    texts = docs.select(F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), "text")
+    made = texts.mapInPandas(sketched, "text_key string, fingerprint bigint, bands array<bigint>, sketch binary")
+    made = cut_lineage(made)
+    # Copies have equal rows; one of each goes on.
+    single = cut_lineage(made.groupBy("text_key").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    members = single.select("text_key", F.explode("bands").alias("band")).withColumn("turn", F.xxhash64("text_key", "band"))
+    heads = members.groupBy("band").agg(F.min(F.struct("turn", "text_key")).alias("low"), F.max(F.struct("turn", "text_key")).alias("high"))
+    heads = heads.filter("low.text_key <> high.text_key").select("band", F.array("low.text_key", "high.text_key").alias("heads"))
+    met = members.join(heads, "band").select("text_key", F.explode("heads").alias("head")).filter("text_key <> head")
+    met = met.select(F.least("text_key", "head").alias("a"), F.greatest("text_key", "head").alias("b")).distinct()
+    side = single.select("text_key", "fingerprint", "sketch")
+    for end in ("a", "b"):
+        met = met.join(side.select(F.col("text_key").alias(end), F.col("fingerprint").alias(f"f{end}"), F.col("sketch").alias(f"s{end}")), end)
+    within = F.greatest(*[F.abs(x - y) for x, y in zip(table_row(F.col("fa"), refs), table_row(F.col("fb"), refs), strict=True)]) <= loose
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            if not len(frame):
+                continue
+            a, b = (np.frombuffer(b"".join(frame[c]), dtype=np.uint8).reshape(len(frame), -1) for c in ("sa", "sb"))
+            equal = (a == b).mean(axis=1)
+            # One byte agrees by chance once in 256.
+            yield frame.loc[(equal - 1 / 256) / (1 - 1 / 256) >= similarity, ["a", "b"]]
+
+    pairs = met.filter(within).select("a", "b", "sa", "sb").mapInPandas(verified, "a string, b string")
+    groups = components(cut_lineage(pairs))
+    return groups.select(F.col("node").alias("text_key"), "component")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each group of near copies and of each text: the one with the smallest id (null ids last)."""
+    groups = near_copies(docs, **options)
+    keyed = docs.withColumn("near_copy_key", F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    ids = keyed.select("doc_id", "near_copy_key")
+    named = ids.join(groups, ids["near_copy_key"] == groups["text_key"], "left").withColumn("group", F.coalesce("component", "near_copy_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "near_copy_key"))
+    kept = named.groupBy("group").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.near_copy_key").alias("kept_key"))
+    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed["near_copy_key"] == kept["kept_key"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "near_copy_key"]).drop("near_copy_key")

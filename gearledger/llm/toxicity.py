@@ -143,10 +143,10 @@ def fit(
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, score (probability of label 1) and predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values, as the tasks need no copy of the library
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, letters = shared.value, word_characters()
+        m, letters = Model(**shared.value), word_characters()
         dense = np.zeros(1 << m.bits)
         dense[m.coordinates] = m.weights
 
