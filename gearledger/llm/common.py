@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gearledger.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["WORD", "cut_lineage", "documents", "ensure_checkpoint_dir", "held_out", "scratch", "table", "text_or_empty"]
+__all__ = ["WORD", "cut_lineage", "discard", "documents", "ensure_checkpoint_dir", "held_out", "stored", "table", "text_or_empty"]
 
 #: A word: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +32,14 @@ def held_out(key: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder that the cluster names."""
-    return f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write a frame to a table in the shared folder that the cluster names; the table and its path, for ``discard``."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored`` when everything read from it has been written itself."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

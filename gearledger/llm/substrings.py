@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearledger.llm.common import cut_lineage, text_or_empty
+from gearledger.llm.common import cut_lineage, discard, stored, text_or_empty
 
 BASE = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -224,8 +224,7 @@ def _window_counts(frame: pd.DataFrame, window: int) -> pd.DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = 200, gram: int = 64, batches: int = 4, crowd: int = 4096) -> DataFrame:
     """(row_id, row_tag, spans) of every row of ``docs`` that holds repeated windows; spans is a flat list of starts and ends in bytes, unsorted."""
-    places = suffixes(docs, window, gram)
-    places = cut_lineage(places)
+    places, path = stored(suffixes(docs, window, gram))
     family = IndexFamily(docs.sparkSession)
     for i in range(batches):
         family.add(places.filter(F.pmod(F.xxhash64("row_id"), F.lit(batches)) == i))
@@ -233,6 +232,7 @@ def repeated_spans(docs: DataFrame, window: int = 200, gram: int = 64, batches:
     family.drop()
     shape = F.col("place").bitwiseAND(F.lit(0xFFFF)).alias("shape")
     found = cut_lineage(places.join(candidates, "key").select("key", "segment", "row_id", "place", shape))
+    discard(docs.sparkSession, path)
     kinds = found.groupBy("key", "segment", "shape").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "place")).alias("one"))
     kinds = cut_lineage(kinds)
     sizes = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
