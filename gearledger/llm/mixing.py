@@ -32,10 +32,11 @@ WALK = 64
 def permuted(index: Column, size: Column, seed: Column) -> Column:
     """Position of ``index`` in a pseudorandom permutation of 0 .. size - 1."""
     side = F.ceil(F.sqrt(size.cast("double"))).cast("bigint")
-    side = F.when(side * side < size, side + 1).otherwise(side)
+    side = F.greatest(F.when(side * side < size, side + 1).otherwise(side), F.lit(1).cast("bigint"))
 
     def network(value: Column) -> Column:
-        left, right = F.floor(value / side).cast("bigint"), F.pmod(value, side)
+        right = F.pmod(value, side)
+        left = F.floor((value - right) / side).cast("bigint")
         cell = F.struct(left.alias("l"), right.alias("r"))
         for turn in range(ROUNDS):
             cell = F.transform(F.array(cell), lambda c, turn=turn: F.struct(
