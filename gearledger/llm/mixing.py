@@ -125,7 +125,9 @@ def mix(
     b = F.lit(block_words)
     first, last = F.floor(F.col("word_start") / b), F.floor((F.col("word_start") + F.col("size") - 1) / b)
     blocks = F.when(F.col("size") > 0, F.sequence(first.cast("bigint"), last.cast("bigint")))
-    pieces = placed.withColumn("block", F.explode_outer(blocks))
+    # The rows are short and give many pieces each, so they are dealt out evenly before.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = placed.repartition(parts, "doc_id", "text_key").withColumn("block", F.explode_outer(blocks))
     pieces = pieces.withColumn("position", permuted(F.col("block"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("source_rank"))))
     pieces = pieces.withColumn("short", permuted(F.col("blocks") - 1, F.col("blocks"), F.xxhash64(F.lit(seed), F.col("source_rank"))))
     short = pieces["blocks"] * b - pieces["source_size"]
