@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gearledger.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["WORD", "cut_lineage", "discard", "documents", "ensure_checkpoint_dir", "held_out", "stored", "table", "text_or_empty"]
+__all__ = ["WORD", "cut_lineage", "discard", "documents", "ensure_checkpoint_dir", "held_out", "sampled", "stored", "table", "text_or_empty"]
 
 #: A word: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +32,19 @@ def held_out(key: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def sampled(rows: DataFrame, group: str, size: int, key: str = "doc_id") -> DataFrame:
+    """(key, group) of about ``size`` rows of each group, those with the smallest hash of their key.
+
+    Groups are thinned by the hash to some ``size`` * 4 rows first, so ranking moves a bounded number of rows however large a group is.
+    """
+    steps = 1 << 30
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
+    share = F.least(F.lit(steps), F.ceil(F.lit(4 * size) * F.lit(float(steps)) / F.col("group_size")))
+    few = rows.select(key, group).join(sizes, group).filter(F.pmod(F.xxhash64(key), F.lit(steps)) < share)
+    order = Window.partitionBy(group).orderBy(F.pmod(F.xxhash64(key), F.lit(steps)), key)
+    return few.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= size).select(key, group).distinct()
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """Write a frame to a table in the shared folder that the cluster names; the table and its path, for ``discard``."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gearledger.llm.common import cut_lineage
+from gearledger.llm.common import cut_lineage, sampled
 
 
 @dataclass(frozen=True)
@@ -58,9 +58,7 @@ def fit(
 ) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that have a language; leave held-out rows away before."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= sample_rows)
-    sample = labelled.join(ids.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    sample = labelled.join(sampled(labelled, "lang", sample_rows), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

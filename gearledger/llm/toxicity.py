@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gearledger.llm.common import cut_lineage
+from gearledger.llm.common import cut_lineage, sampled
 
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -114,9 +114,7 @@ def fit(
     if len(counts) < 2:
         p = min(max(share, 1e-9), 1 - 1e-9)
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log(p / (1 - p))), bits, skips, inner)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "toxic").withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= sample_rows)
-    sample = rows.join(chosen.select("doc_id", "toxic").distinct(), ["doc_id", "toxic"], "left_semi").select("doc_id", "toxic", "text")
+    sample = rows.join(sampled(rows, "toxic", sample_rows), ["doc_id", "toxic"], "left_semi").select("doc_id", "toxic", "text")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = word_characters()
