@@ -11,7 +11,7 @@ from gearledger.operators import catalogue as ops
 from gearledger.operators import ranking, sets, statistics
 
 IDENTIFIERS = """SELECT CAST(l_partkey AS STRING) AS component_id, 'mpn' AS type, 'MX' || CAST(l_suppkey % 50 AS STRING) || CAST(l_partkey % 700 AS STRING) AS value, '' AS scope
-FROM {lineitem} WHERE l_returnflag = 'A'"""
+FROM {lineitem}"""
 
 
 def _page(df):

@@ -84,7 +84,7 @@ def q_collection_status(spark, folder):
 
 INDEXES = """SELECT 'index ' || r_name AS index_id, 'official' AS source_id, CASE r_regionkey WHEN 0 THEN 'The' ELSE 'Maker' END AS brand, 'gpu' AS category,
   CASE r_regionkey WHEN 0 THEN 'example.com' WHEN 1 THEN 'example.net' ELSE 'example.org' END AS domain,
-  CASE r_regionkey WHEN 0 THEN '^/[t-z]' WHEN 1 THEN '^/(a|e|o)' ELSE '^/' END AS product_pattern, r_regionkey * 40 + 30 AS max_candidates FROM {region} WHERE r_regionkey < 3"""
+  CASE r_regionkey WHEN 0 THEN '^/[t-z]' WHEN 1 THEN '^/(a|e|o)' ELSE '^/' END AS product_pattern, r_regionkey * 40 + 30 AS max_candidates FROM {region}"""
 PAGE_INDEX = "CASE WHEN url LIKE '%example.com%' THEN 'index AFRICA' WHEN url LIKE '%example.net%' THEN 'index AMERICA' ELSE 'index ASIA' END"
 
 
@@ -270,7 +270,7 @@ LINKS_SQL = f"""WITH i AS ({plain_sql(INDEXES)}), v AS (SELECT {PAGE_INDEX} AS i
   o AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id, pos, index_id) AS once FROM e),
   r AS (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY page_id, pos) AS place FROM o WHERE once = 1)
   SELECT 'candidate-' || substr(sha1('official:' || link || ':gpu'), 1, 16) AS candidate_id, link AS external_id, CASE WHEN starts_with({fold_sql('label')}, {fold_sql('brand')}) THEN label ELSE brand || ' ' || label END AS label, brand, index_id AS query
-  FROM r WHERE place <= max_candidates AND place <= 500"""
+  FROM r WHERE place <= max_candidates"""
 
 SITEMAP_SQL = f"""WITH u AS (SELECT page_id, 'https://' || lower(regexp_extract(url, '^https://([^/?#]*)', 1)) || {_TAIL('url')} AS url, {_TAIL('url')} AS path FROM pages WHERE url LIKE 'https://%')
   SELECT page_id, url, trim(regexp_replace(regexp_replace(list_filter(string_split(path, '/'), lambda x: x <> '')[-1], '(?i)\\.(?:s?html?|php)$', ''), '[_-]', ' ', 'g')) AS label FROM u WHERE len(list_filter(string_split(path, '/'), lambda x: x <> '')) > 0"""

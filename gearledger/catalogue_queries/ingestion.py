@@ -301,7 +301,7 @@ ORACLES = {
       s AS (SELECT *, coalesce(linked0, false) AS linked, CAST(shared AS DOUBLE) / (total - shared) AS j FROM p),
       t AS (SELECT *, least(99e-2, round(j * 85e-2 + CASE WHEN linked THEN 15e-2 ELSE 0e0 END, 4)) AS score FROM s)
       SELECT x AS left_id, y AS right_id, cx AS left_copies, cy AS right_copies, round(j, 6) AS jaccard, linked, score FROM t WHERE score >= 0.6""",
-    "duplicate_copies": f"WITH {_GROUPS} SELECT g.id AS representative, n.record_id, copies FROM n JOIN g ON n.brand = g.brand AND n.words = g.words WHERE n.record_id <> g.id",
+    "duplicate_copies": f"WITH {_GROUPS} SELECT g.id AS representative, n.record_id, copies, coalesce(r.mpn IS NOT NULL AND n.mpn IS NOT NULL AND (starts_with(n.num, r.num) OR starts_with(r.num, n.num)), false) AS linked, CASE WHEN linked THEN 0.99 ELSE 0.85 END::DOUBLE AS score FROM n JOIN g ON n.brand = g.brand AND n.words = g.words JOIN n r ON r.record_id = g.id WHERE n.record_id <> g.id",
     "prefix_numbers": f"""WITH n AS (SELECT DISTINCT {fold_sql('brand')} AS brand, 'ABCD' || completeness || CASE WHEN confidence > 70 THEN 'X' ELSE '' END AS number FROM ({plain_sql(COMPONENTS)}))
       SELECT a.brand, a.number AS long, b.number AS short FROM n a JOIN n b ON a.brand = b.brand AND starts_with(a.number, b.number)""",
     "normalize_curated": CURATED_SQL,

@@ -21,7 +21,7 @@ INDEX_DOMAINS = "SELECT 'Maker ' || n_name AS brand, lower(n_name) || '.example'
 PRODUCTS = f"SELECT CAST(p_partkey % 1900 AS STRING) AS product_id, {pick('p_size', *NINE, 'fridge')} AS category, CASE WHEN p_size % 7 = 0 THEN p_retailprice END AS new_price, CASE WHEN p_size % 23 = 0 THEN 1.5 END AS used_price FROM {{part}}"
 PROMOTED = f"SELECT 'open-' || CAST(s_suppkey AS STRING) AS product_id, CAST(s_suppkey AS STRING) AS candidate_id, {pick('s_nationkey', *NINE, 'fridge')} AS category, CASE WHEN s_nationkey = 3 THEN 'Détaillée' ELSE 'Documentaire' END AS status, CASE WHEN s_nationkey = 4 THEN s_acctbal END AS new_price, CAST(NULL AS DOUBLE) AS used_price, CASE WHEN s_nationkey = 5 THEN NULL ELSE 'https://m.example/' || CAST(s_suppkey % 3 AS STRING) END AS source, 'Maker en' AS brand FROM {{supplier}}"
 PROOFS = """SELECT CAST(doc_id % 120 AS STRING) AS candidate_id, CASE doc_id % 4 WHEN 0 THEN 'rejected' WHEN 1 THEN 'maybe' ELSE 'verified' END AS verification, CASE WHEN doc_id % 6 = 0 THEN 'Maker fr' ELSE 'Maker en' END AS manufacturer,
-  'https://' || CASE WHEN doc_id % 5 = 0 THEN 'bad.example' ELSE 'en.example.com' END || '/' || CAST(doc_id % 3 AS STRING) AS official_url, doc_id % 7 > 0 AS has_product FROM {labels} WHERE doc_id < 150 OR doc_id > 300"""
+  'https://' || CASE WHEN doc_id % 5 = 0 THEN 'bad.example' ELSE 'en.example.com' END || '/' || CAST(doc_id % 3 AS STRING) AS official_url, doc_id % 7 > 0 AS has_product FROM {labels}"""
 CANDIDATES = f"""SELECT CAST(doc_id AS STRING) AS candidate_id, source AS source_id, {pick('doc_id', *NINE, 'fridge')} AS category, 'Maker ' || lang AS brand,
   CASE WHEN doc_id % 13 = 0 THEN 'http' ELSE 'https' END || '://' || CASE WHEN doc_id % 3 = 0 THEN 'x.' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN 'de' ELSE lang END || '.example.com/p' AS url, text AS description,
   CASE WHEN doc_id % 31 = 0 THEN 'Publié' WHEN doc_id % 37 = 0 THEN '/home/x' ELSE 'À vérifier' END AS status,

@@ -39,6 +39,22 @@ def in_domains(url: Column, domains: Column) -> Column:
     return F.coalesce(F.arrays_overlap(host_suffixes(url), F.transform(domains, F.lower)), F.lit(False))
 
 
+def fold_dots(url: Column) -> Column:
+    """Absolute URL with the ``.`` and ``..`` segments of its path resolved; query and fragment stay."""
+    origin = F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    rest = F.regexp_extract(url, "([?#].*)$", 1)
+    parts = F.split(path(url), "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, part: (
+        F.when(part == ".", acc)
+        .when(part == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc))
+        .otherwise(F.concat(acc, F.array(part)))
+    ))
+    folder = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    has_dots = path(url).rlike("(?:^|/)\\.\\.?(?:/|$)")
+    return F.when(has_dots, F.concat(origin, F.array_join(folder, "/"), rest)).otherwise(url)
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Absolute form of a link found on a page (absolute, scheme-relative, root-relative, relative)."""
     clean = F.trim(href)
@@ -48,16 +64,16 @@ def resolve(base: Column, href: Column) -> Column:
     return (
         F.when(clean.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), clean)
         .when(clean.startswith("//"), F.concat(scheme, F.lit(":"), clean))
-        .when(clean.startswith("/"), F.concat(origin, clean))
+        .when(clean.startswith("/"), fold_dots(F.concat(origin, clean)))
         .when(clean.startswith("?") | clean.startswith("#"), F.concat(origin, path(base), clean))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), clean))
+        .otherwise(fold_dots(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), clean)))
     )
 
 
 def canonical(url: Column) -> Column:
     """Scheme, lower-case authority and path; only https links survive."""
-    authority = F.lower(F.regexp_extract(url, "^https://([^/?#]*)", 1))
-    return F.when(url.startswith("https://"), F.concat(F.lit("https://"), authority, path(url)))
+    authority = F.lower(F.regexp_extract(url, "^(?i:https)://([^/?#]*)", 1))
+    return F.when(F.lower(F.substring(url, 1, 8)) == "https://", F.concat(F.lit("https://"), authority, path(url)))
 
 
 def link_label(text: Column, url: Column, segment: Column) -> Column:

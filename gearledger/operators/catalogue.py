@@ -12,10 +12,7 @@ from gearledger.functions.scores import value_score
 from gearledger.functions.specs import display, flat_text
 from gearledger.functions.text import fold_text, normalize_identifier, plain
 from gearledger.model.dimensions import CATALOGUE_TO_PRODUCT
-from gearledger.operators.ranking import with_position
 
-# Up to this many rows a page is a top-k; beyond it rows get a global position instead.
-TOP_K_ROWS = 100_000
 SORTS = ("relevance", "name", "newest", "completeness")
 
 
@@ -105,10 +102,8 @@ def list_components(
     shown = [c for c in components.columns if c not in ("search_document", "raw")]
     ranked = kept.select(*shown, rank.alias("rank"))
     order, offset = _order(sort, q), (page - 1) * limit
-    if offset + limit <= TOP_K_ROWS:
-        rows = ranked.orderBy(*order).offset(offset).limit(limit)
-    else:
-        rows = with_position(ranked, order).filter(F.col("position").between(offset, offset + limit - 1)).drop("position")
+    # A page is a top-k at any depth; for far pages of huge catalogues ``list_after`` needs no rows before the page.
+    rows = ranked.orderBy(*order).offset(offset).limit(limit)
     total = kept.select(F.count("*").alias("n")).scalar()
     return rows.withColumn("total_count", total)
 
@@ -186,9 +181,7 @@ def browse(
     # The page count is a single figure needed to clamp the page before it is cut.
     pages = max(1, -(-kept.count() // page_size))
     offset = (min(page, pages) - 1) * page_size
-    if offset + page_size <= TOP_K_ROWS:
-        return kept.orderBy(*order).offset(offset).limit(page_size)
-    return with_position(kept, order).filter(F.col("position").between(offset, offset + page_size - 1)).drop("position")
+    return kept.orderBy(*order).offset(offset).limit(page_size)
 
 
 def priced(products: DataFrame) -> DataFrame:

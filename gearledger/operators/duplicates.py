@@ -37,12 +37,18 @@ def name_groups(members: DataFrame) -> DataFrame:
 
 
 def copies(records: DataFrame) -> DataFrame:
-    """Every record that repeats a name of its brand, beside the representative of its group."""
-    members = name_members(records).select("record_id", "group_id")
-    groups = name_groups(name_members(records)).filter(F.col("copies") > 1).select("group_id", "representative", "copies")
-    return members.join(groups, "group_id").filter(F.col("record_id") != F.col("representative")).select(
-        "representative", "record_id", "copies"
-    )
+    """Every record that repeats a name of its brand, beside the representative of its group.
+
+    Columns: representative, record_id, copies, linked (their part numbers are prefix-related) and the exact score
+    of the two records, whose name words are equal.
+    """
+    members = name_members(records)
+    groups = name_groups(members).filter(F.col("copies") > 1).select("group_id", "representative", "copies")
+    first = members.select(F.col("record_id").alias("representative"), F.col("numbers").alias("first_numbers"))
+    found = members.join(groups, "group_id").filter(F.col("record_id") != F.col("representative")).join(first, "representative")
+    related = F.exists("numbers", lambda n: F.exists("first_numbers", lambda m: F.startswith(n, m) | F.startswith(m, n)))
+    score = F.when(related, F.lit(TOP_SCORE)).otherwise(F.lit(NAME_WEIGHT))
+    return found.select("representative", "record_id", "copies", related.alias("linked"), score.alias("score"))
 
 
 def _rare_first(groups: DataFrame) -> DataFrame:
@@ -108,6 +114,8 @@ def duplicate_pairs(records: DataFrame, min_score: float) -> DataFrame:
     Columns: left_id, right_id (representatives), left_copies, right_copies, jaccard, linked, score. The score is
     the highest any record of one group reaches with any record of the other.
     """
+    if min_score <= PREFIX_BONUS:
+        raise ValueError(f"min_score must be above {PREFIX_BONUS}: pairs without a common word are not looked for")
     members = name_members(records)
     groups = name_groups(members)
     low = (min_score - PREFIX_BONUS) / NAME_WEIGHT

@@ -25,7 +25,6 @@ from gearledger.operators.sets import (
 from gearledger.session import cut_lineage
 
 PER_BRAND_CATEGORY = 25
-INDEX_CANDIDATES = 500
 QUEUE_LENGTH = 2500
 TO_CHECK = "À vérifier"
 OFFICIAL = "manufacturer-index"
@@ -58,12 +57,12 @@ def score_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def discover_links(pages: DataFrame, indexes: DataFrame, limit: int = INDEX_CANDIDATES) -> DataFrame:
+def discover_links(pages: DataFrame, indexes: DataFrame, limit: int | None = None) -> DataFrame:
     """Product links of stored official index pages.
 
     ``pages``: index_id, page_no, url, html. ``indexes``: index_id, source_id, brand, category, domains,
     product_patterns, label_patterns, max_candidates, label_segment. An index yields its first ``max_candidates``
-    candidates, never more than ``limit``.
+    candidates; ``limit`` is an overall quota, filled in the order of the indexes' ids (default: none).
     """
     found = pages.join(indexes, "index_id").select(
         "index_id", "source_id", "brand", "category", "domains", "product_patterns", "label_patterns", "max_candidates",
@@ -86,9 +85,10 @@ def discover_links(pages: DataFrame, indexes: DataFrame, limit: int = INDEX_CAND
         wanted.withColumn("candidate_id", candidate_key(F.col("source_id"), F.col("url"), F.col("category"))),
         ["candidate_id"], ["page_no", "position", "index_id"],
     )
-    first = cap_per_group(once, ["index_id"], ["page_no", "position"], limit)
     rank = F.row_number().over(_window(["index_id"], ["page_no", "position"]))
-    kept = first.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("max_candidates"))
+    kept = once.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("max_candidates"))
+    if limit is not None:
+        kept = kept.orderBy("index_id", "_rank").limit(limit)
     prefixed = F.when(
         F.startswith(fold_text(F.col("label")), fold_text(F.col("brand"))), F.col("label")
     ).otherwise(F.concat_ws(" ", "brand", "label"))

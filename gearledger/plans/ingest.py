@@ -63,7 +63,7 @@ def assemble(fields: DataFrame) -> DataFrame:
 
     texts = ("subcategory", "brand", "manufacturer", "model", "series", "name", "mpn", "gtin", "ean", "upc", "description", "short_description", "media")
     is_spec = F.col("key").startswith(SPEC_PREFIX)
-    pair = F.struct(F.substring("key", len(SPEC_PREFIX) + 1, 1000).alias("key"), "value")
+    pair = F.struct(F.substring("key", len(SPEC_PREFIX) + 1, 2**31 - 1).alias("key"), "value")
     wide = fields.groupBy("component_id").agg(
         *[scalar(t) for t in texts],
         F.max(F.when(F.col("key") == "release_date", F.col("value.s"))).cast("date").alias("release_date"),

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gearledger.functions.specs import from_variant
+from gearledger.functions.text import unescape_html
 
-EXPORT_SCHEMA = (
+EXPORT_FIELDS = (
     "icecat_id string, category string, brand string, mpn string, name string, gtin string, ean string, upc string, "
     "description string, short_description string, specifications map<string,variant>, "
-    "images struct<main:string,gallery:array<string>>, source_url string, license string, _corrupt_record string"
+    "images struct<main:string,gallery:array<string>>, source_url string, license string"
 )
+EXPORT_SCHEMA = EXPORT_FIELDS + ", _corrupt_record string"
 PRODUCT_SCHEMA = (
     "product_id string, category string, brand string, name string, reference string, series string, year int, "
     "launch_price double, new_price double, used_price double, performance double, confidence string, status string, "
@@ -23,7 +25,7 @@ PRODUCT_SCHEMA = (
 
 def read_open_db(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, errors) of a tree with one folder per category and one JSON object per file."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     parsed = files.select(
         F.regexp_extract(name, "([^/]+)/[^/]+$", 1).alias("folder"),
@@ -35,10 +37,24 @@ def read_open_db(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """A licensed export, either one JSON array or one object per line."""
-    head = spark.read.text(path).filter(F.trim("value") != "").head(1)
-    array = bool(head) and head[0][0].lstrip().startswith("[")
-    rows = spark.read.schema(EXPORT_SCHEMA).option("multiLine", array).option("mode", "PERMISSIVE").json(path)
+    """A licensed export: files that hold one JSON array, and files with one object per line, in any mixture.
+
+    The first character of a file that is not blank decides. Text that doesn't parse is a row with ``_corrupt_record``.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    name = F.col("_metadata.file_path").alias("file")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(name, place.alias("place"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    lines = lines.filter(F.trim("value") != "")
+    first = lines.groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "place").alias("first"))
+    arrays = first.filter(F.col("first") == "[").select("file")
+    whole = spark.read.text(path, wholetext=True).select(name, "value").join(arrays, "file", "left_semi")
+    text = F.regexp_replace("value", "^\ufeff", "")
+    parsed = whole.select(text.alias("text"), F.from_json(text, f"array<struct<{EXPORT_FIELDS}>>", options).alias("listed"))
+    inside = parsed.filter(F.col("listed").isNotNull()).select(F.inline("listed"))
+    broken = parsed.filter(F.col("listed").isNull()).select(F.col("text").alias("_corrupt_record"))
+    single = lines.join(arrays, "file", "left_anti").select(F.from_json("value", EXPORT_SCHEMA, options).alias("r")).select("r.*")
+    rows = single.unionByName(inside, allowMissingColumns=True).unionByName(broken, allowMissingColumns=True)
     empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:variant>>"))
     specs = F.transform_values(F.coalesce("specifications", empty), lambda _k, v: from_variant(v))
     raw = F.to_json(F.struct(*[c for c in rows.columns if c != "_corrupt_record"]))
@@ -87,9 +103,13 @@ def read_id_database(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     """``<loc>`` texts of sitemap files in document order, whatever the XML namespace prefix."""
-    files = spark.read.option("wholetext", True).text(path)
-    locs = F.regexp_extract_all("value", F.lit("<(?:[A-Za-z0-9_]+:)?loc[^>]*>\\s*([^<]*?)\\s*</"), F.lit(1))
-    return files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(locs).alias("position", "url"))
+    files = spark.read.text(path, wholetext=True)
+    element = "<(?:[A-Za-z0-9_]+:)?loc(?:\\s[^>]*)?>((?:[^<]|<!\\[CDATA\\[(?s:.*?)\\]\\]>)*+)</"
+    locs = F.regexp_extract_all("value", F.lit(element), F.lit(1))
+    found = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(locs).alias("position", "raw"))
+    # A CDATA section is taken as it is, other text has character references.
+    literal = F.regexp_extract("raw", "(?s)^\\s*<!\\[CDATA\\[(.*?)\\]\\]>\\s*$", 1)
+    return found.select("path", "position", F.btrim(F.when(literal != "", literal).otherwise(unescape_html(F.col("raw"))), F.lit(" \t\r\n")).alias("url"))
 
 
 def read_pages(spark: SparkSession, path: str, columns: Sequence[str] = ("page_id", "url", "html")) -> DataFrame:

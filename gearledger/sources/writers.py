@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +37,18 @@ class CatalogStore:
 
     def versions(self) -> list[str]:
         """Committed versions, oldest first. A version counts once its marker file exists."""
+        return sorted(n.split(".")[0] for n in self._markers())
+
+    def _markers(self) -> list[str]:
         root, fs = self._fs(self.path)
         if not fs.exists(root):
             return []
         names = [status.getPath().getName() for status in fs.listStatus(root)]
-        return sorted(n[:-5] for n in names if n.endswith(".done"))
+        return [n for n in names if n.endswith(".done")]
+
+    def committed(self, writer: str) -> bool:
+        """Whether the batch that ``writer`` names is in the catalogue already."""
+        return any(n.split(".")[1] == _tag(writer) for n in self._markers())
 
     def read(self) -> CatalogTables | None:
         found = self.versions()
@@ -47,17 +56,25 @@ class CatalogStore:
             return None
         return CatalogTables(**{t: self.spark.read.parquet(f"{self.path}/{found[-1]}/{t}") for t in TABLES})
 
-    def write(self, tables: CatalogTables, version: int) -> bool:
-        """Write one version; False when it was committed before."""
-        name = f"v{version:012d}"
-        if name in self.versions():
-            return False
+    def write(self, tables: CatalogTables, writer: str | None = None) -> str | None:
+        """Write the next version and return its name; None when ``writer`` (a stream and its batch) committed one before.
+
+        Versions are counted by the store, whoever writes them; the marker of a version names its writer.
+        """
+        if writer is not None and self.committed(writer):
+            return None
+        found = self.versions()
+        name = f"v{int(found[-1][1:]) + 1 if found else 1:012d}"
         for table, df in tables.as_dict().items():
             keys = CLUSTERING[table]
             df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{self.path}/{name}/{table}")
-        marker, fs = self._fs(f"{self.path}/{name}.done")
+        marker, fs = self._fs(f"{self.path}/{name}.{_tag(writer or uuid.uuid4().hex)}.done")
         fs.create(marker, True).close()
-        return True
+        return name
+
+
+def _tag(writer: str) -> str:
+    return hashlib.sha256(writer.encode()).hexdigest()[:32]
 
 
 def write_lanes(df: DataFrame, path: str, lane: str = "lane") -> None:

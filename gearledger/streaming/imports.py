@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +28,20 @@ def import_stream(
 ) -> StreamingQuery:
     """Take every micro-batch into the catalogue, exactly once.
 
-    A batch writes the catalogue version of its own number. When a batch is replayed after a failure that version
-    is found and skipped; repeats of a source record inside a batch are taken once.
+    The commit marker of a catalogue version names the stream and the batch that wrote it. A batch that is replayed
+    after a failure finds its marker and is skipped; batches of other streams, whatever their numbers, are not taken for
+    it. Repeats of a source record inside a batch are taken once.
     """
+    spark = stream.sparkSession
+
     def take(batch: DataFrame, batch_id: int) -> None:
-        version = f"v{batch_id + 1:012d}"
-        if version in store.versions():
+        # Spark writes the id of the stream into its checkpoint before the first batch.
+        stream_id = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        writer = f"{stream_id}/{batch_id}"
+        if store.committed(writer):
             return
         tables, outcomes = ingest(repeatable(normalize(batch)), store.read(), seen_at)
-        store.write(tables, batch_id + 1)
+        version = store.write(tables, writer)
         if log_path:
             counted = outcomes.groupBy("source_key", "category").agg(
                 F.count_if(F.col("outcome") == "created").alias("created"), F.count_if(F.col("outcome") == "updated").alias("updated")

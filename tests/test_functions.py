@@ -114,3 +114,15 @@ def test_character_references(spark):
     assert run(spark, "v string", [(r,) for r in rows], text.unescape_html(F.col("v"))) == [html.unescape(r) for r in rows]
     odd = run(spark, "v string", [("&unknown;",), ("&#xD800;",), (None,)], text.unescape_html(F.col("v")))
     assert odd == ["&unknown;", "\ufffd", None]
+
+
+def test_relative_links_and_scheme_case(spark):
+    from gearledger.functions.urls import canonical, resolve
+
+    base = "https://a.b/x/y/z.html"
+    cases = {"../p": "https://a.b/x/p", "../../../q": "https://a.b/q", "./r": "https://a.b/x/y/r", "/m/../n": "https://a.b/n", "..": "https://a.b/x/",
+             "s/../t?u=..": "https://a.b/x/y/t?u=..", "plain": "https://a.b/x/y/plain", "https://c.d/e/../f": "https://c.d/e/../f"}
+    df = spark.createDataFrame([(base, h) for h in cases], "base string, href string")
+    assert {r.href: r.url for r in df.select("href", resolve(F.col("base"), F.col("href")).alias("url")).collect()} == cases
+    df = spark.createDataFrame([("HTTPS://A.b/P",), ("http://a.b/p",)], "u string")
+    assert [r[0] for r in df.select(canonical(F.col("u"))).collect()] == ["https://a.b/P", None]

@@ -142,7 +142,9 @@ def test_store_and_stream_equal_batch(spark, three_waves, tmp_path):
     pick = ["component_id", "name", "completeness", "search_document"]
     assert sorted(map(tuple, store.read().components.select(*pick).collect())) == sorted(map(tuple, batch.components.select(*pick).collect()))
     versions = store.versions()
-    assert len(versions) >= 1 and store.write(store.read(), int(versions[-1][1:])) is False
+    assert len(versions) >= 1 and store.write(store.read(), "other/0") == f"v{int(versions[-1][1:]) + 1:012d}"
+    assert store.write(store.read(), "other/0") is None
+    versions = store.versions()
     # nothing new: the same query adds no version
     import_stream(file_stream(spark, folder, three_waves[1].schema), lambda df: df, store, str(tmp_path / "checkpoint"), "2024-01-01").awaitTermination()
     assert store.versions() == versions
@@ -189,3 +191,44 @@ def test_split_text_file_keeps_line_order(spark, tmp_path):
         assert [r.line for r in found.orderBy("line_no").collect()] == lines
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_streams_share_a_store(spark, three_waves, tmp_path):
+    """Batches of a second stream have the same numbers and are not taken for those of the first."""
+    store = CatalogStore(spark, str(tmp_path / "catalogue"))
+    expected = set()
+    for n, wave in enumerate(three_waves[:2]):
+        folder = str(tmp_path / f"in{n}")
+        wave.repartition(1).write.parquet(folder)
+        import_stream(file_stream(spark, folder, wave.schema), lambda df: df, store, str(tmp_path / f"checkpoint{n}"), "2024-01-01").awaitTermination()
+        expected |= {(r.source_key, r.source_record_id) for r in wave.collect()}
+    assert {(r.source_key, r.source_record_id) for r in store.read().sources.collect()} == expected
+    assert len(store.versions()) == 2
+
+
+def test_export_folder_may_mix_arrays_and_lines(spark, tmp_path):
+    import json
+
+    folder = tmp_path / "export"
+    folder.mkdir()
+    row = lambda i: {"icecat_id": str(i), "brand": "B", "name": f"n{i}", "specifications": {"a": i}}
+    (folder / "b.json").write_text("\n [" + ",\n".join(json.dumps(row(i), indent=1) for i in range(2)) + "]")
+    (folder / "a.jsonl").write_text("\n".join(json.dumps(row(i)) for i in range(2, 7)) + "\n\nnot json\n")
+    (folder / "c.json").write_text("[{broken")
+    rows = read_export(spark, str(folder)).collect()
+    assert sorted(r.name for r in rows if r.name) == [f"n{i}" for i in range(7)]
+    assert sorted(r._corrupt_record for r in rows if r._corrupt_record) == ["[{broken", "not json"]
+
+
+def test_sitemap_entities_and_cdata(spark, tmp_path):
+    (tmp_path / "m.xml").write_text("<urlset><url><loc>\n https://a.example/p?x=1&amp;y=2 </loc></url><url><x:loc><![CDATA[https://a.example/q&z]]></x:loc></url><location>no</location></urlset>")
+    assert [r.url for r in read_sitemap(spark, str(tmp_path / "m.xml")).orderBy("position").collect()] == ["https://a.example/p?x=1&y=2", "https://a.example/q&z"]
+
+
+def test_open_db_files_may_span_lines(spark, tmp_path):
+    import json
+
+    (tmp_path / "CPU").mkdir()
+    (tmp_path / "CPU" / "x.json").write_text(json.dumps({"opendb_id": "x", "metadata": {"name": "n"}}, indent=2))
+    records, errors = read_open_db(spark, str(tmp_path))
+    assert (records.count(), errors.count(), records.first().file_id) == (1, 0, "x")
