@@ -165,7 +165,7 @@ def near_copies(
 
     At a Jaccard similarity of 0.8 fingerprints of 64 bits differ in up to 17 bits, which no choice of equal blocks enumerates
     for many documents. So here candidates come from bands of min-hashes: every text meets the two members of its band that
-    have the least and the greatest hash under that band, so a band of any size gives two links per text. Candidates whose pivot
+    have the least and the greatest hash, by one of four orders, so a band of any size gives two links per text. Candidates whose pivot
     tables differ by more than ``loose`` in a coordinate are discarded, survivors are verified by the share of equal min-hashes
     (one byte each; standard error 0.025 for 256). Texts are named by their MD5; a text without words is in a group of its own.
     """
@@ -192,7 +192,9 @@ def near_copies(
     made = cut_lineage(made)
     # Copies have equal rows; one of each goes on.
     single = cut_lineage(made.groupBy("text_key").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    members = single.select("text_key", F.explode("bands").alias("band")).withColumn("turn", F.xxhash64("text_key", "band"))
+    # Four orders of the texts, so the bands of one group mostly agree on who leads and the same link is found many times.
+    members = single.select("text_key", F.posexplode("bands").alias("number", "band"))
+    members = members.withColumn("turn", F.xxhash64("text_key", F.col("number") % 4)).drop("number")
     heads = members.groupBy("band").agg(F.min(F.struct("turn", "text_key")).alias("low"), F.max(F.struct("turn", "text_key")).alias("high"))
     heads = heads.filter("low.text_key <> high.text_key").select("band", F.array("low.text_key", "high.text_key").alias("heads"))
     met = members.join(heads, "band").select("text_key", F.explode("heads").alias("head")).filter("text_key <> head")
