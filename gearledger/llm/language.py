@@ -8,7 +8,7 @@ penalty per language times the log of the number of n-grams.
 
 The likelihoods are fitted on a bounded sample: of each language the ``sample_rows`` labelled rows with the smallest hash of
 their id. Counting is a Spark aggregate over (language, n-gram) with map-side sums; the model that is sent to the tasks has
-languages * 2**bits numbers, whatever the corpus. At most ``max_languages`` languages, the most frequent in the sample, are kept.
+languages * 2**bits numbers, whatever the corpus. At most ``max_languages`` languages, those with most labelled rows, are kept.
 
 Defined results: a null text, a text without a letter, and any text when nothing was learned, is ``und`` with score 0. Rows
 without a language label or id teach nothing. Equal likelihoods go to the language first in order of code points.
@@ -58,7 +58,9 @@ def fit(
 ) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that have a language; leave held-out rows away before."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sample = labelled.join(sampled(labelled, "lang", sample_rows), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # At most max_languages * sample_rows short rows, so the texts that are not in the sample stay where they lie.
+    chosen = F.broadcast(sampled(labelled, "lang", sample_rows, max_languages))
+    sample = labelled.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

@@ -114,7 +114,7 @@ def fit(
     if len(counts) < 2:
         p = min(max(share, 1e-9), 1 - 1e-9)
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log(p / (1 - p))), bits, skips, inner)
-    sample = rows.join(sampled(rows, "toxic", sample_rows), ["doc_id", "toxic"], "left_semi").select("doc_id", "toxic", "text")
+    sample = rows.join(sampled(rows, "toxic", sample_rows, 2), ["doc_id", "toxic"], "left_semi").select("doc_id", "toxic", "text")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = word_characters()
