@@ -114,7 +114,10 @@ def fit(
     if len(counts) < 2:
         p = min(max(share, 1e-9), 1 - 1e-9)
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log(p / (1 - p))), bits, skips, inner)
-    sample = rows.join(sampled(rows, "toxic", sample_rows, 2), ["doc_id", "toxic"], "left_semi").select("doc_id", "toxic", "text")
+    # At most 2 * sample_rows short rows. The ids alone reach the scan of the texts, below the join that brought the labels.
+    chosen = cut_lineage(sampled(rows, "toxic", sample_rows, 2))
+    sample = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    sample = sample.join(F.broadcast(chosen), ["doc_id", "toxic"], "left_semi").select("doc_id", "toxic", "text")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = word_characters()
