@@ -211,7 +211,7 @@ def q_only_enabled(spark, folder):
 
 def q_overlay(spark, folder):
     base = shape(spark, folder, "SELECT c_custkey AS id, c_mktsegment AS value FROM {customer}")
-    fresh = shape(spark, folder, "SELECT o_custkey AS id, 'order ' || CAST(max(o_orderkey) AS STRING) AS value FROM {orders} WHERE o_orderstatus = 'P' GROUP BY o_custkey")
+    fresh = shape(spark, folder, "SELECT o_custkey AS id, 'order ' || CAST(max(o_orderkey) AS STRING) AS value FROM {orders} GROUP BY o_custkey")
     return sets.overlay(base, fresh, ["id"])
 
 
@@ -233,8 +233,8 @@ def q_union_feeds(spark, folder):
 
 
 def q_retry_ledger(spark, folder):
-    ledger = shape(spark, folder, "SELECT c_custkey AS candidate_id, CAST(c_nationkey % 4 + 1 AS INT) AS attempts, '2024-01-01' AS last_attempt, c_mktsegment AS error FROM {customer} WHERE c_acctbal > 1000")
-    results = shape(spark, folder, "SELECT o_custkey AS candidate_id, max(CASE WHEN o_orderstatus = 'F' THEN 'HTTPError' END) AS error FROM {orders} WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey")
+    ledger = shape(spark, folder, "SELECT c_custkey AS candidate_id, CAST(c_nationkey % 4 + 1 AS INT) AS attempts, '2024-01-01' AS last_attempt, c_mktsegment AS error FROM {customer}")
+    results = shape(spark, folder, "SELECT o_custkey + 3 AS candidate_id, max(CASE WHEN o_orderstatus = 'F' THEN 'HTTPError' END) AS error FROM {orders} GROUP BY o_custkey")
     return sets.update_ledger(ledger, results, "2024-02-01")
 
 
@@ -331,14 +331,14 @@ ORACLES = {
       SELECT product_id, reference AS label, {fold_sql('reference')} IN (SELECT i FROM k) AS duplicate FROM p WHERE category <> 'cpu'""",
     "drop_promoted": "SELECT o_custkey AS candidate_id, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
     "only_enabled": "SELECT c_nationkey AS source_id, c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)",
-    "overlay": """WITH f AS (SELECT o_custkey AS id, 'order ' || CAST(max(o_orderkey) AS VARCHAR) AS value FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey)
+    "overlay": """WITH f AS (SELECT o_custkey AS id, 'order ' || CAST(max(o_orderkey) AS VARCHAR) AS value FROM orders GROUP BY o_custkey)
       SELECT * FROM f UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT id FROM f)""",
     "orphans": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "same_set": """SELECT id, 'left' AS side FROM (SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey + 3 FROM orders)
       UNION ALL SELECT id, 'right' FROM (SELECT o_custkey + 3 AS id FROM orders EXCEPT SELECT c_custkey FROM customer)""",
     "union_feeds": "SELECT c_custkey AS id, c_name AS name, NULL AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier",
-    "retry_ledger": """WITH l AS (SELECT c_custkey AS candidate_id, c_nationkey % 4 + 1 AS attempts, c_mktsegment AS error FROM customer WHERE c_acctbal > 1000),
-      r AS (SELECT o_custkey AS candidate_id, max(CASE WHEN o_orderstatus = 'F' THEN 'HTTPError' END) AS new_error, true AS tried FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
+    "retry_ledger": """WITH l AS (SELECT c_custkey AS candidate_id, c_nationkey % 4 + 1 AS attempts, c_mktsegment AS error FROM customer),
+      r AS (SELECT o_custkey + 3 AS candidate_id, max(CASE WHEN o_orderstatus = 'F' THEN 'HTTPError' END) AS new_error, true AS tried FROM orders GROUP BY o_custkey)
       SELECT candidate_id, coalesce(attempts, 0) + CASE WHEN tried THEN 1 ELSE 0 END AS attempts, CASE WHEN tried THEN '2024-02-01' ELSE '2024-01-01' END AS last_attempt, coalesce(new_error, error) AS error
       FROM l FULL JOIN r USING (candidate_id) WHERE tried IS NULL OR new_error IS NOT NULL""",
 }
