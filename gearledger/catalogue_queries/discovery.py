@@ -175,7 +175,7 @@ def q_page_evidence(spark, folder):
 
 def q_evidence_summary(spark, folder):
     found = _page_evidence(spark, folder)
-    return pages_jobs.evidence_summary(candidates(spark, folder).select("candidate_id"), found, table(spark, folder, "labels").filter("toxic = 1"))
+    return pages_jobs.evidence_summary(candidates(spark, folder).select("candidate_id"), found, table(spark, folder, "labels"))
 
 
 SECTION_LINES = f"""SELECT 'doc ' || CAST(p_partkey % 2 AS STRING) AS doc, p_partkey * 10 AS line_no, 'paragraph' AS kind,
@@ -363,7 +363,7 @@ ORACLES = {
     "review_kpis": f"""WITH c AS (SELECT candidate_id FROM ({CS})) SELECT count(*) FILTER (quality = 1) AS verified, count(*) FILTER (c_custkey IS NOT NULL) AS integrated, count(*) FILTER (quality IS NULL AND c_custkey IS NULL) AS pending
       FROM c LEFT JOIN labels ON c.candidate_id = CAST(labels.doc_id AS VARCHAR) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) i ON c.candidate_id = CAST(c_custkey AS VARCHAR)""",
     "page_evidence": f"WITH {EVIDENCE_BODY} SELECT * FROM r",
-    "evidence_summary": f"""WITH {EVIDENCE_BODY}, t AS (SELECT (SELECT count(*) FROM documents) AS official, (SELECT count(*) FROM r) AS collected, (SELECT count(*) FROM labels WHERE toxic = 1) AS failures)
+    "evidence_summary": f"""WITH {EVIDENCE_BODY}, t AS (SELECT (SELECT count(*) FROM documents) AS official, (SELECT count(*) FROM r) AS collected, (SELECT count(*) FROM labels) AS failures)
       SELECT 'official' AS name, official AS value FROM t UNION ALL SELECT 'collected', collected FROM t UNION ALL SELECT 'remaining', official - collected FROM t UNION ALL SELECT 'failures', failures FROM t
       UNION ALL SELECT 'status:' || s, (SELECT count(*) FROM r WHERE status = s) FROM (SELECT unnest(['insufficient-metadata', 'page-metadata', 'structured-product']) AS s)""",
     "outline_sections": SECTIONS_SQL,
