@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gearledger.llm.common import cut_lineage
+from gearledger.llm.common import cut_lineage, discard, stored
 from gearledger.llm.components import components
 
 BITS = 64
@@ -149,73 +149,112 @@ def hex_fingerprint(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def _least(hashes: np.ndarray, factors: np.ndarray, chunk: int = 2048) -> np.ndarray:
-    """Min-hashes of a set of shingle hashes under multiplicative permutations."""
-    out = np.full(len(factors), np.uint64(2**64 - 1))
-    for at in range(0, len(hashes), chunk):
-        mixed = hashes[at:at + chunk, None] * factors[None, :]
-        out = np.minimum(out, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
-    return out
-
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 2048, sample_texts: int = 4096) -> DataFrame:
+    """(text_key, component) of every text of ``docs`` that has a near copy: groups of texts whose sets of word shingles are similar.
 
-def near_copies(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, loose: int = 24, pivots: int = 64, minhashes: int = 256, bands: int = 24, rows: int = 6,
-) -> DataFrame:
-    """(text_key, component) of every distinct text of ``docs``: groups of texts whose word shingles are similar.
+    Two texts are linked exactly if the Jaccard value of their distinct shingle hashes is ``similarity`` or more. Fingerprints of such
+    texts differ in too many bits for blocks, so candidates come from a prefix filter: all sets are put in one order, common shingles
+    last, and two similar sets share one of their first ``size - ceil(similarity * size) + 1`` shingles. At the first shared one what is
+    left of both sets must reach the overlap that their sizes ask for. Any order finds the same pairs; which shingles are common is
+    read from ``sample_texts`` texts.
 
-    At a Jaccard similarity of 0.8 fingerprints of 64 bits differ in up to 17 bits, which no choice of equal blocks enumerates
-    for many documents. So here candidates come from bands of min-hashes: every text meets the two members of its band that
-    have the least and the greatest hash, by one of four orders, so a band of any size gives two links per text. Candidates whose pivot
-    tables differ by more than ``loose`` in a coordinate are discarded, survivors are verified by the share of equal min-hashes
-    (one byte each; standard error 0.025 for 256). Texts are named by their MD5; a text without words is in a group of its own.
+    Groups don't need all of their pairs: first every text meets two leaders of each of its shingles, the one whose shingles are shared
+    most and the one with the least hash; then all pairs that these links leave in different components are decided. A shingle that
+    over ``crowd`` texts share is dealt over several tasks. Texts are named by their MD5; a text without words is in a group of its own.
     """
-    factors = np.random.default_rng(11).integers(1, 2**63, minhashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    refs = references(pivots)
+    spark = docs.sparkSession
+    texts = docs.select(F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), "text")
+    steps = 1 << 30
+    share = min(steps, -(-sample_texts * steps // max(1, texts.count())))
+    some = texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(steps)) < share).dropDuplicates(["text_key"])
 
-    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in frame["text"]]
+            hashes, n = np.unique(np.concatenate([*sets, np.zeros(0, dtype="<u8")]), return_counts=True)
+            yield pd.DataFrame({"hash": hashes.view("<i8"), "n": n.astype(np.int64)})
+
+    often = some.mapInPandas(counted, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 3")
+    often = often.orderBy(F.desc("n"), "hash").limit(1 << 20).collect()
+    often = sorted((r["hash"] & (1 << 64) - 1, r["n"]) for r in often)
+    common = spark.sparkContext.broadcast((np.array([h for h, _ in often], dtype="<u8"), np.array([n for _, n in often], dtype=np.int64)))
+
+    def first_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, times = common.value
         for frame in batches:
             out = []
             for key, text in zip(frame["text_key"], frame["text"], strict=True):
-                hashes = shingle_hashes(text, shingle)
-                if not len(hashes):
+                hashes = np.unique(shingle_hashes(text, shingle))
+                size = len(hashes)
+                if not size:
                     continue
-                least = _least(np.unique(hashes), factors)
-                keys = least[: bands * rows].reshape(bands, rows) * factors[:rows]
-                mixed = np.bitwise_xor.reduce(keys ^ (keys >> np.uint64(29)), axis=1) * factors[0] + np.arange(bands, dtype=np.uint64)
-                out.append((key, majority(hashes), mixed.view(np.int64), (least >> np.uint64(40)).astype(np.uint8).tobytes()))
-            made = pd.DataFrame(out, columns=["text_key", "fingerprint", "bands", "sketch"])
-            made["fingerprint"] = np.array(made["fingerprint"].tolist(), dtype="<u8").view("<i8")
-            yield made
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    hashes = hashes[np.argsort(np.where(known[at] == hashes, times[at], 0), kind="stable")]
+                out.append((key, size, hashes[: size - int(np.ceil(similarity * size - 1e-9)) + 1].view("<i8")))
+            yield pd.DataFrame(out, columns=["text_key", "size", "first"])
+
+    made = texts.mapInPandas(first_ones, "text_key string, size bigint, first array<bigint>")
+    # Copies have equal rows; one of each goes on. The number is written with its row, so it stays.
+    single = made.groupBy("text_key").agg(F.first("size").alias("size"), F.first("first").alias("first"))
+    single = cut_lineage(single.withColumn("node", F.monotonically_increasing_id()))
+
+    # ``rest``: shingles of the set from this one on.
+    rows = single.select("node", "size", F.posexplode("first").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"))
+    sizes = cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = cut_lineage(rows.join(sizes, "key"))
+    central = shared.groupBy("node").agg((F.sum("n") / F.first("size")).alias("central"))
+    shared = cut_lineage(shared.join(central, "node"))
 
-    texts = docs.select(F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), "text")
-    made = texts.mapInPandas(sketched, "text_key string, fingerprint bigint, bands array<bigint>, sketch binary")
-    made = cut_lineage(made)
-    # Copies have equal rows; one of each goes on.
-    single = cut_lineage(made.groupBy("text_key").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    # Four orders of the texts, so the bands of one group mostly agree on who leads and the same link is found many times.
-    members = single.select("text_key", F.posexplode("bands").alias("number", "band"))
-    members = members.withColumn("turn", F.xxhash64("text_key", F.col("number") % 4)).drop("number")
-    heads = members.groupBy("band").agg(F.min(F.struct("turn", "text_key")).alias("low"), F.max(F.struct("turn", "text_key")).alias("high"))
-    heads = heads.filter("low.text_key <> high.text_key").select("band", F.array("low.text_key", "high.text_key").alias("heads"))
-    met = members.join(heads, "band").select("text_key", F.explode("heads").alias("head")).filter("text_key <> head")
-    met = met.select(F.least("text_key", "head").alias("a"), F.greatest("text_key", "head").alias("b")).distinct()
-    side = single.select("text_key", "fingerprint", "sketch")
-    for end in ("a", "b"):
-        met = met.join(side.select(F.col("text_key").alias(end), F.col("fingerprint").alias(f"f{end}"), F.col("sketch").alias(f"s{end}")), end)
-    within = F.greatest(*[F.abs(x - y) for x, y in zip(table_row(F.col("fa"), refs), table_row(F.col("fb"), refs), strict=True)]) <= loose
-
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            if not len(frame):
-                continue
-            a, b = (np.frombuffer(b"".join(frame[c]), dtype=np.uint8).reshape(len(frame), -1) for c in ("sa", "sb"))
-            equal = (a == b).mean(axis=1)
-            # One byte agrees by chance once in 256.
-            yield frame.loc[(equal - 1 / 256) / (1 - 1 / 256) >= similarity, ["a", "b"]]
-
-    pairs = met.filter(within).select("a", "b", "sa", "sb").mapInPandas(verified, "a string, b string")
-    groups = components(cut_lineage(pairs))
-    return groups.select(F.col("node").alias("text_key"), "component")
+            yield pd.DataFrame({"node": frame["node"], "shingles": [np.unique(shingle_hashes(t, shingle)).view("<i8") for t in frame["text"]]})
+
+    def reach(size_a: Column, rest_a: Column, size_b: Column, rest_b: Column) -> Column:
+        """Can two sets still be similar if a shingle with so many from it on is the first that they share?"""
+        return F.least(rest_a, rest_b) >= (size_a + size_b) * (similarity / (1 + similarity)) - 1e-6
+
+    def with_ends(pairs: DataFrame, side: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(side.select(*[F.col(c).alias(end if c == "node" else f"{c}_{end}") for c in side.columns]), end)
+        return pairs
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar. What two sets share lies in both first parts, or behind the first part of the one whose part ends first."""
+        both = with_ends(cut_lineage(pairs), single.select("node", "size", "first"))
+        most = F.size(F.array_intersect("first_a", "first_b")) + F.greatest(*[F.col(f"size_{e}") - F.size(f"first_{e}") for e in ("a", "b")])
+        likely = cut_lineage(both.filter(most >= (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6).select("a", "b"))
+        ends = cut_lineage(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(single.select("node", "text_key"), "node"))
+        sets, path = stored(texts.join(ends, "text_key").select("node", "text").dropDuplicates(["node"]).mapInPandas(hashed, "node bigint, shingles array<bigint>"))
+        both = with_ends(likely, sets).withColumn("both", F.size(F.array_intersect("shingles_a", "shingles_b")))
+        either = F.size("shingles_a") + F.size("shingles_b") - F.col("both")
+        similar = cut_lineage(both.filter(F.col("both") / either >= similarity).select("a", "b"))
+        discard(spark, path)
+        return similar
+
+    turn = F.xxhash64("node")
+    heads = shared.groupBy("key").agg(
+        F.max(F.struct("central", "node", "size", "rest")).alias("most"), F.min(F.struct(turn.alias("turn"), "node", "size", "rest")).alias("least"))
+    heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{h}.{c}").alias(c) for c in ("node", "size", "rest")]) for h in ("most", "least")]))).alias("h"))
+    met = shared.join(heads, "key").filter((F.col("node") != F.col("h.node")) & reach(F.col("size"), F.col("rest"), F.col("h.size"), F.col("h.rest")))
+    met = met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+    led = verified(met)
+
+    # What the leaders left apart: all pairs of a key in different components.
+    groups = components(led).withColumnsRenamed({"component": "group"})
+    apart = shared.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    open_keys = apart.groupBy("key").agg((F.min("group") < F.max("group")).alias("open")).filter("open").select("key")
+    apart = cut_lineage(apart.join(open_keys, "key").select("key", "node", "size", "rest", "group", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
+    a = apart.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("a")
+    b = apart.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.group") != F.col("b.group"))
+    met = a.join(b, on & reach(F.col("a.size"), F.col("a.rest"), F.col("b.size"), F.col("b.rest")))
+    left = verified(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+
+    found = components(led.unionByName(left))
+    named = found.join(single.select("node", "text_key"), "node")
+    names = named.groupBy("component").agg(F.min("text_key").alias("name"))
+    return named.join(names, "component").select("text_key", F.col("name").alias("component"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

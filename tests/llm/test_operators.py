@@ -311,6 +311,36 @@ def test_near_copies_leave_one(spark, cases):
     assert simhash.one_of_each(frame(spark, [])).count() == 0
 
 
+def jaccard_groups(spark, texts: dict) -> tuple[dict, dict]:
+    """Groups that near_copies finds, and those of brute force, each as text number -> set of its group."""
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    top = brute_groups(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    number = {hashlib.md5(t.encode()).hexdigest(): i for i, t in texts.items()}
+    found = {number[r.text_key]: r.component for r in simhash.near_copies(frame(spark, list(texts.items()))).collect()}
+    same = lambda names: {i: frozenset(j for j in names if names[j] == names[i]) for i in names}
+    return same({i: found.get(i, i) for i in texts}), same(top)
+
+
+def test_near_copies_of_a_star(spark):
+    import random
+
+    pick = random.Random(5)
+    base = words(404, 70).split()
+    texts = {0: " ".join(base)}
+    for i in range(1, 200):
+        own = list(base)
+        for at in pick.sample(range(0, 400, 6), 6):
+            own[at] = f"changed{i}"
+        texts[i] = " ".join(own)
+    got, want = jaccard_groups(spark, texts)
+    assert got == want and len(want[0]) == 200
+
+    # Without the base hardly any copy is like another.
+    del texts[0]
+    got, want = jaccard_groups(spark, texts)
+    assert got == want and len(set(want.values())) > 100
+
+
 # --- language and toxicity
 
 TRAIN = {"en": "the house and the tree that they have with this", "de": "der baum und das haus die nicht mit einer schule ist", "fr": "le chat est avec une maison que les enfants ont dans la rue"}
