@@ -341,6 +341,20 @@ def test_near_copies_of_a_star(spark):
     assert got == want and len(set(want.values())) > 100
 
 
+def test_near_copies_at_the_threshold(spark):
+    texts = {}
+    for i in range(90):
+        body = words(404, 300 + i).split()
+        other = words(404, 600 + i).split()
+        # 400 shingles; a changed tail of n words changes n of them.
+        n = 34 + i // 3
+        texts[2 * i], texts[2 * i + 1] = " ".join(body), " ".join(body[:-n] + other[-n:])
+    shares = {i: (400 - (34 + i // 3)) / (400 + 34 + i // 3) for i in range(90)}
+    assert min(shares.values()) < 0.75 and max(shares.values()) > 0.84
+    got, want = jaccard_groups(spark, texts)
+    assert got == want and len(set(want.values())) == 90 + sum(v < 0.8 for v in shares.values())
+
+
 # --- language and toxicity
 
 TRAIN = {"en": "the house and the tree that they have with this", "de": "der baum und das haus die nicht mit einer schule ist", "fr": "le chat est avec une maison que les enfants ont dans la rue"}
