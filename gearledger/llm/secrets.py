@@ -21,8 +21,8 @@ from gearledger.llm.common import cut_lineage, text_or_empty
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-#: Weak parts of a credential.
-SECRET = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
+#: Weak parts of a credential. An equals sign before a secret is an assignment (KEY=secret), behind it it is padding.
+SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com"
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "secret", "endpoint")

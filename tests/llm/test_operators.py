@@ -222,6 +222,15 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("before", ["AWS_SECRET_ACCESS_KEY=", "aws_secret_access_key:", "?a=b&key=", "export KEY = ", 'KEY="'])
+def test_secrets_are_assigned_without_blanks(spark, before):
+    text = f"AWS_ACCESS_KEY_ID={KEY}\n{before}{PART}\nend"
+    found = secrets.scan(frame(spark, [(1, text)])).first()
+    at = text.index(PART)
+    assert [(s["start"], s["kind"], s["end"]) for s in found.linked] == [(at, 3, at + 40)]
+    assert secrets.redacted(frame(spark, [(1, text)])).first().text == text.replace(KEY, "[ACCESS]").replace(PART, "[SECRET]")
+
+
 # --- simhash
 
 
