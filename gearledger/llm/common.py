@@ -32,14 +32,16 @@ def held_out(key: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def sampled(rows: DataFrame, group: str, size: int, max_groups: int, key: str = "doc_id") -> DataFrame:
-    """(key, group) of about ``size`` rows of each of the ``max_groups`` largest groups, those with the smallest hash of their key.
+def sampled(rows: DataFrame, group: str, size: int, max_groups: int | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, group) of about ``size`` rows of each group, or of the ``max_groups`` largest ones, those with the smallest hash of their key.
 
-    Groups are thinned by the hash to some ``size`` * 4 rows first, where they lie: the group sizes are ``max_groups`` rows, which every
+    Groups are thinned by the hash to some ``size`` * 4 rows first, where they lie: the group sizes are one row per group, which every
     task gets. So ranking moves a bounded number of rows however large a group is.
     """
     steps = 1 << 30
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("group_size")).orderBy(F.desc("group_size"), group).limit(max_groups)
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
+    if max_groups is not None:
+        sizes = sizes.orderBy(F.desc("group_size"), group).limit(max_groups)
     share = F.least(F.lit(steps), F.ceil(F.lit(4 * size) * F.lit(float(steps)) / F.col("group_size")))
     few = rows.select(key, group).join(F.broadcast(sizes), group).filter(F.pmod(F.xxhash64(key), F.lit(steps)) < share)
     order = Window.partitionBy(group).orderBy(F.pmod(F.xxhash64(key), F.lit(steps)), key)

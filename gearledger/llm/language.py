@@ -7,8 +7,8 @@ likelihood: languages are added in order of their proportion as long as twice th
 penalty per language times the log of the number of n-grams.
 
 The likelihoods are fitted on a bounded sample: of each language the ``sample_rows`` labelled rows with the smallest hash of
-their id. Counting is a Spark aggregate over (language, n-gram) with map-side sums; the model that is sent to the tasks has
-languages * 2**bits numbers, whatever the corpus. At most ``max_languages`` languages, those with most labelled rows, are kept.
+their id. Counting is a Spark aggregate over (language, n-gram) with map-side sums. Every label value is learned; the model that is
+sent to the tasks holds only the n-grams that a language has in its sample (eight bytes each), and one number per language for all others.
 
 Defined results: a null text, a text without a letter, and any text when nothing was learned, is ``und`` with score 0. Rows
 without a language label or id teach nothing. Equal likelihoods go to the language first in order of code points.
@@ -30,12 +30,24 @@ from gearledger.llm.common import cut_lineage, sampled
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    likelihood: np.ndarray  # n-gram x language, float32
+    starts: np.ndarray  # of each n-gram in the two below, and their end
+    language: np.ndarray  # number of the language, int32
+    likelihood: np.ndarray  # of the n-gram in that language, float32
+    unseen: np.ndarray  # likelihood of any other n-gram, by language
     bits: int
     n: int
     penalty: float
     rounds: int
 
+    def table(self, grams: np.ndarray) -> np.ndarray:
+        """Likelihoods of n-grams (rows) by language."""
+        size = self.starts[grams + 1] - self.starts[grams]
+        row = np.repeat(np.arange(len(grams)), size)
+        at = np.arange(len(row)) + np.repeat(self.starts[grams] - (np.cumsum(size) - size), size)
+        out = np.tile(self.unseen, (len(grams), 1))
+        out[row, self.language[at]] = self.likelihood[at]
+        return out
+
 
 def ngrams(text: str, n: int, bits: int) -> np.ndarray:
     """Hashed n-grams of the lower-cased letters of a text; everything else counts as one space."""
@@ -53,14 +65,15 @@ def ngrams(text: str, n: int, bits: int) -> np.ndarray:
 
 
 def fit(
-    docs: DataFrame, sample_rows: int = 2000, n: int = 3, bits: int = 16, max_languages: int = 64, smoothing: float = 0.5,
+    docs: DataFrame, sample_rows: int = 2000, n: int = 3, bits: int = 16, smoothing: float = 0.5,
     penalty: float = 4.0, rounds: int = 8,
 ) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that have a language; leave held-out rows away before."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    # At most max_languages * sample_rows short rows, so the texts that are not in the sample stay where they lie.
-    chosen = F.broadcast(sampled(labelled, "lang", sample_rows, max_languages))
-    sample = labelled.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # The last sampled row of each language tells which rows are in the sample, so the texts that are not stay where they lie.
+    order = F.struct(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("hash"), "doc_id")
+    last = sampled(labelled, "lang", sample_rows).groupBy("lang").agg(F.max(order).alias("last"))
+    sample = labelled.join(F.broadcast(last), "lang").filter(order <= F.col("last")).select("lang", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -70,16 +83,24 @@ def fit(
 
     counts = sample.mapInPandas(counted, "lang string, gram bigint, count bigint").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
     counts = cut_lineage(counts)
-    kept = counts.groupBy("lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    languages = sorted((r["lang"] for r in kept.collect()), key=lambda s: s.encode())
-    # At most max_languages * 2**bits rows.
-    rows = counts.filter(F.col("lang").isin(languages)).toPandas() if languages else pd.DataFrame({"lang": [], "gram": [], "count": []})
-    table = np.full((1 << bits, len(languages)), smoothing)
-    for i, lang in enumerate(languages):
-        own = rows[rows["lang"] == lang]
-        table[own["gram"].to_numpy(dtype=np.int64), i] += own["count"].to_numpy(dtype=np.float64)
-    table /= table.sum(axis=0, keepdims=True) if languages else 1
-    return Model(languages, table.astype(np.float32), bits, n, penalty, rounds)
+
+    def gathered(frame: pd.DataFrame) -> pd.DataFrame:
+        """One row per language, of at most 2**bits n-grams."""
+        arrays = frame["gram"].to_numpy(np.int32), frame["count"].to_numpy(np.int64)
+        return pd.DataFrame([(frame["lang"].iloc[0], *(a.tobytes() for a in arrays))], columns=["lang", "grams", "counts"])
+
+    rows = counts.groupBy("lang").applyInPandas(gathered, "lang string, grams binary, counts binary").collect()
+    rows = sorted(rows, key=lambda r: r["lang"].encode())
+    grams = [np.frombuffer(r["grams"], dtype=np.int32) for r in rows]
+    seen = [np.frombuffer(r["counts"], dtype=np.int64) for r in rows]
+    totals = np.array([c.sum() + smoothing * (1 << bits) for c in seen], dtype=np.float64)
+    number = np.repeat(np.arange(len(rows), dtype=np.int32), [len(g) for g in grams])
+    likely = np.concatenate([*(((c + smoothing) / t).astype(np.float32) for c, t in zip(seen, totals, strict=True)), np.zeros(0, dtype=np.float32)])
+    grams = np.concatenate([*grams, np.zeros(0, dtype=np.int32)])
+    by_gram = np.argsort(grams, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(grams, minlength=1 << bits))])
+    unseen = (smoothing / totals).astype(np.float32)
+    return Model([r["lang"] for r in rows], starts, number[by_gram], likely[by_gram], unseen, bits, n, penalty, rounds)
 
 
 def _mixture(likelihood: np.ndarray, count: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -101,7 +122,7 @@ def infer(model: Model, text: str | None) -> tuple[str, float, dict[str, float]]
         return "und", 0.0, {}
     grams, count = np.unique(grams, return_counts=True)
     table = np.empty((len(grams), len(model.languages) + 1))
-    table[:, :-1] = model.likelihood[grams]
+    table[:, :-1] = model.table(grams)
     # The background spreads its mass evenly; n-grams that no language has count more for it.
     table[:, -1] = 1.0 / (1 << model.bits)
     share, best = _mixture(table, count, model.rounds)

@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from gearledger.llm import components, language, merkle, mixing, packing, secrets, simhash, substrings, tokencount, topk, toxicity
+from gearledger.llm import common, components, language, merkle, mixing, packing, secrets, simhash, substrings, tokencount, topk, toxicity
 
 from .conftest import frame, words
 
@@ -383,6 +383,30 @@ def test_language(spark, cases):
     assert {r.lang_pred for r in language.identify(frame(spark, cases), nothing).collect()} == {"und"}
 
 
+def test_language_learns_every_label(spark):
+    import random
+
+    def text(i: int, seed: int) -> str:
+        pick = random.Random(seed)
+        return " ".join("".join(chr(0x4E00 + 20 * i + pick.randrange(20)) for _ in range(4)) for _ in range(40))
+
+    # 90 languages of two rows and ten of one row each.
+    rows = [(2 * i + j, text(i, 2 * i + j), f"l{i:03}") for i in range(100) for j in range(2 if i >= 10 else 1)]
+    model = language.fit(frame(spark, rows))
+    assert model.languages == [f"l{i:03}" for i in range(100)]
+    got = {r.doc_id: r for r in language.identify(frame(spark, [(i, text(i, 2 * i)) for i in range(100)]), model).collect()}
+    assert all(got[i].lang_pred == f"l{i:03}" and got[i].score > 0.25 for i in range(100))
+
+
+def test_language_samples_by_hash(spark):
+    rows = [(i, text, lang) for i, (lang, text) in enumerate([*TRAIN.items()] * 40)]
+    docs = frame(spark, rows + rows[:3])
+    chosen = {(r.doc_id, r.lang) for r in common.sampled(docs, "lang", 5).collect()}
+    few = docs.filter(F.concat_ws(" ", "doc_id", "lang").isin([f"{i} {la}" for i, la in chosen]))
+    some, full = language.fit(docs, sample_rows=5), language.fit(few)
+    assert some.languages == full.languages and (some.likelihood == full.likelihood).all() and (some.unseen == full.unseen).all()
+
+
 def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, text string, toxic int, score string")
 
