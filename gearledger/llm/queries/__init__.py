@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gearledger.llm.queries import corpus, search
+from gearledger.llm.queries import corpus, search, structure
 
-QUERIES = {**search.QUERIES, **corpus.QUERIES}
-ORACLES = {**search.ORACLES, **corpus.ORACLES}
+QUERIES = {**search.QUERIES, **corpus.QUERIES, **structure.QUERIES}
+ORACLES = {**search.ORACLES, **corpus.ORACLES, **structure.ORACLES}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearledger.llm import language, merkle, secrets, simhash, substrings, tokencount, toxicity
+from gearledger.llm import automata, language, merkle, secrets, simhash, substrings, tokencount, toxicity
 from gearledger.llm.common import documents, held_out, table
 from gearledger.llm.mixing import mix, mixed_sizes
 from gearledger.llm.packing import pack, public_byte_bpe
@@ -77,6 +77,33 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the sequences of 35 words that occur more than once."""
+    found = automata.remove_repeats(documents(spark, sf_dir))
+    span = F.transform("removed", lambda r: r["end"] - r["start"])
+    return found.select(
+        "doc_id", "n_words", F.aggregate(span, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {"op2_packing": op2_packing, "op3_mixing": op3_mixing, "op4_merkle": op4_merkle, "op5_token_counts": op5_token_counts,
-           "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_substrings": op10_substrings}
-ORACLES: dict[str, str] = {}
+           "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_substrings": op10_substrings,
+           "op12_automata": op12_automata}
+ORACLES = {
+    "op12_automata": r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT row, start, md5(array_to_string(words[start:start + 34], ' ')) AS content FROM (SELECT row, words, unnest(range(1, len(words) - 33)) AS start FROM texts)
+), again AS (
+    SELECT row, start FROM (SELECT row, start, count(*) OVER (PARTITION BY content) AS n FROM windows) WHERE n > 1
+), gone AS (
+    SELECT DISTINCT row, start + step AS at FROM again, range(0, 35) AS t(step)
+), kept AS (
+    SELECT t.row, string_agg(t.word, ' ' ORDER BY t.at) AS text
+    FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM texts) t ANTI JOIN gone g ON g.row = t.row AND g.at = t.at
+    GROUP BY t.row
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts LEFT JOIN (SELECT row, count(*) AS n FROM gone GROUP BY row) g USING (row) LEFT JOIN kept k USING (row)
+""",
+}
