@@ -225,7 +225,8 @@ def test_whitening_equals_brute_force(spark, dim):
     rows = [(i, [float(c) for c in v @ shape / dim]) for i, v in enumerate(pick.standard_normal((400, dim)))]
     good = rows + [(7, rows[7][1]), (None, rows[8][1]), (2**60 + 1, rows[9][1])]
     bad = [(900, None), (901, []), (902, [None] * dim), (903, [float("nan")] * dim), (904, [float("inf")] + [0.0] * (dim - 1)), (905, [1.0] * (dim + 1))]
-    got = whitening.whiten(vectors(spark, good + bad), block_cells=40 * dim).toPandas()
+    rows_out = whitening.whiten(vectors(spark, good + bad), block_cells=40 * dim).withColumn("id", F.coalesce("vec_id", F.lit(-1)))
+    got = rows_out.drop("vec_id").withColumnRenamed("id", "vec_id").toPandas()
     white, values, deviation = brute_white(good)
     k = min(8, dim)
     assert len(got) == len(good) * k and set(got["n"]) == {len(good)}
@@ -236,7 +237,7 @@ def test_whitening_equals_brute_force(spark, dim):
         sign[c - 1] = np.sign(one) * np.sign(white[3, c - 1])
         assert abs(part["explained"].iloc[0] - values[c - 1] / brute_white(good, dim)[1].sum()) < 1e-12
     want = sorted((-1 if i is None else i, c + 1, d, round(float(w[c] * sign[c]), 8) + 0.0) for (i, _), w, d in zip(good, white, deviation, strict=True) for c in range(k))
-    have = sorted((-1 if np.isnan(r.vec_id) else int(r.vec_id), r.component, int(r.deviation), round(r.whitened, 8) + 0.0) for r in got.itertuples())
+    have = sorted((r.vec_id, r.component, int(r.deviation), round(r.whitened, 8) + 0.0) for r in got.itertuples())
     assert [h[:3] for h in have] == [w[:3] for w in want]
     assert np.allclose([h[3] for h in have], [w[3] for w in want], atol=1e-7)
     assert got["identity_error"].nunique() == 1 and got["identity_error"].iloc[0] < 1e-9
