@@ -16,12 +16,12 @@ shards would be documents times shards, and the automata together grow with the
 each content is streamed once, beside its automaton, and the spans found go back to all places of that content.
 
 *Exact way for crowded anchors.* An anchor with over ``crowd`` different runs (a frequent phrase in ever new surroundings) would fill a shard: its
-windows are counted one by one instead, by two hashes, combined before the shuffle.
+windows are counted by two hashes instead, in arrays; with over 16 times as many runs they are dealt over several tasks by their hash.
 
 Defined results: a null text has no words; texts shorter than a window stay as they are; overlapping windows count as occurrences, within one
 document too. Rows are worked on by their text, so null and repeated ids, and repeated rows, need no rule: equal texts repeat each other and
-are treated alike. Kept words are joined by one blank. Words are compared by 64-bit hashes, runs and windows by 128 bits
-over these. Extra columns are ignored.
+are treated alike. Kept words are joined by one blank. Words are compared by a 64-bit polynomial hash, runs of one anchor by another 64 bits, counted windows by
+128 bits over the words' hashes: a false match is unlikely, but no bound is proven. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,30 +40,46 @@ from gearledger.llm.common import discard, stored, text_or_empty
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 GOLDEN = 0x9E3779B97F4A7C15
+BASE = 0xD6E8FEB86659FD93
+INVERSE = pow(BASE, -1, 1 << 64)
 LOW = np.uint64((1 << 32) - 1)
 RUN = "t1 bigint, t2 bigint, key bigint, digest bigint, start bigint, words int"
 FOUND = "key bigint, digest bigint, spans array<int>"
 
 
-class Ids(dict):
-    """64-bit hash of every word, signed; remembered while there is room."""
+class Ids:
+    """64-bit hash of every word of a text: a polynomial over its bytes modulo 2**64, read off running sums, then mixed. Powers are kept."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        made = xxhash.xxh64_intdigest(word)
-        made -= (made >> 63) << 64
-        self[word] = made
-        return made
+    def __init__(self) -> None:
+        self.values = np.arange(1, 257, dtype=np.uint64) * np.uint64(GOLDEN)
+        self.values ^= self.values >> np.uint64(29)
+        self.values = self.values * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The hash and the first byte of every word."""
+        raw = np.frombuffer(data, dtype=np.uint8)
+        if len(raw) >= len(self.up):
+            size = max(1 << 16, 1 << len(raw).bit_length())
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, dtype=np.uint64)])) for base in (BASE, INVERSE))
+        word = (raw != 32) & ((raw < 9) | (raw > 13))
+        edge = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(self.values[raw] * self.up[: len(raw)], out=sums[1:])
+        made = (sums[end] - sums[start]) * self.down[start]
+        for shift in (31, 29):
+            made ^= made >> np.uint64(shift)
+            made *= np.uint64(0x94D049BB133111EB)
+        return (made ^ (made >> np.uint64(32))).view(np.int64), start
 
 
 def word_ids(data: bytes, known: Ids) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, WORDS.findall(data)), dtype=np.int64)
+    return known.of(data)[0]
 
 
-def _pieces(text: str, size: int) -> Iterator[bytes]:
-    """A text as UTF-8 in pieces of some ``size`` bytes, cut at white space only."""
-    data = text.encode("utf-8", "surrogatepass")
+def _pieces(data: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces of some ``size`` bytes, cut at white space only."""
     at = 0
     while at < len(data):
         end = at + size
@@ -114,27 +130,33 @@ def _signed(value: int) -> int:
 
 def _grouped(frame: pd.DataFrame, length: int, known: Ids, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Word ids of some texts at a time: (ids, bounds, row of the frame, number of words before the piece). Pieces of a long text overlap by ``length`` - 1 words."""
-    held: list[tuple[np.ndarray, int, int]] = []
+    held: list[tuple[bytes, int]] = []
     total = 0
 
-    def out():
-        bounds = np.concatenate([[0], np.cumsum([len(i) for i, _, _ in held])])
-        return np.concatenate([i for i, _, _ in held]), bounds, np.array([r for _, r, _ in held]), np.array([b for _, _, b in held])
+    def short():
+        # Short texts lie one behind the other in one buffer.
+        offsets = np.cumsum([0, *(len(d) + 1 for d, _ in held)])
+        ids, starts = known.of(b" ".join(d for d, _ in held))
+        bounds = np.searchsorted(starts, offsets)
+        return ids, bounds, np.array([r for _, r in held]), np.zeros(len(held), dtype=np.int64)
 
     for row, text in enumerate(frame["text"]):
+        data = text.encode("utf-8", "surrogatepass")
+        if len(data) <= size:
+            held.append((data, row))
+            total += len(data)
+            if total > size:
+                yield short()
+                held, total = [], 0
+            continue
         before, tail = 0, np.zeros(0, dtype=np.int64)
-        for piece in _pieces(text, size):
+        for piece in _pieces(data, size):
             ids = np.concatenate([tail, word_ids(piece, known)])
-            if len(ids) >= length:
-                held.append((ids, row, before))
-                total += len(ids)
+            yield ids, np.array([0, len(ids)]), np.array([row]), np.array([before])
             keep = min(len(ids), length - 1)
             before, tail = before + len(ids) - keep, ids[len(ids) - keep:]
-            if total > 1 << 18:
-                yield out()
-                held, total = [], 0
     if held:
-        yield out()
+        yield short()
 
 
 def _text_key() -> list[Column]:
@@ -245,32 +267,49 @@ def _contents(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         known = Ids()
         for frame in batches:
             for text, taken in zip(frame["text"], frame["runs"], strict=True):
-                ids = np.concatenate([np.zeros(0, dtype=np.int64), *(word_ids(p, known) for p in _pieces(text, 1 << 20))])
+                ids = np.concatenate([np.zeros(0, dtype=np.int64), *(word_ids(p, known) for p in _pieces(text.encode("utf-8", "surrogatepass"), 1 << 20))])
                 yield pd.DataFrame([
-                    (r["shard"], r["key"], r["digest"], r["n"], ids[r["start"]: r["start"] + r["words"]].tobytes()) for r in taken
-                ], columns=["shard", "key", "digest", "n", "content"])
+                    (r["shard"], r["key"], r["digest"], r["n"], r["kinds"], ids[r["start"]: r["start"] + r["words"]].tobytes()) for r in taken
+                ], columns=["shard", "key", "digest", "n", "kinds", "content"])
 
     one = Window.partitionBy("t1", "t2").orderBy("t1")
     single = texts.withColumn("nth", F.row_number().over(one)).filter("nth = 1").drop("nth")
-    return single.join(wanted, ["t1", "t2"]).select("text", "runs").mapInPandas(read, "shard int, key bigint, digest bigint, n bigint, content binary")
+    return single.join(wanted, ["t1", "t2"]).select("text", "runs").mapInPandas(read, "shard int, key bigint, digest bigint, n bigint, kinds bigint, content binary")
+
 
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("at", "<i4")])
 
-def _counted(contents: DataFrame, length: int) -> DataFrame:
-    """Spans of runs of crowded anchors: their windows are counted one by one."""
+
+def _counted(contents: DataFrame, length: int, room: int) -> DataFrame:
+    """Spans of the runs of crowded anchors: their windows are counted by two hashes. An anchor with over ``room`` runs is dealt over tasks by window."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for key, digest, n, content in zip(frame["key"], frame["digest"], frame["n"], frame["content"], strict=True):
-                hashes = [xxhash.xxh3_128_intdigest(content[a:a + 8 * length]) for a in range(0, len(content) - 8 * length + 1, 8)]
-                yield pd.DataFrame({
-                    "key": key, "digest": digest, "n": n, "at": np.arange(len(hashes), dtype=np.int32),
-                    "w1": [_signed(h >> 64) for h in hashes], "w2": [_signed(h & (1 << 64) - 1) for h in hashes],
-                })
-
-    rows = contents.mapInPandas(windows, "key bigint, digest bigint, n bigint, at int, w1 bigint, w2 bigint")
-    often = rows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).filter("total > 1")
-    spans = rows.join(often, ["w1", "w2"]).groupBy("key", "digest").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    return spans.select("key", "digest", F.flatten(F.transform("ats", lambda a: F.array(a, a + F.lit(length)))).alias("spans"))
+            rows = []
+            for r in frame.itertuples(index=False):
+                hashes = [xxhash.xxh3_128_intdigest(r.content[a:a + 8 * length]) for a in range(0, len(r.content) - 8 * length + 1, 8)]
+                packed = np.array([(h >> 64, h & (1 << 64) - 1, i) for i, h in enumerate(hashes)], dtype=WINDOW)
+                part = packed["a"] % np.uint64(-(-r.kinds // room))
+                rows += [(r.key, int(p), r.digest, r.n, packed[part == p].tobytes()) for p in np.unique(part)]
+            yield pd.DataFrame(rows, columns=["key", "part", "digest", "n", "windows"])
+
+    def again(frame: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(w, dtype=WINDOW) for w in frame["windows"]]
+        owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        found = np.concatenate(held)
+        order = np.lexsort((found["b"], found["a"]))
+        found, owner = found[order], owner[order]
+        first = np.concatenate([[True], (found["a"][1:] != found["a"][:-1]) | (found["b"][1:] != found["b"][:-1])])
+        total = np.add.reduceat(frame["n"].to_numpy(np.int64)[owner], np.flatnonzero(first))
+        repeated = total[np.cumsum(first) - 1] > 1
+        ats = pd.DataFrame({"i": owner[repeated], "at": found["at"][repeated]}).sort_values(["i", "at"]).groupby("i")["at"].agg(list)
+        out = frame.iloc[ats.index][["key", "digest"]].copy()
+        out["spans"] = pd.Series([[e for a in at for e in (a, a + length)] for at in ats], index=out.index, dtype=object)
+        return out
+
+    rows = contents.mapInPandas(windows, "key bigint, part int, digest bigint, n bigint, windows binary")
+    spans = rows.groupBy("key", "part").applyInPandas(again, FOUND)
+    return spans.groupBy("key", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +333,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_words", "removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 8, shard_words: int = 100_000, crowd: int = 1024) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 12, shard_words: int = 100_000, crowd: int = 1024) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) without the words of repeated windows: doc_id, n_words, removed (word spans), kept."""
     if not 1 <= gram <= length:
         raise ValueError("gram must be between 1 and length")
@@ -305,18 +344,21 @@ def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 8, shard_words
     one = [F.first(c).alias(c) for c in ("t1", "t2", "start", "words")]
     contents, contents_at = stored(places.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), *one))
     keys = contents.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1")
-    reference, reference_at = stored(contents.join(keys.select("key", (F.col("kinds") > crowd).alias("crowded")), "key"))
-    sizes = reference.agg(F.sum(F.when(~F.col("crowded"), F.col("words"))).alias("words"), F.max("crowded").alias("crowded")).first()
+    known, known_at = stored(contents.join(keys.select("key", "kinds"), "key"))
+    # The only content of its anchor is repeated as a whole, as its automaton, a chain, would say.
+    alone = known.filter("kinds = 1").select("key", "digest", F.array(F.lit(0), F.col("words")).alias("spans"))
+    reference = known.filter("kinds > 1")
+    sizes = reference.agg(F.sum(F.when(F.col("kinds") <= crowd, F.col("words"))).alias("words"), F.max("kinds").alias("kinds")).first()
     shards = -(-(sizes["words"] or 0) // shard_words) or 1
-    shard = F.when(F.col("crowded"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards))).cast("int")
-    wanted = reference.groupBy("t1", "t2").agg(F.collect_list(F.struct(shard.alias("shard"), "key", "digest", "n", "start", "words")).alias("runs"))
+    shard = F.when(F.col("kinds") > crowd, F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards))).cast("int")
+    wanted = reference.groupBy("t1", "t2").agg(F.collect_list(F.struct(shard.alias("shard"), "key", "digest", "n", "kinds", "start", "words")).alias("runs"))
     read, read_at = stored(_contents(texts, wanted))
-    spans = read.filter("shard >= 0").groupBy("shard").applyInPandas(lambda frame: _shard(frame, length), FOUND)
-    if sizes["crowded"]:
-        spans = spans.unionByName(_counted(read.filter("shard < 0"), length))
+    spans = alone.unionByName(read.filter("shard >= 0").drop("kinds").groupBy("shard").applyInPandas(lambda frame: _shard(frame, length), FOUND))
+    if (sizes["kinds"] or 0) > crowd:
+        spans = spans.unionByName(_counted(read.filter("shard < 0"), length, 16 * crowd))
     spans, spans_at = stored(spans.filter(F.size("spans") > 0))
     discard(spark, contents_at)
-    discard(spark, reference_at)
+    discard(spark, known_at)
     discard(spark, read_at)
 
     # Equal texts have equal places: one of each goes on.
