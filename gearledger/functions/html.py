@@ -1,6 +1,6 @@
-"""Reading stored pages with regular expressions: tags, attributes, links, tables, lists, JSON-LD.
+"""Reading stored pages with regular expressions: tags, attributes, links, and what cells and JSON-LD objects say.
 
-Flat markup is expected: a table inside a table or an element nested in another of the same name is not told apart.
+Elements that can be nested (tables, lists, labelled elements, JSON objects) are told apart in ``operators.markup``.
 """
 
 from __future__ import annotations
@@ -11,18 +11,8 @@ from pyspark.sql import functions as F
 from gearledger.functions.text import clean_cell, clean_markup, let, squeeze, unescape_html
 
 ROW = "struct<field:string,value:string,method:string>"
-NAME_LIMIT, VALUE_LIMIT = 80, 400
-# Objects nested deeper than this inside a JSON-LD document are not visited.
-JSON_DEPTH = 6
-
 _HIDDEN = "(?is)<!--.*?-->|<(script|style|noscript|template|svg)\\b[^>]*>.*?</\\1\\s*>"
-_LD = "(?is)<script\\b[^>]*ld\\+json[^>]*>(.*?)</script\\s*>"
-_PART = "(?:[^\"'>]*[\\s_-])?{0}(?:[\\s_-][^\"'>]*)?"
-_LABELLED = "<([a-z][a-z0-9]*)\\b[^>]*\\bclass\\s*=\\s*[\"'](?:" + _PART.format("label") + "|" + _PART.format("value") + ")[\"'][^>]*>.*?</\\1\\s*>"
-_BLOCK = "(?is)<table\\b.*?</table\\s*>|<dl\\b.*?</dl\\s*>|" + _LABELLED
-_TR = "(?is)<tr\\b[^>]*>(.*?)(?=</tr\\s*>|<tr\\b|</tbody|</thead|\\z)"
-_CELL = "(?is)<(t[dh])\\b[^>]*>(.*?)(?=</t[dh]\\s*>|<t[dh]\\b|\\z)"
-_TERM = "(?is)<(d[td])\\b[^>]*>(.*?)(?=</d[td]\\s*>|<d[td]\\b|\\z)"
+LD_SCRIPT = "(?is)<script\\b[^>]*ld\\+json[^>]*>(.*?)</script\\s*>"
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -89,10 +79,9 @@ def links(html: Column) -> Column:
     return F.filter(F.transform(anchors, entry), lambda e: e["href"].isNotNull())
 
 
-def _cell_text(markup: Column) -> Column:
-    """Text of a cell: line breaks and list items become commas, other tags vanish."""
-    broken = F.regexp_replace(markup, "(?is)<(?:br|li)\\b[^>]*>", ", ")
-    return clean_cell(unescape_html(F.regexp_replace(broken, "<[^>]+>", "")))
+def cell_text(text: Column) -> Column:
+    """Text of a cell without the tags left in it, character references resolved."""
+    return clean_cell(unescape_html(F.regexp_replace(text, "<[/A-Za-z!][^>]*>", "")))
 
 
 def _row(field: Column, value: Column, method: str) -> Column:
@@ -107,18 +96,8 @@ def _zip(left: Column, right: Column, method: str) -> Column:
     return F.zip_with(left, right, lambda a, b: _row(a, b, method))
 
 
-def _table_rows(table: Column) -> Column:
-    """Label/value rows of one table. A table of several references is never reduced to one of them."""
-    def parse(rows: Column, head: bool) -> Column:
-        return F.transform(rows, lambda r: F.struct(
-            F.transform(_all(r, _CELL, 2), _cell_text).alias("cells"),
-            F.size(F.filter(_all(r, _CELL, 1), lambda t: F.lower(t) == "th")).alias("heads"),
-            F.lit(head).alias("head"),
-        ))
-
-    head_part = F.array_join(_all(table, "(?is)<thead\\b[^>]*>(.*?)</thead\\s*>", 1), " ")
-    body_part = F.regexp_replace(table, "(?is)<thead\\b[^>]*>.*?</thead\\s*>", "")
-    rows = F.concat(parse(_all(head_part, _TR, 1), True), parse(_all(body_part, _TR, 1), False))
+def table_pairs(lines: Column) -> Column:
+    """Label/value rows of one table, given its lines (cells, heads, head). A table of several references is never reduced to one of them."""
     is_heading = lambda r: r["head"] | ((r["heads"] == F.size(r["cells"])) & (F.size(r["cells"]) >= 2))
 
     def read(parts: Column) -> Column:
@@ -137,17 +116,14 @@ def _table_rows(table: Column) -> Column:
         )
         return F.when(columns < 3, pairs).otherwise(F.coalesce(single, _no_rows()))
 
-    filled = F.filter(rows, lambda r: F.exists(r["cells"], lambda c: c != ""))
+    filled = F.filter(lines, lambda r: F.exists(r["cells"], lambda c: c != ""))
     split = let(filled, lambda f: F.struct(
         F.filter(f, is_heading).alias("headings"), F.filter(f, lambda r: ~is_heading(r)).alias("data")))
     return let(split, read)
 
 
-def _list_rows(block: Column) -> Column:
-    """Pairs of a definition list; lists without any figure are navigation."""
-    items = F.zip_with(
-        _all(block, _TERM, 1), _all(block, _TERM, 2), lambda k, t: F.struct(F.lower(k).alias("kind"), _cell_text(t).alias("text")))
-
+def list_pairs(items: Column) -> Column:
+    """Pairs of a definition list, given its items (kind, text); lists without any figure are navigation."""
     def read(x: Column) -> Column:
         pairs = F.transform(x, lambda item, i: F.struct(
             item["kind"].alias("kind"), F.when(F.get(x, i - 1)["kind"] == "dt", F.get(x, i - 1)["text"]).alias("term"), item["text"].alias("text")))
@@ -158,64 +134,19 @@ def _list_rows(block: Column) -> Column:
     return let(items, read)
 
 
-def layout_rows(html: Column) -> Column:
-    """Label/value rows of tables, definition lists and labelled elements in document order."""
-    kind = lambda b: F.lower(F.regexp_extract(b["html"], "^<([A-Za-z0-9]+)", 1))
-    opening = lambda b: F.lower(attribute(F.regexp_extract(b["html"], "(?s)^<[^>]*>", 0), "class"))
-
-    def pair_up(marked: Column) -> Column:
-        return F.transform(marked, lambda m, i: F.struct(
-            m["at"].alias("at"),
-            F.when(~m["label"] & F.coalesce(F.get(marked, i - 1)["label"], F.lit(False)),
-                   F.array(_row(F.get(marked, i - 1)["text"], m["text"], "spec-list"))).otherwise(_no_rows()).alias("rows"),
-        ))
-
-    def read(blocks: Column) -> Column:
-        structured = F.transform(
-            F.filter(blocks, lambda b: b["kind"].isin("table", "dl")),
-            lambda b: F.struct(b["at"].alias("at"), F.when(b["kind"] == "table", _table_rows(b["html"])).otherwise(_list_rows(b["html"])).alias("rows")),
-        )
-        marked = F.transform(
-            F.filter(blocks, lambda b: ~b["kind"].isin("table", "dl")),
-            lambda b: F.struct(
-                b["at"].alias("at"), opening(b).rlike("(^|[\\s_-])label([\\s_-]|$)").alias("label"),
-                _cell_text(F.regexp_replace(b["html"], "(?s)^<[^>]*>", "")).alias("text"),
-            ),
-        )
-        ordered = F.array_sort(F.concat(structured, let(marked, pair_up)))
-        return F.filter(F.flatten(F.transform(ordered, lambda b: b["rows"])), _acceptable)
-
-    found = F.transform(_all(visible(html), _BLOCK), lambda b, i: F.struct(i.alias("at"), b.alias("html")))
-    return let(F.transform(found, lambda b: F.struct(b["at"].alias("at"), kind(b).alias("kind"), b["html"].alias("html"))), read)
-
-
-def _acceptable(row: Column) -> Column:
-    field, value = row["field"], row["value"]
-    return (
-        (field != "") & (value != "") & (field != value) & (F.length(field) <= NAME_LIMIT)
-        & (F.length(value) <= VALUE_LIMIT) & field.rlike("[a-zA-Z]")
-    )
-
-
-def json_nodes(html: Column) -> Column:
-    """All objects of the JSON-LD documents of a page, level by level."""
-    empty = F.array().cast("array<variant>")
-    kind = F.schema_of_variant
+def label_pairs(items: Column) -> Column:
+    """``array<struct<end, row>>``: each value element (end, kind, text) with the label element right before it."""
+    def read(x: Column) -> Column:
+        paired = F.transform(x, lambda item, i: F.struct(
+            item["end"].alias("end"), F.when((item["kind"] == "value") & (F.get(x, i - 1)["kind"] == "label"), _row(F.get(x, i - 1)["text"], item["text"], "spec-list")).alias("row")))
+        return F.filter(paired, lambda p: p["row"].isNotNull())
 
-    def children(v: Column) -> Column:
-        return F.when(
-            kind(v).startswith("OBJECT"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
-        ).when(kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(empty)
+    return let(items, read)
 
-    def deeper(acc: Column, _level: Column) -> Column:
-        return let(F.flatten(F.transform(acc["level"], children)), lambda nodes: F.struct(
-            F.concat(acc["found"], nodes).alias("found"), nodes.alias("level")))
 
-    first = F.filter(F.transform(_all(html, _LD, 1), F.try_parse_json), lambda v: v.isNotNull())
-    start = let(first, lambda nodes: F.struct(nodes.alias("found"), nodes.alias("level")))
-    nodes = F.aggregate(F.sequence(F.lit(1), F.lit(JSON_DEPTH)), start, deeper)["found"]
-    # Most pages carry no JSON-LD at all and skip the walk.
-    return F.when(html.rlike("(?i)ld\\+json"), F.filter(nodes, lambda v: kind(v).startswith("OBJECT"))).otherwise(empty)
+def acceptable(field: Column, value: Column, method: Column) -> Column:
+    """Filled, a name with a letter, and no value that only repeats its name (JSON-LD names are taken as they are)."""
+    return (field != "") & (value != "") & ((method == "json-ld") | ((field != value) & field.rlike("[a-zA-Z]")))
 
 
 def _printed(v: Column) -> Column:
@@ -248,13 +179,9 @@ def property_value(prop: Column) -> Column:
     return F.coalesce(_printed(F.try_variant_get(prop, "$.value", "variant")), F.lit(""))
 
 
-def json_rows(html: Column) -> Column:
-    """Label/value rows of the JSON-LD properties of a page."""
-    def rows_of(node: Column) -> Column:
-        return F.transform(node_properties(node), lambda p: _row(clean_cell(property_name(p)), clean_cell(property_value(p)), "json-ld"))
-
-    rows = F.flatten(F.transform(json_nodes(html), rows_of))
-    return F.filter(rows, lambda r: (r["field"] != "") & (r["value"] != "") & (F.length(r["field"]) <= NAME_LIMIT) & (F.length(r["value"]) <= VALUE_LIMIT))
+def property_rows(node: Column) -> Column:
+    """Label/value rows of the additional properties of one JSON-LD object."""
+    return F.transform(node_properties(node), lambda p: _row(clean_cell(property_name(p)), clean_cell(property_value(p)), "json-ld"))
 
 
 def prose_rows(html: Column) -> Column:
@@ -263,7 +190,7 @@ def prose_rows(html: Column) -> Column:
         return F.coalesce(*[F.nullif(clean_cell(metas[k]), F.lit("")) for k in ("og:description", "description")])
 
     return let(let(meta_map(html), describe), lambda text: F.when(
-        text.isNotNull(), F.array(_row(F.lit("og:description"), F.substring(text, 1, VALUE_LIMIT), "meta"))).otherwise(_no_rows()))
+        text.isNotNull(), F.array(_row(F.lit("og:description"), text, "meta"))).otherwise(_no_rows()))
 
 
 def first_text(value: Column) -> Column:

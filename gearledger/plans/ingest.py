@@ -81,12 +81,28 @@ def with_arrival(records: DataFrame) -> DataFrame:
     return with_position(records, ["read_order", "record_id"], "arrival")
 
 
+#: What makes a row of each table the same one: a change replaces all rows of its keys.
+KEYS = {
+    "components": ("component_id",), "fields": ("component_id",), "sources": ("source_key", "source_record_id"), "identifiers": ("component_id",),
+}
+
+
 def ingest(records: DataFrame, catalog: CatalogTables | None, seen_at: str) -> tuple[CatalogTables, DataFrame]:
-    """Take a batch of canonical records into the catalogue.
+    """Take a batch of canonical records into the catalogue: the new tables and one outcome row per record (created or updated).
 
-    Returns the new tables and one outcome row per record (created or updated). Nothing is written, so a dry run
-    is a call whose tables are not stored.
+    The tables are plans over the old ones; nothing is stored.
     """
+    changed, outcomes = changes(records, catalog, seen_at)
+    if catalog is None:
+        return changed, outcomes
+    return CatalogTables(**{
+        name: table.join(getattr(changed, name).select(*KEYS[name]).distinct(), list(KEYS[name]), "left_anti").unionByName(getattr(changed, name))
+        for name, table in catalog.as_dict().items()
+    }), outcomes
+
+
+def changes(records: DataFrame, catalog: CatalogTables | None, seen_at: str) -> tuple[CatalogTables, DataFrame]:
+    """What a batch of canonical records changes: for every table all new rows of each touched key (see ``KEYS``), and one outcome row per record."""
     numbered = with_arrival(records)
     assigned = resolve_entities(
         numbered,
@@ -149,18 +165,13 @@ def ingest(records: DataFrame, catalog: CatalogTables | None, seen_at: str) -> t
         "source_key", F.col("arrival").alias("read_no"), "record_id", "source_record_id", "category", "component_id",
         F.when(F.col("created"), "created").otherwise("updated").alias("outcome"), F.lit(None).cast("string").alias("message"),
     )
-    if catalog is None:
-        return CatalogTables(components, merged_fields, new_sources, codes), outcomes
-
-    keys = ["source_key", "source_record_id"]
-    seen = catalog.sources.select(*keys, F.col("first_seen").alias("_first"))
-    kept_first = new_sources.join(seen, keys, "left").withColumn("first_seen", F.coalesce("_first", "first_seen")).drop("_first")
-    return CatalogTables(
-        components=catalog.components.join(touched, "component_id", "left_anti").unionByName(components),
-        fields=catalog.fields.join(touched, "component_id", "left_anti").unionByName(merged_fields),
-        sources=catalog.sources.join(new_sources.select(*keys), keys, "left_anti").unionByName(kept_first),
-        identifiers=catalog.identifiers.unionByName(codes).distinct(),
-    ), outcomes
+    if catalog is not None:
+        keys = ["source_key", "source_record_id"]
+        seen = catalog.sources.select(*keys, F.col("first_seen").alias("_first"))
+        new_sources = new_sources.join(seen, keys, "left").withColumn("first_seen", F.coalesce("_first", "first_seen")).drop("_first")
+        known = catalog.identifiers.join(codes.select("component_id").distinct(), "component_id", "left_semi")
+        codes = codes.unionByName(known).distinct()
+    return CatalogTables(components, merged_fields, new_sources, codes), outcomes
 
 
 def repeatable(records: DataFrame) -> DataFrame:

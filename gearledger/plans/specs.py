@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gearledger.functions.html import json_rows, layout_rows, prose_rows
+from gearledger.functions.html import acceptable, property_rows, prose_rows
 from gearledger.functions.spec_fields import parse_field
 from gearledger.functions.text import plain, squeeze
 from gearledger.functions.urls import in_domains
 from gearledger.model import inline_table
 from gearledger.model import spec_dictionary as dictionary
+from gearledger.operators.markup import layout_rows, ld_objects
 from gearledger.operators.ranking import cap_per_group
 
-FIELD_LIMIT = 80
 
+def extract_specs(pages: DataFrame, key: str = "page_id", limit: int | None = None, name_limit: int | None = None, value_limit: int | None = None) -> DataFrame:
+    """Raw rows of every page: (key, row_no, field, value, method), repeats removed; JSON-LD first, then the layout, then the description.
 
-def extract_specs(pages: DataFrame, key: str = "page_id", limit: int = FIELD_LIMIT) -> DataFrame:
-    """Raw rows of every page: (key, row_no, field, value, method), repeats removed, first ``limit`` kept.
-
-    The page text is read once and never shuffled: only the short rows move.
+    Without limits every row is kept. ``limit`` keeps the first rows of a page, ``name_limit`` and ``value_limit`` drop rows with longer names
+    or values (a description is cut). The key must be unique.
     """
-    rows = pages.select(key, F.posexplode(
-        F.concat(json_rows(F.col("html")), layout_rows(F.col("html")), prose_rows(F.col("html")))
-    ).alias("row_no", "row")).select(key, "row_no", "row.*")
+    long = F.lit(0).cast("bigint")
+    told = ld_objects(pages, key).select(key, "document", "at", F.try_parse_json("node").alias("v")).select(
+        key, "document", "at", F.posexplode(property_rows(F.col("v"))).alias("nth", "r"))
+    told = told.select(key, F.struct(F.lit(0).alias("part"), F.col("document").cast("bigint").alias("a"), F.col("at").cast("bigint").alias("b"), "nth").alias("order"), "r.*")
+    laid = layout_rows(pages, key)
+    laid = laid.select(key, F.struct(F.lit(1).alias("part"), F.col("close").cast("bigint").alias("a"), long.alias("b"), "nth").alias("order"), "field", "value", "method")
+    prose = pages.select(key, F.posexplode(prose_rows(F.col("html"))).alias("nth", "r"))
+    prose = prose.select(key, F.struct(F.lit(2).alias("part"), long.alias("a"), long.alias("b"), "nth").alias("order"), "r.*")
+    if value_limit is not None:
+        prose = prose.withColumn("value", F.substring("value", 1, value_limit))
+    rows = told.unionByName(laid).unionByName(prose).filter(acceptable(F.col("field"), F.col("value"), F.col("method")))
+    for column, most in (("field", name_limit), ("value", value_limit)):
+        if most is not None:
+            rows = rows.filter(F.length(column) <= most)
     unique = rows.groupBy(key, "method", F.lower("field").alias("_f"), F.lower("value").alias("_v")).agg(
-        F.min(F.struct("row_no", "field", "value")).alias("r")
-    )
-    return cap_per_group(unique.select(key, "r.row_no", "r.field", "r.value", "method"), [key], ["row_no"], limit)
+        F.min(F.struct("order", "field", "value")).alias("r"))
+    numbered = unique.withColumn("row_no", F.row_number().over(Window.partitionBy(key).orderBy("r.order")) - 1)
+    found = numbered.select(key, "row_no", "r.field", "r.value", "method")
+    return found if limit is None else cap_per_group(found, [key], ["row_no"], limit)
 
 
 def field_key(name: Column) -> Column:

@@ -56,3 +56,50 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables written between the steps of one job. They are deleted as soon as they are dropped, the rest when the job ends, also by an error.
+
+    >>> with Scratch(spark) as scratch:
+    ...     rows = scratch.cut(rows)
+    ...     result = scratch.keep(rows.groupBy("key").count())
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.tables = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """The frame as a written table that this job owns."""
+        path = f"{ensure_checkpoint_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        # Known before it is written, so what a failed job leaves is deleted too.
+        self.tables.append((None, path))
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[-1] = (found, path)
+        return found
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The frame as a written table that outlives the job: its result."""
+        return cut_lineage(df)
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables that nothing yet to be run reads."""
+        for frame in frames:
+            for entry in [e for e in self.tables if e[0] is frame]:
+                self.tables.remove(entry)
+                self._delete(entry[1])
+
+    def _delete(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def close(self) -> None:
+        while self.tables:
+            self._delete(self.tables.pop()[1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_error) -> None:
+        self.close()

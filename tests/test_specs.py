@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gearledger.functions.specs import display
+from gearledger.plans.evidence import parse_pages
 from gearledger.plans.specs import extract_specs, missing_fields, normalize_specs
 
 
@@ -142,5 +143,73 @@ def test_single_rows(spark):
 def test_repeated_rows_and_limit(spark):
     page = table(*[(f"Field {i}", f"value {i}") for i in range(90)], ("field 1", "VALUE 1"))
     pages = spark.createDataFrame([("p", page)], "page_id string, html string")
-    rows = extract_specs(pages).orderBy("row_no").collect()
+    rows = extract_specs(pages, limit=80).orderBy("row_no").collect()
     assert len(rows) == 80 and rows[0].field == "Field 0"
+    assert extract_specs(pages).count() == 90
+
+
+NESTED = {
+    # A value that is a table itself is one value; the table around it goes on behind it.
+    "table in a cell": ("<table><tr><th>Ports</th><td>rear <table><tr><td>4 x</td><td> USB</td></tr></table>, 2 front</td></tr><tr><th>Weight</th><td>3 kg</td></tr></table>",
+                        [("Ports", "rear 4 x USB, 2 front", "spec-table"), ("Weight", "3 kg", "spec-table")]),
+    "four deep": ("<table><tr><td>A</td><td>" + "<table><tr><td>" * 3 + "x" + "</td></tr></table>" * 3 + "</td></tr><tr><td>B</td><td>y</td></tr></table>",
+                  [("A", "x", "spec-table"), ("B", "y", "spec-table")]),
+    # A table between the rows of another is a table of its own, read where it ends.
+    "table between rows": ("<table><tr><td>A</td><td>1</td></tr><table><tr><td>C</td><td>3</td></tr></table><tr><td>B</td><td>2</td></tr></table>",
+                           [("C", "3", "spec-table"), ("A", "1", "spec-table"), ("B", "2", "spec-table")]),
+    "list in a value": ("<dl><dt>Fans</dt><dd><dl><dt>Front</dt><dd>3</dd></dl> in all</dd><dt>Slots</dt><dd>7</dd></dl>",
+                        [("Fans", "Front3 in all", "definition-list"), ("Slots", "7", "definition-list")]),
+    "nested value": ('<div class="label">Size</div><div class="value"><div>240 <div>mm</div></div></div><div class="label">Pump</div><div class="value"><ul><li>a</li><li>b</li></ul></div>',
+                     [("Size", "240 mm", "spec-list"), ("Pump", "a, b", "spec-list")]),
+    "table in a value": ('<p class="label">Board</p><section class="value"><table><tr><td>ATX</td><td> only</td></tr></table></section>', [("Board", "ATX only", "spec-list")]),
+    "list in a cell": ("<table><tr><td>Case</td><td><dl><dt>w</dt><dd>20</dd></dl></td></tr></table>", [("Case", "w20", "spec-table")]),
+    "tags left open": ("<table><tr><th>A<td>1<tr><th>B<td>2</table><dl><dt>C<dd>3<dt>D<dd>4</dl>",
+                       [("A", "1", "spec-table"), ("B", "2", "spec-table"), ("C", "3", "definition-list"), ("D", "4", "definition-list")]),
+    "closed too often": ("</table></dl></div><table><tr><td>A</td><td>1 &lt; 2</td></tr></table></table><table><tr><td>B</td><td>2</td></tr></table>",
+                         [("A", "1 < 2", "spec-table"), ("B", "2", "spec-table")]),
+    "never closed": ('<div class="label">A</div><div class="value">1<table><tr><td>B</td><td>2</td></tr></table>', [("B", "2", "spec-table")]),
+    "head of a nested table": ("<table><tr><td>A</td><td><table><thead><tr><th>q</th><th>r</th><th>s</th></tr></thead></table></td></tr><tr><td>B</td><td>2</td></tr></table>",
+                               [("A", "qrs", "spec-table"), ("B", "2", "spec-table")]),
+    "long value": ("<table><tr><td>" + "N" * 200 + "</td><td>" + "v" * 9000 + "</td></tr></table>", [("N" * 200, "v" * 9000, "spec-table")]),
+    "empty": ("", []), "no html": (None, []),
+}
+
+
+def test_nested_markup(spark):
+    pages = spark.createDataFrame([(name, html) for name, (html, _) in NESTED.items()], "page_id string, html string")
+    found = {name: [] for name in NESTED}
+    for r in extract_specs(pages).orderBy("page_id", "row_no").collect():
+        found[r.page_id].append((r.field, r.value, r.method))
+    assert found == {name: rows for name, (_, rows) in NESTED.items()}
+
+
+def ld(text):
+    return f'<script type="application/ld+json">{text}</script>'
+
+
+def deep(levels, inner):
+    return '{"@type": "Thing", "z": [' * levels + inner + "]}" * levels
+
+
+def test_json_ld_at_any_depth_in_document_order(spark):
+    named = '{"@type": "Product", "name": "%s", "additionalProperty": {"name": "Rank %s", "value": "%s"}}'
+    pages = {
+        "deep": ld(deep(50, named % ("Far", "a", "1"))),
+        # The keys are not in alphabetical order, and the deeper product stands first.
+        "order": ld('{"z": {"y": ' + named % ("First", "b", "2") + '}, "a": ' + named % ("Second", "c", "3") + "}"),
+        "unnamed": ld('{"@type": ["x", "https://schema.org/ProductModel"], "sku": "s1"}') + ld(named % ("Later", "d", "4")),
+        "braces": ld('{"k": "} ] \\" {", "@graph": [' + named % ('{\\"q\\": 1}', "e", "5") + "]}"),
+        "broken": ld("{not json") + ld(named % ("Good", "f", "6")),
+        "list": ld("[" + ", ".join(named % (f"P{i}", f"g{i}", i) for i in range(3)) + "]"),
+        "none": "<p>No data</p>",
+    }
+    frame = spark.createDataFrame(list(pages.items()), "url string, html string")
+    parsed = {r.url: r for r in parse_pages(frame).collect()}
+    title = {u: r.page_title for u, r in parsed.items()}
+    assert title == {"deep": "Far", "order": "First", "unnamed": "Later", "braces": '{"q": 1}', "broken": "Good", "list": "P0", "none": ""}
+    assert not parsed["none"].structured and parsed["order"].properties[0].name == "Rank b"
+    rows = {}
+    for r in extract_specs(frame, "url").orderBy("url", "row_no").collect():
+        rows.setdefault(r.url, []).append((r.field, r.value))
+    assert rows == {"deep": [("Rank a", "1")], "order": [("Rank b", "2"), ("Rank c", "3")], "unnamed": [("Rank d", "4")], "braces": [("Rank e", "5")],
+                    "broken": [("Rank f", "6")], "list": [(f"Rank g{i}", str(i)) for i in range(3)]}
