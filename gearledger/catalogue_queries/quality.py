@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gearledger.catalogue_queries.shapes import pick, plain_sql, shape, table
 from gearledger.operators.ranking import first_wins
 from gearledger.plans.quality import validate
-from gearledger.streaming.imports import counters_to_table, file_stream, next_collection
+from gearledger.session import ensure_checkpoint_dir
+from gearledger.streaming.imports import counters, counters_to_table, file_stream, next_collection
 
 NINE = ("cpu", "gpu", "motherboard", "ram", "psu", "case", "storage", "cooling", "expansion")
 QUERIES_ROWS = f"SELECT {pick('o_custkey', *NINE, 'fridge')} AS category, CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'Brand ' || CAST(o_orderkey % 800 AS STRING) END AS brand, 'q' AS query FROM {{orders}}"
@@ -87,11 +90,9 @@ def q_stream_counters(spark, folder):
     schema = table(spark, folder, "events").schema
     stream = file_stream(spark, folder, schema, pattern="events.parquet").select(
         F.col("event_type").alias("source_key"), (F.col("user_id") % 7).alias("category"))
-    import uuid
-
-    name = "counters_" + uuid.uuid4().hex
-    counters_to_table(stream, name).awaitTermination()
-    return spark.table(name)
+    place = f"{ensure_checkpoint_dir(spark)}/counters-{uuid.uuid4().hex}"
+    counters_to_table(stream, f"{place}/table", f"{place}/state").awaitTermination()
+    return counters(spark, f"{place}/table")
 
 
 def q_next_collection(spark, folder):

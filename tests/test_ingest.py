@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gearledger.functions.specs import display
-from gearledger.plans.ingest import ingest, repeatable, sync
+from gearledger.plans.ingest import changes, ingest, repeatable, sync
 from gearledger.plans.normalize import normalize_curated, normalize_export, normalize_open_db, validate_export, validate_open_db
 from gearledger.sources.readers import read_curated, read_envelope, read_export, read_id_database, read_open_db, read_sitemap
 from gearledger.sources.writers import CatalogStore, log_errors, log_run, write_lanes, write_sorted
-from gearledger.streaming.imports import counters_to_table, file_stream, import_stream
+from gearledger.streaming.imports import counters, counters_to_table, file_stream, import_stream
 
 CPU = {
     "opendb_id": "ae9507b0-cdbc-489b-b39a-46b12687d53d",
@@ -151,12 +151,80 @@ def test_store_and_stream_equal_batch(spark, three_waves, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).agg(F.sum("created")).first()[0] == 3
 
 
-def test_running_counters_equal_batch(spark, three_waves, tmp_path):
-    folder = str(tmp_path / "in")
+def test_running_counters_go_on_after_a_restart(spark, three_waves, tmp_path):
+    folder, table, checkpoint = (str(tmp_path / n) for n in ("in", "counters", "checkpoint"))
     rows = three_waves[1].select("source_key", "category")
-    rows.repartition(3).write.parquet(folder)
-    counters_to_table(file_stream(spark, folder, rows.schema), "test_counters").awaitTermination()
-    assert sorted(map(tuple, spark.table("test_counters").collect())) == sorted(map(tuple, rows.groupBy("source_key", "category").count().collect()))
+    want = lambda n: sorted((a, b, c * n) for a, b, c in map(tuple, rows.groupBy("source_key", "category").count().collect()))
+    assert counters(spark, table) is None
+    for turn in (1, 2, 3):
+        rows.repartition(3).write.mode("append").parquet(folder)
+        if turn == 2:
+            # Categories that were there before and get nothing new stay as they are.
+            spark.createDataFrame([("open_db", "new")], rows.schema).write.mode("append").parquet(folder)
+        counters_to_table(file_stream(spark, folder, rows.schema, files_per_batch=2), table, checkpoint).awaitTermination()
+        extra = [("open_db", "new", 1)] if turn > 1 else []
+        assert sorted(map(tuple, counters(spark, table).collect())) == sorted(want(turn) + extra)
+
+
+def small(spark, three_waves, n, start=0):
+    """Records of their own: no code, name or source record is shared."""
+    one = three_waves[2].limit(1)
+    named = lambda c: F.concat(F.lit(c), F.col("i").cast("string"))
+    codes = F.transform("codes", lambda c: F.struct(*[F.concat(c["value"], F.col("i").cast("string")).alias(f) if f == "value" else c[f].alias(f) for f in ("rank", "type", "value", "scope")]))
+    rows = one.crossJoin(spark.range(start, start + n).withColumnRenamed("id", "i"))
+    return rows.withColumns({"source_record_id": named("s"), "record_id": named("r"), "read_order": named("r"), "identity_hash": named("h"), "slug": named("slug"),
+                             "codes": codes.cast(three_waves[2].schema["codes"].dataType)}).select(*one.columns)
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, three_waves, tmp_path):
+    store = CatalogStore(spark, str(tmp_path / "c"), buckets=64)
+    store.upsert(lambda c: changes(small(spark, three_waves, 200), c, "2024-01-01")[0])
+    before = store.manifest()
+    store.upsert(lambda c: changes(small(spark, three_waves, 10, 195), c, "2024-02-01")[0], "other/3")
+    after = store.manifest()
+    for table in after["tables"]:
+        old, new = before["tables"][table]["buckets"], after["tables"][table]["buckets"]
+        assert 0 < sum(new[b] != old.get(b) for b in new) <= 10
+    assert store.read().components.count() == 205 and store.read().sources.count() == 205
+    dates = {(r.first_seen, r.last_seen): r["count"] for r in store.read().sources.groupBy("first_seen", "last_seen").count().collect()}
+    assert dates == {("2024-01-01", "2024-01-01"): 195, ("2024-01-01", "2024-02-01"): 5, ("2024-02-01", "2024-02-01"): 5}
+    assert store.committed("other/3") and store.committed("other/2") and not store.committed("other/4")
+    assert store.read(before["version"]).components.count() == 200
+    gone = store.vacuum(keep=1)
+    assert store.versions() == [after["version"]] and store.read().components.count() == 205
+    assert not set(gone) & {f for t in after["tables"].values() for f in t["buckets"].values()}
+
+
+def test_two_writers_at_once_keep_all_rows(spark, three_waves, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "c")
+    batches = [small(spark, three_waves, 8, 100 * n).cache() for n in range(3)]
+
+    def work(n):
+        # A store of its own, as another process would have; the same few components are fed by all.
+        return CatalogStore(spark, path, buckets=8).upsert(lambda c: changes(batches[n], c, f"2024-01-0{n + 1}")[0], f"stream{n}/0")
+
+    with ThreadPoolExecutor(3) as pool:
+        versions = list(pool.map(work, range(3)))
+    store = CatalogStore(spark, path)
+    assert sorted(versions) == store.versions() and len(versions) == 3
+    assert {r.source_record_id for r in store.read().sources.collect()} == {f"s{100 * n + i}" for n in range(3) for i in range(8)}
+    assert store.read().components.count() == 24 and all(store.committed(f"stream{n}/0") for n in range(3))
+
+
+def test_a_slower_writer_works_on_what_the_faster_left(spark, three_waves, tmp_path):
+    path, seen = str(tmp_path / "c"), []
+
+    def slow(catalog):
+        seen.append(None if catalog is None else catalog.sources.count())
+        if len(seen) == 1:
+            CatalogStore(spark, path).upsert(lambda c: changes(small(spark, three_waves, 4), c, "2024-01-01")[0], "fast/0")
+        return changes(small(spark, three_waves, 4, 2), catalog, "2024-01-02")[0]
+
+    store = CatalogStore(spark, path)
+    assert store.upsert(slow, "slow/0") == "v000000000002" and seen == [None, 4]
+    assert store.read().components.count() == 6 and store.upsert(slow, "slow/0") is None
 
 
 def test_other_files(spark, tmp_path):
