@@ -162,21 +162,45 @@ def mixed_sizes(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy(*keys).agg(F.sum("length").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _pieces(text: Column) -> tuple[Column, Column]:
+    """The words of a text and the white space before each of them, then that behind the last one."""
+    return F.regexp_extract_all(text, F.lit(WORD), 0), F.split(text, WORD, -1)
+
+
+def _written(words: Column, gaps: Column, ranges: Column) -> Column:
+    """The words of some ranges (start, length) with the white space that stands between them in the text; a line break between ranges that don't touch."""
+    def one(r: Column) -> Column:
+        start, length = r["start"].cast("int"), r["length"].cast("int")
+        inner = F.zip_with(F.slice(words, start + 1, length), F.slice(gaps, start + 1, length), lambda w, g: F.concat(F.coalesce(g, F.lit("")), w))
+        # The white space before the first word is that of the text only if the range before ends there.
+        return F.struct(start.alias("start"), (start + length).alias("end"), F.array_join(inner, "").alias("text"), F.length(F.get(gaps, start)).alias("lead"))
+
+    def joined(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda p, i: F.when((i > 0) & (F.get(parts, i - 1)["end"] == p["start"]), p["text"]).otherwise(
+            F.concat(F.when(i > 0, "\n").otherwise(""), F.substring(p["text"], p["lead"] + 1, F.length(p["text"]))))), "")
+
+    return F.transform(F.array(F.transform(ranges, one)), joined)[0]
+
+
 def mixed_documents(docs: DataFrame, manifest: DataFrame) -> DataFrame:
     """The documents of a mix, with the columns of ``docs``: a row per document and round with the words taken of it.
 
-    A document that is taken whole keeps its text, else the taken words stand in their order with single spaces. n_chars, where
-    there is such a column, is counted anew.
+    A document that is taken whole keeps its text, else the taken words stand in their order with the white space between them; where words are
+    left out between, a line break stands. n_chars, where there is such a column, is counted anew. A text is moved once and cut into words once,
+    for both rounds. Fully repeated rows are told apart by the manifest only, so one of them gives the texts of all.
     """
+    key = lambda text: [F.xxhash64("doc_id", "source", text).alias("k1"), F.xxhash64(text, "source", "doc_id").alias("k2")]
     taken = manifest.filter("length > 0").groupBy("doc_id", "text_key", "source", "source_rank", "bucket", "number", "size", "round").agg(
         F.sum("length").alias("words"), F.array_sort(F.collect_list(F.struct("start", "length"))).alias("ranges"))
-    keyed = docs.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key", "source"]).alias("d")
-    taken = taken.alias("t")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "text_key", "source")]
-    rows = taken.join(keyed, same[0] & same[1] & same[2])
-    words = F.regexp_extract_all("d.text", F.lit(WORD), 0)
-    chosen = F.flatten(F.transform("t.ranges", lambda r: F.slice(words, r["start"].cast("int") + 1, r["length"].cast("int"))))
-    text = F.when(F.col("t.words") == F.col("t.size"), F.col("d.text")).otherwise(F.array_join(chosen, " "))
-    out = rows.withColumn("mixed_text", text)
-    made = {"text": F.col("mixed_text"), "n_chars": F.length("mixed_text").cast("bigint")}
-    return out.select(*[made.get(c, F.col(f"d.{c}")).alias(c) for c in docs.columns])
+    copies = taken.select(*key("text_key"), F.struct("round", "size", "words", "ranges").alias("copy"), "bucket", "number")
+    copies = copies.groupBy("k1", "k2", "bucket", "number").agg(F.array_sort(F.collect_list("copy")).alias("copies"))
+    # Repeated rows collapse before the shuffle; the join finds the rows where that left them.
+    held = docs.select(*key(F.xxhash64("text")), F.struct(*docs.columns).alias("row")).dropDuplicates(["k1", "k2"])
+    rows = copies.join(held, ["k1", "k2"])
+    words, gaps = _pieces(F.col("row.text"))
+    # Words and gaps are bound once for all copies.
+    bound = F.transform(F.array(F.struct(words.alias("words"), gaps.alias("gaps"))), lambda t: F.transform("copies", lambda c: F.when(
+        c["words"] == c["size"], F.col("row.text")).otherwise(_written(t["words"], t["gaps"], c["ranges"]))))[0]
+    out = rows.select("row", F.explode(bound).alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return out.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

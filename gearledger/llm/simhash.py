@@ -12,7 +12,7 @@ share is refined by cutting the remaining bits in the same way; what still share
 
 Groups are connected components of the links, named by their smallest id. Defined results: a text without words, and a
 null text, has fingerprint zero and is linked like any other; fewer words than a shingle make one shingle of the whole
-sequence. Repeated rows fall into one group. Rows with a null id take part; a group of such rows only has a null name.
+sequence. Repeated rows fall into one group. Rows with a null id take part and join others; a group of such rows only has a null name.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gearledger.llm.common import cut_lineage, discard, stored
+from gearledger.llm.common import cut_lineage
 from gearledger.llm.components import components
+from gearledger.session import Scratch
 
 BITS = 64
 
@@ -99,8 +100,8 @@ def _mask(bits: list[int]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def links(distinct: DataFrame, distance: int = 2, pivots: int = 64, crowd: int = 2048) -> DataFrame:
-    """All pairs (a < b) of distinct fingerprints (fingerprint, first_doc) that differ in at most ``distance`` bits, as pairs of first_doc."""
+def links(distinct: DataFrame, scratch: Scratch, distance: int = 2, pivots: int = 64, crowd: int = 2048) -> DataFrame:
+    """All pairs (a < b) of distinct fingerprints (fingerprint) that differ in at most ``distance`` bits."""
     refs = references(pivots)
     names = [f"d{i}" for i in range(pivots)]
     parts = _blocks(list(range(BITS)), distance + 2)
@@ -111,20 +112,20 @@ def links(distinct: DataFrame, distance: int = 2, pivots: int = 64, crowd: int =
 
     def keyed(frame: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
         keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("bits")) for i, m in masks])
-        return frame.select("fingerprint", "first_doc", F.explode(keys).alias("k")).select("fingerprint", "first_doc", "k.choice", "k.bits")
+        return frame.select("fingerprint", F.explode(keys).alias("k")).select("fingerprint", "k.choice", "k.bits")
 
     def met(rows: DataFrame) -> DataFrame:
         """Pairs of one key that the tables don't discard, verified."""
-        side = rows.select("choice", "bits", "fingerprint", "first_doc", *table_row(F.col("fingerprint"), refs))
+        side = rows.select("choice", "bits", "fingerprint", *table_row(F.col("fingerprint"), refs))
         a, b = side.alias("a"), side.alias("b")
         within = F.greatest(*[F.abs(F.col(f"a.{n}") - F.col(f"b.{n}")) for n in names]) <= distance
         verified = F.bit_count(F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))) <= distance
         on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fingerprint") < F.col("b.fingerprint"))
-        return a.join(b, on & within & verified).select(F.col("a.first_doc").alias("a"), F.col("b.first_doc").alias("b"))
+        return a.join(b, on & within & verified).select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"))
 
     rows = keyed(distinct, [(i, _mask(fixed)) for i, fixed, _ in choices])
     sizes = rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n"))
-    shared = cut_lineage(rows.join(sizes.filter("n > 1"), ["choice", "bits"]))
+    shared = scratch.cut(rows.join(sizes.filter("n > 1"), ["choice", "bits"]))
     found = met(shared.filter(F.col("n") <= crowd))
     for i, fixed, free in choices:
         # Within one key of this choice only the free bits can differ, so the same cut applies to them.
@@ -137,11 +138,14 @@ def links(distinct: DataFrame, distance: int = 2, pivots: int = 64, crowd: int =
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, pivots: int = 64, crowd: int = 2048) -> DataFrame:
     """(doc_id, fingerprint as signed long, component_id) of every row: its group of near-duplicates by its smallest id."""
     hashed = cut_lineage(fingerprints(docs, shingle))
-    distinct = cut_lineage(hashed.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc")))
-    known = distinct.filter(F.col("first_doc").isNotNull())
-    groups = components(cut_lineage(links(known, distance, pivots, crowd)))
-    named = distinct.join(groups, distinct["first_doc"] == groups["node"], "left").select(
-        "fingerprint", F.coalesce("component", "first_doc").alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        distinct = scratch.cut(hashed.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc")))
+        # Fingerprints are the nodes, so rows without an id link others too; a group is named last.
+        groups = components(scratch.cut(links(distinct, scratch, distance, pivots, crowd)), scratch)
+        grouped = distinct.join(groups, distinct["fingerprint"] == groups["node"], "left").withColumn("group", F.coalesce("component", "fingerprint"))
+        grouped = scratch.cut(grouped.select("fingerprint", "first_doc", "group"))
+        names = grouped.groupBy("group").agg(F.min("first_doc").alias("component_id"))
+        named = scratch.keep(grouped.join(names, "group").select("fingerprint", "component_id"))
     return hashed.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
@@ -149,35 +153,52 @@ def hex_fingerprint(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 2048, sample_texts: int = 4096) -> DataFrame:
+WORDS = 16
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """64 * WORDS bits, each the parity of the number of hashes that fall on it."""
+    bits = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def near_copies(
+    docs: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, crowd: int = 2048, least_sample: int = 4096, sample_share: float = 1 / 16,
+    most_common: int = 1 << 20,
+) -> DataFrame:
     """(text_key, component) of every text of ``docs`` that has a near copy: groups of texts whose sets of word shingles are similar.
 
     Two texts are linked exactly if the Jaccard value of their distinct shingle hashes is ``similarity`` or more. Fingerprints of such
     texts differ in too many bits for blocks, so candidates come from a prefix filter: all sets are put in one order, common shingles
     last, and two similar sets share one of their first ``size - ceil(similarity * size) + 1`` shingles. At the first shared one what is
-    left of both sets must reach the overlap that their sizes ask for. Any order finds the same pairs; which shingles are common is
-    read from ``sample_texts`` texts.
+    left of both sets must reach the overlap that their sizes ask for. Any order finds the same pairs; which shingles are common (the
+    ``most_common`` most frequent at most) is counted in ``sample_share`` of the texts, so it sharpens as the corpus grows.
+
+    A pair is then held against two short sketches. Each bit of a sketch is the parity of the shingles that fall on it, so the sketches differ in no
+    more bits than the sets differ in shingles, and similar sets differ in few. Only for pairs that pass are whole sets made and compared.
 
     Groups don't need all of their pairs: first every text meets two leaders of each of its shingles, the one whose shingles are shared
     most and the one with the least hash; then all pairs that these links leave in different components are decided. A shingle that
-    over ``crowd`` texts share is dealt over several tasks. Texts are named by their MD5; a text without words is in a group of its own.
+    over ``crowd`` texts share is dealt over several tasks. Texts are named by their MD5; a null text is an empty one, and a text without words is in
+    a group of its own. Tables belong to ``scratch``, the result reads them.
     """
     spark = docs.sparkSession
     texts = docs.select(F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), "text")
     steps = 1 << 30
-    share = min(steps, -(-sample_texts * steps // max(1, texts.count())))
-    some = texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(steps)) < share).dropDuplicates(["text_key"])
+    share = min(steps, max(int(sample_share * steps), -(-least_sample * steps // max(1, texts.count()))))
+    some = texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(steps)) < share)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in frame["text"]]
+            # Copies count once in a batch; over all batches they may count more, which only changes the order.
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in frame.drop_duplicates("text_key")["text"]]
             hashes, n = np.unique(np.concatenate([*sets, np.zeros(0, dtype="<u8")]), return_counts=True)
             yield pd.DataFrame({"hash": hashes.view("<i8"), "n": n.astype(np.int64)})
 
     often = some.mapInPandas(counted, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 3")
-    often = often.orderBy(F.desc("n"), "hash").limit(1 << 20).collect()
-    often = sorted((r["hash"] & (1 << 64) - 1, r["n"]) for r in often)
-    common = spark.sparkContext.broadcast((np.array([h for h, _ in often], dtype="<u8"), np.array([n for _, n in often], dtype=np.int64)))
+    often = often.orderBy(F.desc("n"), "hash").limit(most_common).toPandas()
+    order = np.argsort(often["hash"].to_numpy(np.int64).view("<u8"))
+    common = spark.sparkContext.broadcast((often["hash"].to_numpy(np.int64).view("<u8")[order], often["n"].to_numpy(np.int64)[order]))
 
     def first_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, times = common.value
@@ -188,23 +209,25 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
                 size = len(hashes)
                 if not size:
                     continue
+                sketch = parity(hashes)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                     hashes = hashes[np.argsort(np.where(known[at] == hashes, times[at], 0), kind="stable")]
-                out.append((key, size, hashes[: size - int(np.ceil(similarity * size - 1e-9)) + 1].view("<i8")))
-            yield pd.DataFrame(out, columns=["text_key", "size", "first"])
+                out.append((key, size, hashes[: size - int(np.ceil(similarity * size - 1e-9)) + 1].view("<i8"), sketch))
+            yield pd.DataFrame(out, columns=["text_key", "size", "first", "sketch"])
 
-    made = texts.mapInPandas(first_ones, "text_key string, size bigint, first array<bigint>")
+    made = texts.mapInPandas(first_ones, "text_key string, size int, first array<bigint>, sketch array<bigint>")
     # Copies have equal rows; one of each goes on. The number is written with its row, so it stays.
-    single = made.groupBy("text_key").agg(F.first("size").alias("size"), F.first("first").alias("first"))
-    single = cut_lineage(single.withColumn("node", F.monotonically_increasing_id()))
+    single = made.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("size", "first", "sketch")])
+    single = scratch.cut(single.withColumn("node", F.monotonically_increasing_id()))
 
     # ``rest``: shingles of the set from this one on.
     rows = single.select("node", "size", F.posexplode("first").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"))
-    sizes = cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    shared = cut_lineage(rows.join(sizes, "key"))
-    central = shared.groupBy("node").agg((F.sum("n") / F.first("size")).alias("central"))
-    shared = cut_lineage(shared.join(central, "node"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = scratch.cut(rows.join(sizes, "key"))
+    # How much of a text is shared; all rows of a text are dealt together, and are no more than its shingles.
+    shared = scratch.cut(found.withColumn("central", F.sum("n").over(Window.partitionBy("node")) / F.col("size")))
+    scratch.drop(found)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -220,16 +243,18 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
         return pairs
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar. What two sets share lies in both first parts, or behind the first part of the one whose part ends first."""
-        both = with_ends(cut_lineage(pairs), single.select("node", "size", "first"))
-        most = F.size(F.array_intersect("first_a", "first_b")) + F.greatest(*[F.col(f"size_{e}") - F.size(f"first_{e}") for e in ("a", "b")])
-        likely = cut_lineage(both.filter(most >= (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6).select("a", "b"))
-        ends = cut_lineage(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(single.select("node", "text_key"), "node"))
-        sets, path = stored(texts.join(ends, "text_key").select("node", "text").dropDuplicates(["node"]).mapInPandas(hashed, "node bigint, shingles array<bigint>"))
+        """The pairs that are similar."""
+        short = single.select("node", "size", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(WORDS)])
+        apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(WORDS)), F.lit(0))
+        near = with_ends(pairs, short).filter(apart <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+        likely = scratch.cut(near.select("a", "b"))
+        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(single.select("node", "text_key"), "node")
+        one = texts.join(ends, "text_key").select("node", "text").dropDuplicates(["node"])
+        sets = scratch.cut(one.mapInPandas(hashed, "node bigint, shingles array<bigint>"))
         both = with_ends(likely, sets).withColumn("both", F.size(F.array_intersect("shingles_a", "shingles_b")))
         either = F.size("shingles_a") + F.size("shingles_b") - F.col("both")
-        similar = cut_lineage(both.filter(F.col("both") / either >= similarity).select("a", "b"))
-        discard(spark, path)
+        similar = scratch.cut(both.filter(F.col("both") / either >= similarity).select("a", "b"))
+        scratch.drop(sets, likely)
         return similar
 
     turn = F.xxhash64("node")
@@ -241,29 +266,40 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
     led = verified(met)
 
     # What the leaders left apart: all pairs of a key in different components.
-    groups = components(led).withColumnsRenamed({"component": "group"})
+    groups = components(led, scratch).withColumnsRenamed({"component": "group"})
     apart = shared.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     open_keys = apart.groupBy("key").agg((F.min("group") < F.max("group")).alias("open")).filter("open").select("key")
-    apart = cut_lineage(apart.join(open_keys, "key").select("key", "node", "size", "rest", "group", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
+    apart = scratch.cut(apart.join(open_keys, "key").select("key", "node", "size", "rest", "group", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
+    scratch.drop(shared)
     a = apart.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("a")
     b = apart.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.group") != F.col("b.group"))
     met = a.join(b, on & reach(F.col("a.size"), F.col("a.rest"), F.col("b.size"), F.col("b.rest")))
     left = verified(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    scratch.drop(apart)
 
-    found = components(led.unionByName(left))
+    found = components(led.unionByName(left), scratch)
     named = found.join(single.select("node", "text_key"), "node")
     names = named.groupBy("component").agg(F.min("text_key").alias("name"))
     return named.join(names, "component").select("text_key", F.col("name").alias("component"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of near copies and of each text: the one with the smallest id (null ids last)."""
-    groups = near_copies(docs, **options)
-    keyed = docs.withColumn("near_copy_key", F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    ids = keyed.select("doc_id", "near_copy_key")
-    named = ids.join(groups, ids["near_copy_key"] == groups["text_key"], "left").withColumn("group", F.coalesce("component", "near_copy_key"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "near_copy_key"))
-    kept = named.groupBy("group").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.near_copy_key").alias("kept_key"))
-    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed["near_copy_key"] == kept["kept_key"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "near_copy_key"]).drop("near_copy_key")
+    """``docs`` with one document of each group of near copies and of each text: the one with the smallest id (null ids last).
+
+    A row that is fully repeated, and a text of several rows with the chosen id, stays once: which of the rows is any of them. All other tables are deleted.
+    """
+    key = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    ids = docs.select(F.col("doc_id").alias("id"), key.alias("near_copy"))
+    with Scratch(docs.sparkSession) as scratch:
+        groups = near_copies(docs, scratch, **options)
+        named = ids.join(groups, ids["near_copy"] == groups["text_key"], "left").withColumn("group", F.coalesce("component", "near_copy"))
+        first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "near_copy"))
+        kept = scratch.keep(named.groupBy("group").agg(first.alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.near_copy").alias("kept_key")))
+    # The columns of the documents go through as one value, so their names can't clash. The join and the last step share their keys: one shuffle, in
+    # which copies are spread by their id.
+    named = lambda i: [F.coalesce(F.col(i).cast("bigint"), F.lit(0)).alias("k_id"), F.col(i).isNull().alias("k_none")]
+    rows = docs.select(key.alias("k_text"), *named("doc_id"), F.struct(*docs.columns).alias("row"))
+    wanted = kept.select(F.col("kept_key").alias("k_text"), *named("kept_id"))
+    keys = ["k_text", "k_id", "k_none"]
+    return rows.join(wanted, keys, "left_semi").dropDuplicates(keys).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

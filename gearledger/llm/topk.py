@@ -1,13 +1,13 @@
 """Exact top-k search by tiled matrix products.
 
-Candidates are dealt by a hash of their id into shards of about ``shard_rows`` vectors, queries into blocks of about
+Candidates are dealt by a hash of their row into shards of about ``shard_rows`` vectors, queries into blocks of about
 ``block_rows``. Each shard and each block becomes one row that holds its matrix, every (block, shard) tile is one matrix
 product with a partial selection of the ``k`` best per query, and the lists of a block are merged in a tree of
 ``fan_in``. Every task holds one tile or ``fan_in`` lists; the number of tiles grows with the data, their size does not.
 
 Defined results: rows with a null id, a null vector, an empty vector, or a null or non-finite component take no part.
-Vectors are only compared with vectors of their length. Repeated rows of one id count as one (the least vector in array
-order). Equal scores go to the smaller id. Fewer than ``k`` candidates give all of them. Scores beyond a long are held
+Vectors are only compared with vectors of their length. Every row is a candidate and, where asked, a query of its own: rows that repeat an id
+meet each other, and a query leaves out one row only, its own. Equal scores go to the smaller id. Fewer than ``k`` candidates give all of them. Scores beyond a long are held
 at its bounds; they are computed exactly, in floating point only where every sum stays below 2**53.
 """
 
@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LIST = "dim int, block int, node int, queries array<bigint>, sizes array<int>, ids array<bigint>, scores array<bigint>"
+LIST = "dim int, block int, node int, queries array<bigint>, own array<bigint>, sizes array<int>, ids array<bigint>, scores array<bigint>"
+NAMES = [c.split()[0] for c in LIST.split(", ")]
 BLOCK = "dim int, block int, ids array<bigint>, cells array<bigint>"
 LONG = 2**63 - 1
 
@@ -70,7 +71,7 @@ def _pack(frame: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def _lists(dim: int, block: int, node: int, queries: np.ndarray, owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
+def _lists(dim: int, block: int, node: int, queries: np.ndarray, own: np.ndarray, owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
     """The k best of each query out of entries (owner = position of the query)."""
     order = np.lexsort((ids, -scores.astype(np.float64), owner)) if len(scores) and np.abs(scores).max() < 2**53 else np.array(
         sorted(range(len(scores)), key=lambda i: (owner[i], -int(scores[i]), ids[i])), dtype=np.int64)
@@ -78,7 +79,7 @@ def _lists(dim: int, block: int, node: int, queries: np.ndarray, owner: np.ndarr
     first = np.searchsorted(owner, owner)
     keep = np.arange(len(owner)) - first < k
     owner, ids, scores = owner[keep], ids[keep], scores[keep]
-    return dim, block, node, queries, np.bincount(owner, minlength=len(queries)).astype(np.int32), ids, scores
+    return dim, block, node, queries, own, np.bincount(owner, minlength=len(queries)).astype(np.int32), ids, scores
 
 
 def _tiles(batches: Iterator[pd.DataFrame], k: int, strip: int = 256) -> Iterator[pd.DataFrame]:
@@ -90,34 +91,38 @@ def _tiles(batches: Iterator[pd.DataFrame], k: int, strip: int = 256) -> Iterato
             found = []
             for at in range(0, len(queries), strip):
                 scores = _product(a[at:at + strip], b)
-                own = queries[at:at + strip, None] == ids[None, :]
-                # A query's own row leaves the matrix: one more is selected where it could take a place.
-                mask = _best(scores, k + 1) & ~own
-                owner, column = np.nonzero(mask)
+                owner, column = np.nonzero(_best(scores, k))
                 found.append((owner + at, ids[column], scores[owner, column]))
             owner, other, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-            rows.append(_lists(t.dim, t.block, t.shard, queries, owner, other, scores, k))
-        yield pd.DataFrame(rows, columns=["dim", "block", "node", "queries", "sizes", "ids", "scores"])
+            # A query's score with itself, row by row.
+            own = np.concatenate([np.diagonal(_product(a[i:i + 64], a[i:i + 64])) for i in range(0, len(a), 64)])
+            rows.append(_lists(t.dim, t.block, t.shard, queries, own, owner, other, scores, k))
+        yield pd.DataFrame(rows, columns=NAMES)
 
 
 def _merge(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    queries = np.asarray(frame["queries"].iloc[0], dtype=np.int64)
+    queries, own = (np.asarray(frame[c].iloc[0], dtype=np.int64) for c in ("queries", "own"))
     owner = np.concatenate([np.repeat(np.arange(len(queries)), s) for s in frame["sizes"]])
     ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in frame["ids"]])
     scores = np.concatenate([np.asarray(x, dtype=np.int64) for x in frame["scores"]])
-    merged = _lists(frame["dim"].iloc[0], frame["block"].iloc[0], frame["node"].iloc[0], queries, owner, ids, scores, k)
-    return pd.DataFrame([merged], columns=["dim", "block", "node", "queries", "sizes", "ids", "scores"])
+    merged = _lists(frame["dim"].iloc[0], frame["block"].iloc[0], frame["node"].iloc[0], queries, own, owner, ids, scores, k)
+    return pd.DataFrame([merged], columns=NAMES)
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rows(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The lists hold one entry more than asked for: the query's own row leaves, or the last."""
     for frame in batches:
         for t in frame.itertuples(index=False):
-            sizes = np.asarray(t.sizes, dtype=np.int64)
-            rank = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-            yield pd.DataFrame({
-                "query_id": np.repeat(np.asarray(t.queries, dtype=np.int64), sizes), "rank": rank.astype(np.int32),
-                "vec_id": np.asarray(t.ids, dtype=np.int64), "score": np.asarray(t.scores, dtype=np.int64),
-            })
+            sizes, queries, own = (np.asarray(x, dtype=np.int64) for x in (t.sizes, t.queries, t.own))
+            ids, scores, query = np.asarray(t.ids, dtype=np.int64), np.asarray(t.scores, dtype=np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            # Rows of the query's id and score can't be told apart in the result, so the first of them stands for its own.
+            mine = np.flatnonzero((ids == queries[query]) & (scores == own[query]))
+            keep = np.ones(len(ids), dtype=bool)
+            keep[mine[np.unique(query[mine], return_index=True)[1]]] = False
+            ids, scores, query = ids[keep], scores[keep], query[keep]
+            rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+            top = rank <= k
+            yield pd.DataFrame({"query_id": queries[query[top]], "rank": rank[top].astype(np.int32), "vec_id": ids[top], "score": scores[top]})
 
 
 def top_k(
@@ -132,12 +137,12 @@ def top_k(
         F.col(id_col).cast("bigint").alias("id"), F.size(vector_col).alias("dim"), quantize(F.col(vector_col), scale).alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
-    rows = rows.groupBy("id").agg(F.min(F.struct("vector", "dim", "asks")).alias("v")).select("id", "v.dim", "v.vector", "v.asks")
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(is_query, F.lit(False))).alias("q")).first()
     shards, blocks = -(-size["n"] // shard_rows) or 1, -(-size["q"] // block_rows) or 1
 
     def packed(frame: DataFrame, parts: int) -> DataFrame:
-        dealt = frame.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        # By id and row: a repeated id, or a repeated row, doesn't crowd one block.
+        dealt = frame.withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
         return dealt.groupBy("dim", "block").applyInPandas(_pack, BLOCK)
 
     held = packed(rows, shards).withColumnRenamed("block", "shard")
@@ -147,10 +152,10 @@ def top_k(
     )
     # One row is a whole matrix, so this equi-join moves few rows; each joined row is one tile.
     tiles = asked.join(held, ["dim", "shard"])
-    lists = tiles.mapInPandas(lambda batches: _tiles(batches, k), LIST)
+    lists = tiles.mapInPandas(lambda batches: _tiles(batches, k + 1), LIST)
     while True:
         shards = -(-shards // fan_in)
         lists = lists.withColumn("node", F.floor(F.col("node") / fan_in).cast("int"))
-        lists = lists.groupBy("dim", "block", "node").applyInPandas(lambda frame: _merge(frame, k), LIST)
+        lists = lists.groupBy("dim", "block", "node").applyInPandas(lambda frame: _merge(frame, k + 1), LIST)
         if shards == 1:
-            return lists.mapInPandas(_rows, "query_id bigint, rank int, vec_id bigint, score bigint")
+            return lists.mapInPandas(lambda batches: _rows(batches, k), "query_id bigint, rank int, vec_id bigint, score bigint")

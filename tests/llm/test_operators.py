@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gearledger.llm import common, components, language, merkle, mixing, packing, secrets, simhash, substrings, tokencount, topk, toxicity
 
+from gearledger.session import Scratch
+
 from .conftest import frame, words
 
 W = r"[^\x20\x09-\x0D]+"
@@ -29,18 +31,22 @@ def test_top_k_equals_brute_force(spark):
     rows = [(i, [pick.uniform(-1, 1) for _ in range(6)], 0, 0) for i in range(160)]
     rows += [(i, [0.5] * 6, 0, 0) for i in range(160, 190)]  # ties
     rows += [(200, None, 0, 0), (201, [], 0, 0), (202, [None] * 6, 0, 0), (203, [float("nan")] * 6, 0, 0), (204, [float("inf")] * 6, 0, 0),
-             (None, [1.0] * 6, 0, 0), (210, [1.0, 2.0], 0, 0), (220, [2.0, 1.0], 0, 0), (50, rows[50][1], 0, 0)]
+             (None, [1.0] * 6, 0, 0), (210, [1.0, 2.0], 0, 0), (220, [2.0, 1.0], 0, 0)]
+    # Repeated ids: an equal row, rows of other vectors, and many of one id.
+    rows += [(50, rows[50][1], 0, 0), (60, [1.0] * 6, 0, 0), (61, [-1.0] * 6, 0, 0), (61, [0.9] * 6, 0, 0)] + [(70, [0.25] * 6, 0, 0)] * 60
     got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 10 == 0, k=5, shard_rows=40, block_rows=8, fan_in=2).collect()
     import struct
 
     single = lambda x: struct.unpack("f", struct.pack("f", x))[0]
-    cells = {i: [int(256 * single(x) // 1) for x in v] for i, v in [(r[0], r[1]) for r in rows] if i is not None and v and all(x is not None and abs(x) < 9 for x in v)}
-    want = set()
-    for q in cells:
+    cells = [(i, [int(256 * single(x) // 1) for x in v]) for i, v in [(r[0], r[1]) for r in rows] if i is not None and v and all(x is not None and abs(x) < 9 for x in v)]
+    want = Counter()
+    for n, (q, v) in enumerate(cells):
         if q % 10 == 0:
-            others = sorted(((-sum(a * b for a, b in zip(cells[q], cells[o])), o) for o in cells if o != q and len(cells[o]) == len(cells[q])))[:5]
-            want |= {(q, n + 1, o, -s) for n, (s, o) in enumerate(others)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+            others = sorted((-sum(a * b for a, b in zip(v, w)), o) for m, (o, w) in enumerate(cells) if m != n and len(w) == len(v))[:5]
+            want.update((q, rank + 1, o, -score) for rank, (score, o) in enumerate(others))
+    assert Counter(tuple(r) for r in got) == want
+    few = topk.top_k(vectors(spark, [(0, [1.0], 0, 0), (1, [0.1], 0, 0), (1, [0.9], 0, 0)]), F.col("vec_id") == 0).collect()
+    assert [tuple(r) for r in few] == [(0, 1, 1, 256 * 230), (0, 2, 1, 256 * 25)]
     assert topk.top_k(vectors(spark, []), F.col("vec_id") % 10 == 0).count() == 0
 
 
@@ -268,7 +274,8 @@ def test_links_and_groups(spark, crowd):
         first.setdefault(v, i)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     distinct = spark.createDataFrame([(signed(v), i) for v, i in first.items()], "fingerprint bigint, first_doc bigint")
-    pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.links(distinct, crowd=crowd).collect()}
+    number = {signed(v): i for v, i in first.items()}
+    pairs = {tuple(sorted((number[r.a], number[r.b]))) for r in simhash.links(distinct, Scratch(spark), crowd=crowd).collect()}
     held = {i: v for v, i in first.items()}
     want = {(i, j) for i in held for j in held if i < j and (held[i] ^ held[j]).bit_count() <= 2}
     assert pairs == want and want
@@ -277,10 +284,26 @@ def test_links_and_groups(spark, crowd):
     assert groups == {i: c for i, c in brute.items() if any(i in p for p in pairs)}
 
 
+def chain():
+    """Three texts: the middle one is near the others, which are not near each other."""
+    import random
+
+    pick = random.Random(4)
+    now, made = words(300, 77).split(), []
+    for _ in range(80):
+        now[pick.randrange(len(now))] = words(1, pick.randrange(10**9))
+        text = " ".join(now)
+        made.append((text, simhash.majority(simhash.shingle_hashes(text, 3))))
+    far = lambda a, b: (a[1] ^ b[1]).bit_count()
+    return next([x[0], y[0], z[0]] for i, x in enumerate(made) for j, y in enumerate(made[i:], i) for z in made[j:] if far(x, y) <= 2 and far(y, z) <= 2 < far(x, z))
+
+
 def test_simhash_of_documents(spark, cases):
     import xxhash
 
-    docs = [(d, t) for d, t, *_ in cases if d is not None]
+    # A group that hangs together by a row without an id.
+    near = chain()
+    docs = [(d, t) for d, t, *_ in cases] + [(900, near[0]), (None, near[1]), (901, near[2]), (None, "only null"), (None, "only null")]
     got = simhash.near_duplicates(frame(spark, docs)).collect()
     assert len(got) == len(docs)
 
@@ -294,7 +317,7 @@ def test_simhash_of_documents(spark, cases):
     group = brute_groups(values, lambda a, b: (a ^ b).bit_count() <= 2)
     least = {}
     for n, g in group.items():
-        least[g] = min(least.get(g, docs[n][0]), docs[n][0])
+        least[g] = min((d for d in (least.get(g), docs[n][0]) if d is not None), default=None)
     want = Counter((docs[n][0], f"{values[n]:016x}", least[group[n]]) for n in values)
     assert Counter((r.doc_id, f"{r.fingerprint & (1 << 64) - 1:016x}", r.component_id) for r in got) == want
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
@@ -325,7 +348,7 @@ def jaccard_groups(spark, texts: dict) -> tuple[dict, dict]:
     sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
     top = brute_groups(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
     number = {hashlib.md5(t.encode()).hexdigest(): i for i, t in texts.items()}
-    found = {number[r.text_key]: r.component for r in simhash.near_copies(frame(spark, list(texts.items()))).collect()}
+    found = {number[r.text_key]: r.component for r in simhash.near_copies(frame(spark, list(texts.items())), Scratch(spark)).collect()}
     same = lambda names: {i: frozenset(j for j in names if names[j] == names[i]) for i in names}
     return same({i: found.get(i, i) for i in texts}), same(top)
 
