@@ -220,7 +220,7 @@ def test_secrets(spark):
         text = next(t or "" for d, t in rows if d == r.doc_id and (d != 8 or (t == "other text") == (r.n_access == 0)))
         want = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(base) for m in re.finditer(p, text, re.ASCII) if len(m[g]) >= n)
         assert sorted((s["start"], s["kind"], s["end"]) for s in r.base) == want
-    linked = {(r.doc_id, r.text_key): {s["kind"] for s in r.linked} for r in found}
+    linked = {(r.doc_id, r.t1): {s["kind"] for s in r.linked} for r in found}
     kinds = {d: k for (d, _), k in linked.items() if k}
     assert kinds == {1: {3, 4}, 8: {3}, None: {3, 4}}  # far or lone parts are not reported
     clean = {r.doc_id: r.text for r in secrets.redacted(frame(spark, list(texts.items()))).collect()}
@@ -228,6 +228,66 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def brute_linked(text, scope=400):
+    """Links of one text by comparing all parts."""
+    out = set()
+    for family, (mark, identifier, secret, endpoint) in enumerate(secrets.FAMILIES):
+        find = lambda p: [m.span() for m in re.finditer(p.replace("*+", "*"), text, re.ASCII)] if mark in text else []
+        ids = [m.span() for m in re.finditer(secrets.ACCESS, text) if m.end() - m.start() >= 16] if identifier is None else find(identifier)
+        near = lambda a, others: any(abs(a[0] - b[0]) <= scope for b in others)
+        keys = [k for k in find(secret) if near(k, ids)]
+        named = [i for i in ids if near(i, find(secret))]
+        out |= {("secret", *k) for k in keys} | {("endpoint", *e) for e in find(endpoint) if near(e, keys) and near(e, named)}
+        out |= {("identifier", *i) for i in named} if identifier is not None else set()
+    return out
+
+
+def test_links_equal_brute_force(spark):
+    import random
+
+    pick = random.Random(12)
+    token = lambda n, of="ABCDEFGHabcdefgh0123456789": "".join(pick.choice(of) for _ in range(n))
+    makers = [
+        lambda: "AKIA" + token(16, "ABCDEF0123"), lambda: token(40), lambda: token(40, "0123456789abcdef"), lambda: "https://s3.eu-west-1.amazonaws.com/bucket/x",
+        lambda: "https://en.wikipedia.org/wiki/Cat", lambda: f"AccountName={token(8, 'abc123')};", lambda: f"AccountKey={token(86)}==", lambda: "store.blob.core.windows.net",
+        lambda: f"{token(12, '0123456789')}-{token(32, 'abc123')}.apps.googleusercontent.com", lambda: f"GOCSPX-{token(28)}", lambda: "oauth2.googleapis.com", lambda: "amazonaws.com.example.org",
+    ]
+    rows = []
+    for i in range(120):
+        parts = [pick.choice(makers)() if pick.random() < 0.4 else "word " * pick.choice([1, 5, 60, 100]) for _ in range(14)]
+        rows.append((i, " ".join(parts)))
+    # An identifier beside a page and a checksum says nothing.
+    rows.append((500, f"{KEY} and read https://en.wikipedia.org/wiki/Cat at {'0a1b2c3d4e' * 4}"))
+    found = secrets.scan(frame(spark, rows)).collect()
+    texts = dict(rows)
+    got = {r.doc_id: {(secrets.KINDS[s["kind"]], s["start"], s["end"]) for s in r.linked} for r in found}
+    want = {d: brute_linked(t) for d, t in texts.items()}
+    assert got == want and got[500] == set()
+    assert {k for v in got.values() for k, _, _ in v} == {"secret", "endpoint", "identifier"}
+
+
+def test_many_findings_in_a_long_text(spark):
+    import time
+
+    text = "".join(f"token=abcdefgh{i:06d} 😀 word {i:x}\n" for i in range(30_000))
+    started = time.time()
+    row = secrets.redacted(frame(spark, [(1, text)])).first()
+    assert row.text == re.sub(r"token=abcdefgh\d{6}", "[ASSIGN]", text) and row.n_chars == len(row.text)
+    assert secrets.scan(frame(spark, [(1, text)])).first().n_assign == 30_000
+    assert time.time() - started < 60
+
+
+def test_running_folds(spark):
+    import random
+
+    pick = random.Random(1)
+    rows = [([pick.randrange(100) for _ in range(n)],) for n in (0, 1, 2, 3, 10, 17, 100, 101)]
+    frame_ = spark.createDataFrame(rows, "v array<int>")
+    for of, brute in ((lambda a, x: a + x, sum), (lambda a, x: F.greatest(a, x), lambda part: max([0, *part]))):
+        for r in frame_.withColumn("r", secrets.running(F.col("v"), of)).collect():
+            assert r.r == [brute(r.v[:i]) for i in range(len(r.v))]
+
+
 @pytest.mark.parametrize("before", ["AWS_SECRET_ACCESS_KEY=", "aws_secret_access_key:", "?a=b&key=", "export KEY = ", 'KEY="'])
 def test_secrets_are_assigned_without_blanks(spark, before):
     text = f"AWS_ACCESS_KEY_ID={KEY}\n{before}{PART}\nend"
@@ -508,3 +568,30 @@ def test_pipeline(spark, tmp_path):
     # Where documents are cut depends on their order; the documents themselves do not.
     whole = lambda rows: Counter((r.doc_id, r.doc_tokens) for r in rows if r.start == 0)
     assert whole(run) == whole(docs.collect()) and sum(r.length for r in run) == sum(r.doc_tokens for r in run if r.start == 0)
+
+
+def test_mixed_texts_keep_white_space(spark):
+    """A cut text is made of pieces of its own, line breaks and indentation included."""
+    text = "".join(f"line {i} of\n\t  text\n\n" for i in range(400))
+    docs = spark.createDataFrame([(i, text + str(i), "ab"[i % 2], "k", "m", "c", "n", 0) for i in range(12)],
+                                 "doc_id bigint, text string, source string, text_key string, mixed_text string, clean_text string, near_copy_key string, n_chars bigint")
+    rows = mixing.mixed_documents(docs, mixing.mix(docs, weights=(5, 1), share=1.1)).collect()
+    sizes = {r.doc_id: r.taken for r in mixing.mixed_sizes(mixing.mix(docs, weights=(5, 1), share=1.1)).collect()}
+    assert Counter({d: n for d, n in sizes.items() if n}) == sum((Counter({r.doc_id: len(re.findall(W, r.text))}) for r in rows), Counter())
+    cut = [r for r in rows if r.text != text + str(r.doc_id)]
+    assert cut and all(r.n_chars == len(r.text) for r in rows)
+    for r in cut:
+        at = 0
+        for word in re.findall(rf"{W}[^\x20\x09-\x0D]*", r.text):
+            at = (text + str(r.doc_id)).index(word, at)  # in order
+        assert "of\n\t  text\n\nline" in r.text and "of text" not in r.text
+    assert {(r.text_key, r.mixed_text, r.clean_text, r.near_copy_key) for r in rows} == {("k", "m", "c", "n")}
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh12 " + words(40, 1), "k", "c", "n"), (2, words(40, 2), "k", "c", "n"), (None, words(40, 2), "k", "c", "n")],
+                                 "doc_id bigint, text string, text_key string, clean_text string, near_copy_key string")
+    for made in (secrets.redacted(docs), simhash.one_of_each(docs)):
+        rows = made.collect()
+        assert made.columns == docs.columns and {(r.text_key, r.clean_text, r.near_copy_key) for r in rows} == {("k", "c", "n")}
+    assert len(rows) == 2
