@@ -213,3 +213,38 @@ def test_json_ld_at_any_depth_in_document_order(spark):
         rows.setdefault(r.url, []).append((r.field, r.value))
     assert rows == {"deep": [("Rank a", "1")], "order": [("Rank b", "2"), ("Rank c", "3")], "unnamed": [("Rank d", "4")], "braces": [("Rank e", "5")],
                     "broken": [("Rank f", "6")], "list": [(f"Rank g{i}", str(i)) for i in range(3)]}
+
+
+# (category, published name, published text, field, value, confidence)
+PUBLISHED = [
+    ("motherboard", "Socket", "LGA 1700", "socket", "LGA1700", "high"), ("motherboard", "Socket", "am5", "socket", "AM5", "high"),
+    ("motherboard", "Socket", "AMD AM3+ / AM3", "socket", "AM3+", "medium"), ("motherboard", "Socket", "program4", "socket", None, None),
+    ("cooling", "Sockets", "LGA 1851/1700/115", "sockets", "LGA1851, LGA1700, LGA115", "high"), ("cooling", "Sockets", "Intel LGA1851/1700, AMD sTRX4, AM5 and AM4", "sockets", "LGA1851, LGA1700, sTRX4, AM5, AM4", "medium"),
+    ("cooling", "Sockets", "1700/1851", "sockets", None, None),
+    ("motherboard", "Chipset", "X870E", "chipset", "X870E", "high"), ("motherboard", "Chipset", "AMD TRX40 board", "chipset", "TRX40", "medium"),
+    ("motherboard", "Chipset", "ROG-Z790-A", "chipset", "Z790", "medium"), ("motherboard", "Chipset", "zz790 ab550c2", "chipset", None, None),
+    ("motherboard", "Expansion Slots", "1 x PCIe 5.0 x16, 2x PCI Express 4 x4, PCI-E gen 3", "pcie", "1× PCIe 5.0 x16, 2× PCIe 4.0 x4, PCIe 3.0", "medium"),
+    ("motherboard", "PCIe", "PCIe x16", "pcie", "PCIe x16", "high"), ("motherboard", "PCIe", "PCI Express", "pcie", None, None),
+    ("motherboard", "Wireless", "Wi-Fi 6E", "wifi", "Wi-Fi 6E", "high"), ("motherboard", "Wireless", "IEEE 802.11be", "wifi", "Wi-Fi 7", "medium"),
+    ("motherboard", "Wireless", "Sans fil", "wifi", "true", "high"), ("motherboard", "Wireless", "aucun", "wifi", "false", "high"), ("motherboard", "Wireless", "antenna", "wifi", None, None),
+    ("ram", "XMP", "XMP3.0", "xmp", "XMP 3.0", "high"), ("ram", "EXPO", "AMD EXPO", "expo", "true", "medium"), ("ram", "EXPO", "exposure", "expo", None, None),
+    ("ram", "ECC", "Non-ECC", "ecc", "false", "high"), ("ram", "ECC", "on die ECC memory", "ecc", "On-die ECC", "medium"), ("ram", "ECC", "ECC", "ecc", "true", "high"),
+    ("psu", "Efficiency", "80 PLUS Gold", "efficiency", "80 PLUS Gold", "high"), ("psu", "Efficiency", "80+ plus platinum certified", "efficiency", "80 PLUS Platinum", "medium"),
+    ("psu", "Efficiency", "titanium", "efficiency", "80 PLUS Titanium", "high"), ("psu", "Efficiency", "80 plus", "efficiency", "80 PLUS", "high"), ("psu", "Efficiency", "gold plated", "efficiency", None, None),
+    ("psu", "Standard", "ATX12V 2.52", "atxStandard", "ATX12V 2.52", "high"), ("psu", "Standard", "ATX12V 2.4", "atxStandard", "ATX12V 2.4", "high"), ("psu", "Standard", "ATX 3.1", "atxStandard", "ATX 3.1", "high"),
+    ("psu", "Standard", "SFX-L", "atxStandard", "SFX-L", "high"), ("psu", "Standard", "flex ATX", "atxStandard", "Flex ATX", "high"), ("psu", "Standard", "micro-ATX", "atxStandard", None, None),
+    ("psu", "PCIe Connectors", "2 x PCIe 8-pin, 4 x PCI-E cable 6+2 pin", "pcieConnectors", "6", "medium"), ("psu", "PCIe Connectors", "PCIe 8 pin", "pcieConnectors", "1", "high"),
+    ("psu", "PCIe Connectors", "PCIe, 8 pin", "pcieConnectors", None, None),
+    ("case", "Dimensions", "58.5 x 25,5 x 55 cm", "dimensions", "585 × 255 × 550 mm", "high"), ("case", "Dimensions", "300mm x 215mm x 474mm (LxWxH)", "dimensions", "300 × 215 × 474 mm", "medium"),
+    ("case", "Dimensions", "300 x 215 mm", "dimensions", None, None),
+    ("cooling", "Height", "120 x 110 x 158 mm (L x W x H)", "coolerHeight", "158", "medium"), ("cooling", "Height", "120 x 110 x 158 mm", "coolerHeight", None, None), ("cooling", "Height", "158 mm", "coolerHeight", "158", "high"),
+    ("cooling", "Radiator", "277 x 120 x 27 mm", "radiatorSize", None, None), ("cooling", "Radiator Size", "360 mm", "radiatorSize", "360", "high"),
+]
+
+
+def test_published_texts(spark):
+    rows = [(i, c, 0, name, text, "spec-table") for i, (c, name, text, *_rest) in enumerate(PUBLISHED)]
+    raw = spark.createDataFrame(rows, "candidate_id int, category string, row_no int, field string, value string, method string")
+    found = {(r.candidate_id, r.field): (r.shown, r.confidence) for r in normalize_specs(raw).withColumn("shown", display(F.col("spec"))).collect()}
+    wrong = {PUBLISHED[i][:4]: found.get((i, f)) for i, (_c, _n, _t, f, shown, sure) in enumerate(PUBLISHED) if found.get((i, f), (None, None)) != (shown, sure)}
+    assert wrong == {}
