@@ -6,7 +6,7 @@ itself is written twice, with the library on one side and as plain SQL on the ot
 
 from importlib import import_module
 
-AREAS = ("prices", "builds", "catalogue", "ingestion", "discovery", "specs", "quality")
+AREAS = ("prices", "builds", "catalogue", "ingestion", "discovery", "specs", "quality", "files")
 
 
 def registered() -> tuple[dict, dict]:

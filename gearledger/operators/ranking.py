@@ -6,7 +6,7 @@ moves at most ``n`` rows per task. First/last wins are aggregates with map-side
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -72,7 +72,7 @@ def carry_forward(
     return joined.withColumns(filled).select(*df.columns)
 
 
-def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
+def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "position", cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Dense global position from 0 without a single-task window.
 
     The rows are range-partitioned and materialised once, then each partition adds the number of rows of the
@@ -80,7 +80,7 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "pos
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
-    stored = cut_lineage(ranged)
+    stored = cut(ranged)
     sizes = stored.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gearledger.session import cut_lineage
+from gearledger.session import Scratch
 
 SOURCE, CODE, IDENTITY = 0, 1, 2
 BEFORE_BATCH = -1
@@ -108,7 +108,7 @@ def _first_two(holders: DataFrame) -> DataFrame:
     )
 
 
-def _first_guess(keys: DataFrame, own: DataFrame, stored: DataFrame | None) -> DataFrame:
+def _first_guess(keys: DataFrame, own: DataFrame, stored: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Follow each record's first key that has an earlier holder, down to the root of the chain."""
     holders = keys.select("key", F.col("record_id").alias("holder"), F.col("arrival").alias("at"), F.lit(None).cast("string").alias("component_id"))
     if stored is not None:
@@ -121,32 +121,35 @@ def _first_guess(keys: DataFrame, own: DataFrame, stored: DataFrame | None) -> D
         F.when(F.col("h").isNull(), F.col("own_id")).otherwise(F.col("h.component_id")).alias("component_id"),
         F.col("h.holder").alias("parent"),
     )
-    guess = cut_lineage(guess)
+    guess = scratch.cut(guess)
     while not guess.filter(F.col("component_id").isNull()).isEmpty():
         target = guess.select(F.col("record_id").alias("parent"), F.col("component_id").alias("up_id"), F.col("parent").alias("up"))
-        guess = cut_lineage(guess.join(target, "parent", "left").select(
+        before = guess
+        guess = scratch.cut(guess.join(target, "parent", "left").select(
             "record_id", "arrival", "own_id", "founder", F.coalesce("component_id", "up_id").alias("component_id"),
             F.when(F.col("component_id").isNull() & F.col("up_id").isNull(), F.col("up")).alias("parent"),
         ))
+        scratch.drop(before)
     return guess.select("record_id", "arrival", "own_id", "founder", "component_id")
 
 
 def resolve_entities(
     records: DataFrame, sources: DataFrame | None = None, identifiers: DataFrame | None = None,
-    components: DataFrame | None = None,
+    components: DataFrame | None = None, scratch: Scratch | None = None,
 ) -> DataFrame:
     """Component of every record of a batch: (record_id, component_id, created).
 
     ``records``: record_id, arrival (unique, ascending), source_key, source_record_id, category, identity_hash,
     codes. ``created`` marks the record that founds a new component, which then carries ``record_id`` as its id.
     """
-    keys = cut_lineage(_record_keys(records))
+    scratch = scratch or Scratch(records.sparkSession)
+    keys = scratch.cut(_record_keys(records))
     own = keys.filter(F.col("tier") == SOURCE).select("record_id", "arrival", F.col("record_id").alias("own_id"))
     stored = _stored_holders(sources, identifiers, components)
     if stored is not None:
         # Only the stored keys this batch mentions matter; they are picked once, not in every round.
-        stored = cut_lineage(stored.join(keys.select("key").distinct(), "key", "left_semi"))
-    state = _first_guess(keys, own, stored)
+        stored = scratch.cut(stored.join(keys.select("key").distinct(), "key", "left_semi"))
+    state = _first_guess(keys, own, stored, scratch)
     while True:
         held = keys.join(state.select("record_id", "component_id", "founder"), "record_id")
         # A component's strict identity is the one it was founded with.
@@ -165,7 +168,7 @@ def resolve_entities(
             "record_id", "arrival", "own_id", F.col("found").isNull().alias("founder"), F.coalesce("found", "own_id").alias("component_id"),
             ((F.coalesce("found", "own_id") != F.col("component_id")) | (F.col("found").isNull() != F.col("founder"))).alias("changed"),
         )
-        update = cut_lineage(update)
+        update = scratch.cut(update)
         settled = update.filter("changed").isEmpty()
         state = update.drop("changed")
         if settled:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gearledger.functions import scores
@@ -21,7 +21,7 @@ from gearledger.functions.text import fold_text
 from gearledger.operators.ranking import first_wins, latest, with_position
 from gearledger.operators.resolution import BEFORE_BATCH, resolve_entities
 from gearledger.operators.survivorship import SPEC_PREFIX, survive, union_part_numbers
-from gearledger.session import cut_lineage
+from gearledger.session import Scratch, cut_lineage
 
 TABLES = ("components", "fields", "sources", "identifiers")
 
@@ -76,9 +76,9 @@ def assemble(fields: DataFrame) -> DataFrame:
     }).drop("media")
 
 
-def with_arrival(records: DataFrame) -> DataFrame:
+def with_arrival(records: DataFrame, scratch: Scratch) -> DataFrame:
     """Number the records of a batch in reading order."""
-    return with_position(records, ["read_order", "record_id"], "arrival")
+    return with_position(records, ["read_order", "record_id"], "arrival", cut=scratch.cut)
 
 
 #: What makes a row of each table the same one: a change replaces all rows of its keys.
@@ -101,22 +101,26 @@ def ingest(records: DataFrame, catalog: CatalogTables | None, seen_at: str) -> t
     }), outcomes
 
 
-def changes(records: DataFrame, catalog: CatalogTables | None, seen_at: str) -> tuple[CatalogTables, DataFrame]:
-    """What a batch of canonical records changes: for every table all new rows of each touched key (see ``KEYS``), and one outcome row per record."""
-    numbered = with_arrival(records)
+def changes(records: DataFrame, catalog: CatalogTables | None, seen_at: str, scratch: Scratch | None = None) -> tuple[CatalogTables, DataFrame]:
+    """What a batch of canonical records changes: for every table all new rows of each touched key (see ``KEYS``), and one outcome row per record.
+
+    Tables written on the way belong to ``scratch``; the results read them.
+    """
+    scratch = scratch or Scratch(records.sparkSession)
+    numbered = with_arrival(records, scratch)
     assigned = resolve_entities(
         numbered,
         catalog.sources if catalog else None, catalog.identifiers if catalog else None,
-        catalog.components if catalog else None,
+        catalog.components if catalog else None, scratch,
     )
-    batch = cut_lineage(numbered.join(assigned, "record_id"))
+    batch = scratch.cut(numbered.join(assigned, "record_id"))
 
     touched = batch.select("component_id").distinct()
     fields = incoming_fields(batch)
     if catalog:
         stored = catalog.fields.withColumn("arrival", F.lit(BEFORE_BATCH).cast("bigint"))
         fields = fields.unionByName(stored.join(touched, "component_id", "left_semi"))
-    merged_fields = cut_lineage(survive(fields))
+    merged_fields = scratch.cut(survive(fields))
 
     numbers = batch.select("component_id", "arrival", "part_numbers")
     founders = batch.filter("created").select(
@@ -174,6 +178,25 @@ def changes(records: DataFrame, catalog: CatalogTables | None, seen_at: str) ->
     return CatalogTables(components, merged_fields, new_sources, codes), outcomes
 
 
+def dry_run(records: DataFrame, catalog: CatalogTables | None, seen_at: str) -> dict[str, int]:
+    """What taking a batch would do, counted on the real plan: read, created, updated, and rows each table would get. Nothing is left in any folder.
+
+    The figures are metrics that the plans report while they run into nowhere, so each plan runs once.
+    """
+    spark = records.sparkSession
+    found: dict[str, int] = {}
+    with Scratch(spark) as scratch:
+        changed, outcomes = changes(records, catalog, seen_at, scratch)
+        kind = lambda k: F.count_if(F.col("outcome") == k).alias(k)
+        plans = {"outcomes": (outcomes, [F.count(F.lit(1)).alias("read"), kind("created"), kind("updated")])}
+        plans |= {name: (table, [F.count(F.lit(1)).alias(name)]) for name, table in changed.as_dict().items()}
+        for name, (plan, metrics) in plans.items():
+            seen = Observation(name)
+            plan.observe(seen, *metrics).write.format("noop").mode("overwrite").save()
+            found |= seen.get
+    return found
+
+
 def repeatable(records: DataFrame) -> DataFrame:
     """Exact repeats of a source record inside a batch are taken once, the first in reading order."""
     return first_wins(records, ["source_key", "source_record_id"], ["read_order", "record_id"])

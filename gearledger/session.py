@@ -90,6 +90,10 @@ class Scratch:
                 self.tables.remove(entry)
                 self._delete(entry[1])
 
+    def tidy(self) -> None:
+        """Let the shuffle files of finished steps go now: Spark deletes them when their handles are collected, which a small heap may not need for long."""
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
@@ -97,6 +101,7 @@ class Scratch:
     def close(self) -> None:
         while self.tables:
             self._delete(self.tables.pop()[1])
+        self.tidy()
 
     def __enter__(self) -> Scratch:
         return self

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gearledger.functions.specs import display
-from gearledger.plans.ingest import changes, ingest, repeatable, sync
+from gearledger.plans.ingest import changes, dry_run, ingest, repeatable, sync
 from gearledger.plans.normalize import normalize_curated, normalize_export, normalize_open_db, validate_export, validate_open_db
 from gearledger.sources.readers import read_curated, read_envelope, read_export, read_id_database, read_open_db, read_sitemap
 from gearledger.sources.writers import CatalogStore, log_errors, log_run, write_lanes, write_sorted
@@ -300,3 +300,16 @@ def test_open_db_files_may_span_lines(spark, tmp_path):
     (tmp_path / "CPU" / "x.json").write_text(json.dumps({"opendb_id": "x", "metadata": {"name": "n"}}, indent=2))
     records, errors = read_open_db(spark, str(tmp_path))
     assert (records.count(), errors.count(), records.first().file_id) == (1, 0, "x")
+
+
+def test_dry_run_counts_what_the_real_run_does_and_leaves_nothing(spark, three_waves):
+    from gearledger.session import ensure_checkpoint_dir
+
+    tables, _ = sync(spark, three_waves[:1], None, "2024-01-01")
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = sorted(os.listdir(folder))
+    found = dry_run(three_waves[1], tables, "2024-02-01")
+    assert sorted(os.listdir(folder)) == before
+    changed, outcomes = changes(three_waves[1], tables, "2024-02-01")
+    done = {r.outcome: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
+    assert found == {"read": 3, "created": done["created"], "updated": done["updated"], **{n: t.count() for n, t in changed.as_dict().items()}}
