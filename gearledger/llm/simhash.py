@@ -202,7 +202,7 @@ def near_copies(
 
     def first_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, times = common.value
-        for frame in batches:
+        for frame in (batch.iloc[at:at + 1024] for batch in batches for at in range(0, len(batch), 1024)):
             out = []
             for key, text in zip(frame["text_key"], frame["text"], strict=True):
                 hashes = np.unique(shingle_hashes(text, shingle))
@@ -228,6 +228,7 @@ def near_copies(
     # How much of a text is shared; all rows of a text are dealt together, and are no more than its shingles.
     shared = scratch.cut(found.withColumn("central", F.sum("n").over(Window.partitionBy("node")) / F.col("size")))
     scratch.drop(found)
+    scratch.tidy()
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -248,13 +249,16 @@ def near_copies(
         apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(WORDS)), F.lit(0))
         near = with_ends(pairs, short).filter(apart <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
         likely = scratch.cut(near.select("a", "b"))
-        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(single.select("node", "text_key"), "node")
+        scratch.tidy()
+        # Written, so that their size is known: where the ends are few, no text is shuffled to find theirs.
+        ends = scratch.cut(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(single.select("node", "text_key"), "node"))
         one = texts.join(ends, "text_key").select("node", "text").dropDuplicates(["node"])
         sets = scratch.cut(one.mapInPandas(hashed, "node bigint, shingles array<bigint>"))
         both = with_ends(likely, sets).withColumn("both", F.size(F.array_intersect("shingles_a", "shingles_b")))
         either = F.size("shingles_a") + F.size("shingles_b") - F.col("both")
         similar = scratch.cut(both.filter(F.col("both") / either >= similarity).select("a", "b"))
-        scratch.drop(sets, likely)
+        scratch.drop(sets, likely, ends)
+        scratch.tidy()
         return similar
 
     turn = F.xxhash64("node")
