@@ -65,6 +65,14 @@ def q_comparison_matrix(spark, folder):
     return comparison.comparison_matrix(rows).drop("first_seen")
 
 
+def q_comparison_order(spark, folder):
+    """Keys of each comparison in the order in which the compared products first show them."""
+    rows = comparison.compared(shape(spark, folder, SELECTIONS), products(spark, folder))
+    found = comparison.comparison_matrix(rows)
+    seen = found.groupBy("comparison_id", F.col("first_seen.place").alias("place")).agg(F.array_sort(F.collect_list(F.struct("first_seen.at", "key"))).alias("keys"))
+    return seen.select("comparison_id", "place", F.array_join(F.array_sort(F.transform("keys", lambda k: k["key"])), ",").alias("keys"))
+
+
 def q_recommend(spark, folder):
     requests = shape(spark, folder, REQUESTS).withColumn("budget", F.col("budget").cast("double"))
     found = comparison.recommend(requests, shape(spark, folder, STARTERS), products(spark, folder))
@@ -257,13 +265,15 @@ PLUGS_SQL = f"SELECT product_id, {_COUNT('coalesce(gpu_plugs, psu_pcie, board_pc
 QUERIES = {
     "check_builds": q_check_builds, "build_verdict": q_build_verdict, "verdict_from_checks": q_verdict_from_checks,
     "build_summary": q_build_summary, "resolve_builds": q_resolve_builds, "lookup_products": q_lookup_products,
-    "compare_best": q_compare_best, "comparison_matrix": q_comparison_matrix, "recommend": q_recommend,
+    "compare_best": q_compare_best, "comparison_matrix": q_comparison_matrix, "comparison_order": q_comparison_order, "recommend": q_recommend,
     "headline_specs": q_headline_specs, "build_headline_specs": q_build_headline_specs, "grouped_specs": q_grouped_specs,
     "numeric_keys": q_numeric_keys, "connector_count": q_connector_count,
 }
 ORACLES = {
     "check_builds": CHECKS_SQL, "build_verdict": VERDICT_SQL, "verdict_from_checks": VERDICT_SQL, "build_summary": _summary(),
     "resolve_builds": RESOLVED_SQL, "lookup_products": LOOKUP_SQL, "compare_best": BEST_SQL, "comparison_matrix": MATRIX_SQL,
+    "comparison_order": f"""WITH {_COMPARED}, p AS (SELECT * FROM ({P})), l AS ({LONG}), s AS (SELECT comparison_id, l.key, min(place) AS place FROM c JOIN l ON c.product_id = l.product_id GROUP BY comparison_id, l.key)
+      SELECT comparison_id, place, string_agg(key, ',' ORDER BY key) AS keys FROM s GROUP BY comparison_id, place""",
     "recommend": RECOMMEND_SQL, "headline_specs": _headline_sql(HEADLINE), "build_headline_specs": _headline_sql(BUILD_HEADLINE),
     "grouped_specs": GROUPED_SQL, "numeric_keys": NUMERIC_SQL, "connector_count": PLUGS_SQL,
 }

@@ -88,12 +88,21 @@ INDEXES = """SELECT 'index ' || r_name AS index_id, 'official' AS source_id, CAS
 PAGE_INDEX = "CASE WHEN url LIKE '%example.com%' THEN 'index AFRICA' WHEN url LIKE '%example.net%' THEN 'index AMERICA' ELSE 'index ASIA' END"
 
 
-def q_discover_links(spark, folder):
+def _index_links(spark, folder, limit=None):
     indexes = shape(spark, folder, INDEXES).select(
         "index_id", "source_id", "brand", "category", F.array("domain").alias("domains"), F.array("product_pattern").alias("product_patterns"),
         F.array().cast("array<string>").alias("label_patterns"), "max_candidates", F.lit(-1).alias("label_segment"))
     stored = shape(spark, folder, f"SELECT {PAGE_INDEX} AS index_id, page_id AS page_no, url, html FROM {{pages}}")
-    return jobs.discover_links(stored, indexes).select("candidate_id", "external_id", "label", "brand", "query")
+    return jobs.discover_links(stored, indexes, limit).select("candidate_id", "external_id", "label", "brand", "query")
+
+
+def q_discover_links(spark, folder):
+    return _index_links(spark, folder)
+
+
+def q_discover_quota(spark, folder):
+    """The same under an overall quota of 50, filled index by index."""
+    return _index_links(spark, folder, 50)
 
 
 def q_sitemap_links(spark, folder):
@@ -351,7 +360,7 @@ ORACLES = {
     "coverage_totals": TOTALS_SQL,
     "collection_status": """WITH r AS (SELECT o_custkey AS run_id, count(*) AS requested, count(*) FILTER (o_orderstatus <> 'F') AS succeeded, count(*) FILTER (o_orderstatus = 'F' OR o_orderpriority = '5-LOW') AS errors FROM orders GROUP BY o_custkey)
       SELECT *, CASE WHEN errors = 0 THEN 'success' WHEN succeeded > 0 THEN 'partial' ELSE 'failed' END AS status FROM r""",
-    "discover_links": LINKS_SQL,
+    "discover_links": LINKS_SQL, "discover_quota": f"{LINKS_SQL} ORDER BY index_id, place LIMIT 50",
     "sitemap_links": SITEMAP_SQL,
     "trusted_domains": f"SELECT page_id, url FROM pages WHERE {_HOST} = 'example.com' OR ends_with({_HOST}, '.example.com') OR {_HOST} = 'm.therou.example.net' OR ends_with({_HOST}, '.m.therou.example.net')",
     "hardware_candidates": HARDWARE_SQL,

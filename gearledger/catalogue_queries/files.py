@@ -5,33 +5,18 @@ The files lie below the folder that spark.checkpoint.dir names and are deleted w
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gearledger.catalogue_queries.ingestion import EXPORT_SQL, _export
-from gearledger.catalogue_queries.shapes import PRODUCTS, plain_sql, products, shape
+from gearledger.catalogue_queries.shapes import PRODUCTS, Folder, plain_sql, products, shape
 from gearledger.operators import survivorship
 from gearledger.plans import ingest as ingestion
 from gearledger.plans import normalize
-from gearledger.session import Scratch, cut_lineage, ensure_checkpoint_dir
+from gearledger.session import cut_lineage
 from gearledger.sources import readers, writers
 from gearledger.streaming.imports import file_stream, import_stream
 
 
-class Folder:
-    """A folder for files, deleted at the end."""
-
-    def __init__(self, spark):
-        self.spark, self.path = spark, f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
-
-    def __enter__(self) -> str:
-        return self.path
-
-    def __exit__(self, *_error) -> None:
-        Scratch(self.spark)._delete(self.path)
-
-
 def q_read_open_db(spark, folder):
     """One JSON object per file, one folder per category."""
     rows = shape(spark, folder, "SELECT 'c' || CAST(s_nationkey % 6 AS STRING) AS folder, CAST(s_suppkey AS STRING) AS opendb_id, named_struct('name', s_name, 'manufacturer', 'M' || CAST(s_nationkey AS STRING)) AS metadata, s_acctbal AS price FROM {supplier}")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gearledger.functions.specs import list_spec, number_spec, spec_map, text_spec
+from gearledger.session import Scratch, ensure_checkpoint_dir
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
@@ -19,6 +21,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+class Folder:
+    """A folder for files, deleted at the end."""
+
+    def __init__(self, spark):
+        self.spark, self.path = spark, f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> str:
+        return self.path
+
+    def __exit__(self, *_error) -> None:
+        Scratch(self.spark)._delete(self.path)
+
+
 def shape(spark: SparkSession, folder: str, text: str) -> DataFrame:
     """Run shape text in which tables stand in braces."""
     names = {n for n in re.findall(r"\{(\w+)\}", text)}
