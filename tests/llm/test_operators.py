@@ -595,3 +595,16 @@ def test_stages_keep_clashing_columns(spark):
         rows = made.collect()
         assert made.columns == docs.columns and {(r.text_key, r.clean_text, r.near_copy_key) for r in rows} == {("k", "c", "n")}
     assert len(rows) == 2
+
+
+def test_stages_take_any_table(spark, cases):
+    """All stages on an empty table, and on null ids, null and blank texts and repeated rows."""
+    import corpus_pipeline
+    from gearledger.session import cut_lineage
+
+    for rows, some in (([], False), ([*cases, *[(None, words(90, 900 + i), "en", "a") for i in range(3)], *[(1000 + i, words(80, 950 + i), "en", "ab"[i % 2]) for i in range(30)]], True)):
+        docs = frame(spark, rows)
+        for name, stage in corpus_pipeline.STAGES:
+            columns, docs = docs.columns, cut_lineage(stage(spark, docs, ""))
+            assert name == "packing" or docs.columns == columns
+        assert (docs.count() > 0) == some
