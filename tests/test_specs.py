@@ -248,3 +248,21 @@ def test_published_texts(spark):
     found = {(r.candidate_id, r.field): (r.shown, r.confidence) for r in normalize_specs(raw).withColumn("shown", display(F.col("spec"))).collect()}
     wrong = {PUBLISHED[i][:4]: found.get((i, f)) for i, (_c, _n, _t, f, shown, sure) in enumerate(PUBLISHED) if found.get((i, f), (None, None)) != (shown, sure)}
     assert wrong == {}
+
+
+def test_tasks_grow_with_the_pages_and_rows(spark, monkeypatch):
+    """The tasks that open pages up, and those that parse rows, are as many as the input needs, whatever the session's number."""
+    from gearledger.operators import markup
+    from gearledger.plans import specs as jobs
+
+    made = [(str(i), f"<table><tr><th>Max. Power</th><td>{400 + i} W</td></tr></table><dl><dt>Efficiency</dt><dd>80 PLUS Gold</dd></dl>"
+             f"<script type='application/ld+json'>{{\"@type\": \"Product\", \"additionalProperty\": [{{\"name\": \"Warranty\", \"value\": \"{i % 9 + 1} years\"}}]}}</script>") for i in range(60)]
+    pages = spark.createDataFrame(made, "candidate_id string, html string")
+    parts = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    monkeypatch.setattr(markup, "SHARE", 1000)
+    monkeypatch.setattr(jobs, "ROWS", 9)
+    laid = markup.layout_rows(pages, "candidate_id").withColumn("part", F.spark_partition_id()).collect()
+    assert len(laid) == 120 and len({r.part for r in laid}) > 4
+    raw = spark.createDataFrame([(str(i), "psu", 0, "Max. Power", f"{400 + i} W", "spec-table") for i in range(60)],
+                                "candidate_id string, category string, row_no int, field string, value string, method string")
+    assert parts(normalize_specs(raw)) > 4
