@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gearledger.catalogue_queries.shapes import COMPONENTS, PRODUCTS, SPEC_COLUMNS, fold_sql, plain_sql, products, round_sql, shape
+from gearledger.catalogue_queries.shapes import COMPONENTS, PRODUCTS, SPEC_COLUMNS, fold_sql, plain_sql, products, round_sql, shape, spread
 from gearledger.functions.identity import codes, identity_hash
 from gearledger.functions.specs import SPEC, number_spec, spec_map, text_spec
 from gearledger.functions.text import fold_text
@@ -161,7 +161,7 @@ OPEN = f"""SELECT CASE p_partkey % 6 WHEN 0 THEN 'CPU' WHEN 1 THEN 'RAM' WHEN 2
 
 def open_files(spark, folder):
     """Open database files written as JSON text from the parts, then parsed like files."""
-    rows = shape(spark, folder, OPEN)
+    rows = spread(spark, folder, OPEN, "part", "digits")
     c = F.col
     text = F.to_json(F.struct(
         F.when(c("p_size") % 10 == 0, "not-a-uuid").otherwise(F.concat(F.lit("00000000-0000-4000-8000-"), "digits")).alias("opendb_id"),

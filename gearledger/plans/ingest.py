@@ -77,8 +77,11 @@ def assemble(fields: DataFrame) -> DataFrame:
 
 
 def with_arrival(records: DataFrame, scratch: Scratch) -> DataFrame:
-    """Number the records of a batch in reading order."""
-    return with_position(records, ["read_order", "record_id"], "arrival", cut=scratch.cut)
+    """Number the records of a batch in reading order.
+
+    They are written first: sampling their order would read and normalise them all a second time.
+    """
+    return with_position(scratch.cut(records), ["read_order", "record_id"], "arrival", cut=scratch.cut)
 
 
 #: What makes a row of each table the same one: a change replaces all rows of its keys.

@@ -313,3 +313,15 @@ def test_dry_run_counts_what_the_real_run_does_and_leaves_nothing(spark, three_w
     changed, outcomes = changes(three_waves[1], tables, "2024-02-01")
     done = {r.outcome: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
     assert found == {"read": 3, "created": done["created"], "updated": done["updated"], **{n: t.count() for n, t in changed.as_dict().items()}}
+
+
+def test_rows_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    """Rows that lie in one file go to as many tasks as their number asks for; repeated and null keys stay."""
+    from pyspark.sql import functions as F
+
+    from gearledger.catalogue_queries.shapes import spread
+
+    rows = [(i % 50 if i % 7 else None,) for i in range(100)]
+    spark.createDataFrame(rows, "k int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = spread(spark, str(tmp_path), "SELECT k FROM {part}", "part", "k", 10).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(map(str, (r.k for r in found))) == sorted(str(k) for k, in rows) and len({r.task for r in found}) > 4
