@@ -150,8 +150,9 @@ def top_k(
         "dim", "block", F.col("ids").alias("queries"), F.col("cells").alias("query_cells"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
     )
-    # One row is a whole matrix, so this equi-join moves few rows; each joined row is one tile.
-    tiles = asked.join(held, ["dim", "shard"])
+    # One row is a whole matrix, so this equi-join moves few rows; each joined row is one tile. The optimizer takes the queries for the few that they
+    # are before they are dealt to all shards and would collect all of these in the driver, so it is told to move them.
+    tiles = asked.join(held.hint("merge"), ["dim", "shard"])
     lists = tiles.mapInPandas(lambda batches: _tiles(batches, k + 1), LIST)
     while True:
         shards = -(-shards // fan_in)

@@ -50,6 +50,16 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(vectors(spark, []), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_sends_no_matrix_to_the_driver(spark, tmp_path):
+    # Files, so that the optimizer knows how little the queries are before they are dealt to all shards.
+    vectors(spark, [(i, [i / 100, 1.0], 0, 0) for i in range(400)]).write.parquet(str(tmp_path / "v"))
+    found = topk.top_k(spark.read.parquet(str(tmp_path / "v")), F.col("vec_id") % 50 == 0, k=2, shard_rows=20, block_rows=2)
+    assert found.count() == 16
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_top_k_is_exact_beyond_doubles(spark):
     rows = [(0, [3.0e7, 1.0], 0, 0), (1, [3.0e7, 1.0], 0, 0), (2, [3.0e7, 1.00390625], 0, 0)]
     got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(vectors(spark, rows), F.lit(True)).collect()}
