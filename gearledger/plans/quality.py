@@ -151,9 +151,14 @@ def _indexes(t: dict) -> list[DataFrame]:
 def _candidates(t: dict) -> list[DataFrame]:
     candidates = t["candidates"]
     enabled = t["sources"].filter("enabled").select("source_id", F.col("type").alias("_type"))
-    joined = _trusted(candidates.join(enabled, "source_id", "left"), t["domains"], "brand")
-    retail = (F.col("triage") == "retail-product") & ~F.col("duplicate")
+    # Texts are read where they lie: sources and brands are few, so joins by them move and crowd only what their rules need.
     texts = F.concat_ws("\n", *[c for c, k in candidates.dtypes if k == "string"])
+    short = candidates.select(
+        "candidate_id", "source_id", "category", "brand", "url", "status", "triage", "lane", "duplicate", "promotable",
+        texts.rlike(LOCAL_PATH).alias("_local"), (F.coalesce("triage_reason", F.lit("")) == "").alias("_unreasoned"),
+        (F.coalesce("blocker", F.lit("")) == "").alias("_unblocked"))
+    joined = _trusted(short.join(enabled, "source_id", "left"), t["domains"], "brand")
+    retail = (F.col("triage") == "retail-product") & ~F.col("duplicate")
     lane_ok = reduce(lambda a, b: a | b, [(F.col("lane") == lane) & F.col("triage").isin(*kinds) for lane, kinds in LANE_CLASSES.items()])
     official = F.coalesce(F.col("_type") == OFFICIAL, F.lit(False))
     return [
@@ -162,12 +167,12 @@ def _candidates(t: dict) -> list[DataFrame]:
             "candidate-category": ~F.col("category").isin(*CATEGORIES),
             "candidate-source": F.col("_type").isNull(),
             "candidate-url": ~F.startswith(F.coalesce("url", F.lit("")), F.lit("https://")),
-            "local-path": texts.rlike(LOCAL_PATH),
+            "local-path": F.col("_local"),
             "auto-published": F.coalesce(F.col("status") != TO_CHECK, F.lit(True)),
             "wrong-lane": ~lane_ok,
             "promotion-flag": F.col("promotable") != retail,
-            "triage-reason": F.coalesce("triage_reason", F.lit("")) == "",
-            "promotion-blocker": ~retail & (F.coalesce("blocker", F.lit("")) == ""),
+            "triage-reason": F.col("_unreasoned"),
+            "promotion-blocker": ~retail & F.col("_unblocked"),
             "official-domain": official & ~in_domains(F.col("url"), F.col("_domains")),
             "identifier-source": (F.col("lane") == "identifiers") & (F.col("source_id") != "pci-ids"),
         }),

@@ -17,3 +17,17 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+@pytest.fixture
+def moved(spark):
+    """What the exchanges of a plan move where nothing is broadcast: the list of columns of each."""
+    import re
+
+    def columns(df):
+        text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        return [re.findall(r"(\w+)#", line) for line in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)]
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield columns
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

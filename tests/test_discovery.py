@@ -129,3 +129,15 @@ def test_clean_tables_pass_the_gate(spark):
     assert {r.rule for r in validate({"candidates": broken, "sources": sources, "domains": domains}).collect()} == {"candidate-url", "promotion-flag"}
     with pytest.raises(ValueError):
         validate({})
+
+
+def test_candidate_rules_move_no_texts(spark, moved):
+    rows = [("a", "wiki", "p", "C:\\x", "cpu", "AMD", "https://amd.example/a", "false-positive", "rejected", "À vérifier", "r", "b", False, False)]
+    candidates = spark.createDataFrame(rows, """candidate_id string, source_id string, label string, description string, category string, brand string, url string, triage string,
+        lane string, status string, triage_reason string, blocker string, duplicate boolean, promotable boolean""")
+    sources = spark.createDataFrame([("wiki", True, "open")], "source_id string, enabled boolean, type string")
+    domains = spark.createDataFrame([("AMD", "amd.example")], "brand string, domain string")
+    found = validate({"candidates": candidates, "sources": sources, "domains": domains})
+    shuffled = moved(found)
+    assert any("url" in c for c in shuffled) and not any({"label", "description", "triage_reason"} & set(c) for c in shuffled)
+    assert [tuple(r) for r in found.collect()] == [("local-path", "a")]
