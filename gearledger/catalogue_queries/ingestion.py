@@ -86,7 +86,8 @@ SAME_PAIRS = f"SELECT 'a' || component_id AS left_id, 'b' || component_id AS rig
 
 
 def q_match_reason(spark, folder):
-    pairs = shape(spark, folder, PAIRS).unionByName(shape(spark, folder, SAME_PAIRS)).distinct()
+    # Dealt as the join with the left records needs them: one shuffle for both.
+    pairs = shape(spark, folder, PAIRS).unionByName(shape(spark, folder, SAME_PAIRS)).repartition("left_id").distinct()
     return resolution.match_reason(pairs, records(spark, folder))
 
 
