@@ -164,12 +164,13 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 def near_copies(
     docs: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, crowd: int = 2048, least_sample: int = 4096, sample_share: float = 1 / 16,
-    most_common: int = 1 << 20,
+    most_common: int = 1 << 20, distance: int = 2,
 ) -> DataFrame:
     """(text_key, component) of every text of ``docs`` that has a near copy: groups of texts whose sets of word shingles are similar.
 
-    Two texts are linked exactly if the Jaccard value of their distinct shingle hashes is ``similarity`` or more. Fingerprints of such
-    texts differ in too many bits for blocks, so candidates come from a prefix filter: all sets are put in one order, common shingles
+    Two texts are linked exactly if the Jaccard value of their distinct shingle hashes is ``similarity`` or more. Pairs come from their SimHash
+    fingerprints first: those that differ in at most ``distance`` bits, by pivot tables (see ``links``), and texts of one fingerprint. Similar texts
+    can differ in more bits than blocks can enumerate, so the rest comes from a prefix filter: all sets are put in one order, common shingles
     last, and two similar sets share one of their first ``size - ceil(similarity * size) + 1`` shingles. At the first shared one what is
     left of both sets must reach the overlap that their sizes ask for. Any order finds the same pairs; which shingles are common (the
     ``most_common`` most frequent at most) is counted in ``sample_share`` of the texts, so it sharpens as the corpus grows.
@@ -177,8 +178,8 @@ def near_copies(
     A pair is then held against two short sketches. Each bit of a sketch is the parity of the shingles that fall on it, so the sketches differ in no
     more bits than the sets differ in shingles, and similar sets differ in few. Only for pairs that pass are whole sets made and compared.
 
-    Groups don't need all of their pairs: first every text meets two leaders of each of its shingles, the one whose shingles are shared
-    most and the one with the least hash; then all pairs that these links leave in different components are decided. A shingle that
+    Groups don't need all of their pairs: what the fingerprints left in different components meets the two leaders of each of its shingles, the text
+    whose shingles are shared most and the one with the least hash; then all pairs that these links leave apart are decided. A shingle that
     over ``crowd`` texts share is dealt over several tasks. Texts are named by their MD5; a null text is an empty one, and a text without words is in
     a group of its own. Tables belong to ``scratch``, the result reads them.
     """
@@ -205,31 +206,24 @@ def near_copies(
         for frame in (batch.iloc[at:at + 1024] for batch in batches for at in range(0, len(batch), 1024)):
             out = []
             for key, text in zip(frame["text_key"], frame["text"], strict=True):
-                hashes = np.unique(shingle_hashes(text, shingle))
+                every = shingle_hashes(text, shingle)
+                hashes = np.unique(every)
                 size = len(hashes)
                 if not size:
                     continue
                 sketch = parity(hashes)
+                bits = np.uint64(majority(every)).astype(np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                     hashes = hashes[np.argsort(np.where(known[at] == hashes, times[at], 0), kind="stable")]
-                out.append((key, size, hashes[: size - int(np.ceil(similarity * size - 1e-9)) + 1].view("<i8"), sketch))
-            yield pd.DataFrame(out, columns=["text_key", "size", "first", "sketch"])
+                out.append((key, size, hashes[: size - int(np.ceil(similarity * size - 1e-9)) + 1].view("<i8"), sketch, bits))
+            yield pd.DataFrame(out, columns=["text_key", "size", "first", "sketch", "fingerprint"])
 
-    made = texts.mapInPandas(first_ones, "text_key string, size int, first array<bigint>, sketch array<bigint>")
+    made = texts.mapInPandas(first_ones, "text_key string, size int, first array<bigint>, sketch array<bigint>, fingerprint bigint")
     # Copies have equal rows; one of each goes on. The number is written with its row, so it stays.
-    single = made.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("size", "first", "sketch")])
+    single = made.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("size", "first", "sketch", "fingerprint")])
     single = scratch.cut(single.withColumn("node", F.monotonically_increasing_id()))
 
-    # ``rest``: shingles of the set from this one on.
-    rows = single.select("node", "size", F.posexplode("first").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = scratch.cut(rows.join(sizes, "key"))
-    # How much of a text is shared; all rows of a text are dealt together, and are no more than its shingles.
-    shared = scratch.cut(found.withColumn("central", F.sum("n").over(Window.partitionBy("node")) / F.col("size")))
-    scratch.drop(found)
-    scratch.tidy()
-
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             yield pd.DataFrame({"node": frame["node"], "shingles": [np.unique(shingle_hashes(t, shingle)).view("<i8") for t in frame["text"]]})
@@ -261,17 +255,37 @@ def near_copies(
         scratch.tidy()
         return similar
 
+    # SimHash: texts of one fingerprint meet the first of them, the first ones of linked fingerprints meet.
+    prints = scratch.cut(single.groupBy("fingerprint").agg(F.min("node").alias("head")))
+    alike = single.select("node", "fingerprint").join(prints, "fingerprint").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    heads = lambda end: prints.select(F.col("fingerprint").alias(end), F.col("head").alias(f"head_{end}"))
+    linked = links(prints.select("fingerprint"), scratch, distance).distinct().join(heads("a"), "a").join(heads("b"), "b")
+    linked = linked.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    simhashed = verified(alike.unionByName(linked))
+    scratch.tidy()
+    groups = components(simhashed, scratch).withColumnsRenamed({"component": "group"})
+
+    # ``rest``: shingles of the set from this one on.
+    rows = single.select("node", "size", F.posexplode("first").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = scratch.cut(rows.join(sizes, "key"))
+    # How much of a text is shared; all rows of a text are dealt together, and are no more than its shingles.
+    shared = found.withColumn("central", F.sum("n").over(Window.partitionBy("node")) / F.col("size"))
+    shared = scratch.cut(shared.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")))
+    scratch.drop(found)
+    scratch.tidy()
+
     turn = F.xxhash64("node")
     heads = shared.groupBy("key").agg(
-        F.max(F.struct("central", "node", "size", "rest")).alias("most"), F.min(F.struct(turn.alias("turn"), "node", "size", "rest")).alias("least"))
-    heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{h}.{c}").alias(c) for c in ("node", "size", "rest")]) for h in ("most", "least")]))).alias("h"))
-    met = shared.join(heads, "key").filter((F.col("node") != F.col("h.node")) & reach(F.col("size"), F.col("rest"), F.col("h.size"), F.col("h.rest")))
+        F.max(F.struct("central", "node", "size", "rest", "group")).alias("most"), F.min(F.struct(turn.alias("turn"), "node", "size", "rest", "group")).alias("least"))
+    heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{h}.{c}").alias(c) for c in ("node", "size", "rest", "group")]) for h in ("most", "least")]))).alias("h"))
+    met = shared.join(heads, "key").filter((F.col("group") != F.col("h.group")) & reach(F.col("size"), F.col("rest"), F.col("h.size"), F.col("h.rest")))
     met = met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
-    led = verified(met)
+    led = scratch.cut(verified(met).unionByName(simhashed))
 
     # What the leaders left apart: all pairs of a key in different components.
     groups = components(led, scratch).withColumnsRenamed({"component": "group"})
-    apart = shared.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    apart = shared.drop("group").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     open_keys = apart.groupBy("key").agg((F.min("group") < F.max("group")).alias("open")).filter("open").select("key")
     apart = scratch.cut(apart.join(open_keys, "key").select("key", "node", "size", "rest", "group", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
     scratch.drop(shared)

@@ -423,6 +423,24 @@ def jaccard_groups(spark, texts: dict) -> tuple[dict, dict]:
     return same({i: found.get(i, i) for i in texts}), same(top)
 
 
+def test_near_copies_start_from_simhash(spark, monkeypatch):
+    real, asked = simhash.links, []
+
+    def seen(distinct, scratch, distance):
+        found = scratch.cut(real(distinct, scratch, distance))
+        asked.append((distinct.count(), distance, found.count()))
+        return found
+
+    monkeypatch.setattr(simhash, "links", seen)
+    base = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(["start", *base]), " ".join(f"v{i}" for i in range(50)), "", None]
+    found = {r.text_key: r.component for r in simhash.near_copies(frame(spark, list(enumerate(texts))), Scratch(spark)).collect()}
+    keys = [hashlib.md5(t.encode()).hexdigest() for t in texts[:3]]
+    assert found == dict.fromkeys(keys, min(keys))
+    # Four texts with words; those of the first three that don't share a fingerprint are linked by it.
+    assert len(asked) == 1 and 2 <= asked[0][0] <= 4 and asked[0][1] == 2 and asked[0][2] >= asked[0][0] - 2
+
+
 def test_near_copies_of_a_star(spark):
     import random
 
