@@ -571,7 +571,7 @@ def test_substrings_equal_brute_force(spark, cases, crowd):
 def test_every_operator_has_a_query():
     from gearledger.llm.queries import ORACLES, QUERIES
 
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_pipeline(spark, tmp_path):
