@@ -162,6 +162,22 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def among(rows: DataFrame, wanted: DataFrame, key: str, slots_each: int = 16, most_slots: int = 1 << 27) -> DataFrame:
+    """``rows`` without most of those whose ``key`` (not null) is none of ``wanted``, found where they lie; all others stay.
+
+    Tasks get a bit per slot of the key's hash, ``slots_each`` times the wanted rows, but ``most_slots`` (16 MB) at most. Beyond that more rows stay.
+    """
+    slots = max(1, min(most_slots, slots_each * wanted.count()))
+    slot = F.pmod(F.xxhash64(key), F.lit(slots).cast("bigint"))
+    asked = wanted.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("at")).repartition("bucket")
+    bitmaps = asked.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bitmap"))
+    # Eight slots a byte, the first one lowest.
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(at, 3).cast("int") + 1, 1)), 16, 10).cast("int")
+    held = rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "bucket")
+    return held.filter(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
 def near_copies(
     docs: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, crowd: int = 2048, least_sample: int = 4096, sample_share: float = 1 / 16,
     most_common: int = 1 << 20, distance: int = 2,
@@ -226,7 +242,8 @@ def near_copies(
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            yield pd.DataFrame({"node": frame["node"], "shingles": [np.unique(shingle_hashes(t, shingle)).view("<i8") for t in frame["text"]]})
+            sets = [np.unique(shingle_hashes(t, shingle)).view("<i8") for t in frame["text"]]
+            yield pd.DataFrame({"node": frame["node"], "homes": frame["homes"], "shingles": sets})
 
     def reach(size_a: Column, rest_a: Column, size_b: Column, rest_b: Column) -> Column:
         """Can two sets still be similar if a shingle with so many from it on is the first that they share?"""
@@ -244,14 +261,23 @@ def near_copies(
         near = with_ends(pairs, short).filter(apart <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
         likely = scratch.cut(near.select("a", "b"))
         scratch.tidy()
-        # Written, so that their size is known: where the ends are few, no text is shuffled to find theirs.
-        ends = scratch.cut(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(single.select("node", "text_key"), "node"))
-        one = texts.join(ends, "text_key").select("node", "text").dropDuplicates(["node"])
-        sets = scratch.cut(one.mapInPandas(hashed, "node bigint, shingles array<bigint>"))
-        both = with_ends(likely, sets).withColumn("both", F.size(F.array_intersect("shingles_a", "shingles_b")))
-        either = F.size("shingles_a") + F.size("shingles_b") - F.col("both")
-        similar = scratch.cut(both.filter(F.col("both") / either >= similarity).select("a", "b"))
-        scratch.drop(sets, likely, ends)
+        # Of each pair one end goes to the other, the one that is in fewer pairs: a text that many are held against stays where it is.
+        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("pairs"))
+        ends = scratch.cut(ends.join(single.select("node", "text_key"), "node"))
+        a, b = (F.struct(F.col(f"pairs_{end}").alias("pairs"), F.col(end).alias("node"), F.col(f"text_key_{end}").alias("text_key")) for end in ("a", "b"))
+        met = with_ends(likely, ends).select(F.greatest(a, b).alias("home"), F.explode(F.array(a, b)).alias("end"))
+        asked = scratch.cut(met.groupBy("end.node", "end.text_key").agg(F.collect_set("home.node").alias("homes")))
+        # One row of each text that is asked for is moved, once; then sets go to their homes.
+        one = among(texts, asked, "text_key").dropDuplicates(["text_key"]).join(asked, "text_key").select("node", "homes", "text")
+        sets = scratch.cut(one.mapInPandas(hashed, "node bigint, homes array<bigint>, shingles array<bigint>"))
+        scratch.tidy()
+        own = sets.filter(F.array_contains("homes", F.col("node"))).select(F.col("node").alias("home"), F.col("shingles").alias("held"))
+        guests = sets.select("node", F.explode("homes").alias("home"), "shingles").filter("node <> home")
+        both = guests.join(own, "home").withColumn("both", F.size(F.array_intersect("shingles", "held")))
+        either = F.size("shingles") + F.size("held") - F.col("both")
+        similar = both.filter(F.col("both") / either >= similarity).select(F.least("node", "home").alias("a"), F.greatest("node", "home").alias("b"))
+        similar = scratch.cut(similar)
+        scratch.drop(sets, asked, likely, ends)
         scratch.tidy()
         return similar
 
@@ -269,6 +295,7 @@ def near_copies(
     rows = single.select("node", "size", F.posexplode("first").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = scratch.cut(rows.join(sizes, "key"))
+    scratch.tidy()
     # How much of a text is shared; all rows of a text are dealt together, and are no more than its shingles.
     shared = found.withColumn("central", F.sum("n").over(Window.partitionBy("node")) / F.col("size"))
     shared = scratch.cut(shared.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")))

@@ -441,6 +441,35 @@ def test_near_copies_start_from_simhash(spark, monkeypatch):
     assert len(asked) == 1 and 2 <= asked[0][0] <= 4 and asked[0][1] == 2 and asked[0][2] >= asked[0][0] - 2
 
 
+def test_near_copies_move_few_texts_once(spark, moved, monkeypatch):
+    plans, real = [], Scratch.cut
+
+    def seen(self, df):
+        plans.append((df.columns, moved(df)))
+        return real(self, df)
+
+    monkeypatch.setattr(Scratch, "cut", seen)
+    base = words(300, 80).split()
+    texts = {i: " ".join([*base[:200 + i], "changed", *base[201 + i:]]) for i in range(12)} | {20 + i: words(300, 90 + i) for i in range(12)}
+    got, want = jaccard_groups(spark, texts)
+    assert got == want and len(want[0]) == 12
+    named = lambda plan, names: sum(any(c.startswith(names) for c in exchange) for exchange in plan)
+    # A text to its key, a set to where it is compared and the one that it is compared with.
+    assert {sum("text" in e or "first" in e for e in p) for columns, p in plans if "shingles" in columns} == {1}
+    assert max(named(p, ("shingles", "held")) for _, p in plans) == 2
+
+
+@pytest.mark.parametrize(("slots_each", "most_slots"), [(16, 1 << 27), (64, 1 << 27), (16, 7), (16, 1)])
+def test_rows_among_others(spark, slots_each, most_slots):
+    rows = spark.range(20000).withColumn("key", F.md5(F.col("id").cast("string")))
+    found = simhash.among(rows, rows.filter("id % 7 = 0"), "key", slots_each, most_slots)
+    ids = [r.id for r in found.collect()]
+    assert found.columns == rows.columns and len(ids) == len(set(ids)) and set(ids) >= set(range(0, 20000, 7))
+    # Others stay as often as a slot is taken.
+    assert len(ids) < 20000 / 7 + 20000 * 2 / slots_each or most_slots < 16
+    assert simhash.among(rows, rows.filter("false"), "key").count() == 0
+
+
 def test_near_copies_of_a_star(spark):
     import random
 
