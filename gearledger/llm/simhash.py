@@ -110,9 +110,11 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = 2, pivots: int
         fixed = [b for k in pair for b in parts[k]]
         choices.append((i, fixed, [b for b in range(BITS) if b not in fixed]))
 
-    def keyed(frame: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("bits")) for i, m in masks])
-        return frame.select("fingerprint", F.explode(keys).alias("k")).select("fingerprint", "k.choice", "k.bits")
+    def keys(masks: list[tuple[int, int]]) -> Column:
+        return F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("bits")) for i, m in masks])
+
+    def keyed(frame: DataFrame, each: Column) -> DataFrame:
+        return frame.select("fingerprint", F.explode(each).alias("k")).select("fingerprint", "k.choice", "k.bits")
 
     def met(rows: DataFrame) -> DataFrame:
         """Pairs of one key that the tables don't discard, verified."""
@@ -123,16 +125,17 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = 2, pivots: int
         on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fingerprint") < F.col("b.fingerprint"))
         return a.join(b, on & within & verified).select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"))
 
-    rows = keyed(distinct, [(i, _mask(fixed)) for i, fixed, _ in choices])
+    rows = keyed(distinct, keys([(i, _mask(fixed)) for i, fixed, _ in choices]))
     sizes = rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n"))
     shared = scratch.cut(rows.join(sizes.filter("n > 1"), ["choice", "bits"]))
-    found = met(shared.filter(F.col("n") <= crowd))
+    # One join for all keys, so the plan and its tasks, which the driver keeps, don't multiply with the choices.
+    each = F.when(F.col("n") <= crowd, F.array(F.struct("choice", "bits")))
     for i, fixed, free in choices:
         # Within one key of this choice only the free bits can differ, so the same cut applies to them.
         finer = _blocks(free, distance + 2)
-        masks = [(100 * (i + 1) + j, _mask([*fixed, *(b for k in pair for b in finer[k])])) for j, pair in enumerate(combinations(range(distance + 2), 2))]
-        found = found.unionByName(met(keyed(shared.filter((F.col("n") > crowd) & (F.col("choice") == i)), masks)))
-    return found
+        each = each.when(
+            F.col("choice") == i, keys([(100 * (i + 1) + j, _mask([*fixed, *(b for k in pair for b in finer[k])])) for j, pair in enumerate(combinations(range(distance + 2), 2))]))
+    return met(keyed(shared, each))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, pivots: int = 64, crowd: int = 2048) -> DataFrame:
@@ -261,6 +264,8 @@ def near_copies(
         near = with_ends(pairs, short).filter(apart <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
         likely = scratch.cut(near.select("a", "b"))
         scratch.tidy()
+        if likely.isEmpty():
+            return likely
         # Of each pair one end goes to the other, the one that is in fewer pairs: a text that many are held against stays where it is.
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("pairs"))
         ends = scratch.cut(ends.join(single.select("node", "text_key"), "node"))
@@ -290,6 +295,8 @@ def near_copies(
     simhashed = verified(alike.unionByName(linked))
     scratch.tidy()
     groups = components(simhashed, scratch).withColumnsRenamed({"component": "group"})
+    # A group goes on as its star: its links are not gone over again.
+    stars = lambda: groups.select(F.col("node").alias("a"), F.col("group").alias("b"))
 
     # ``rest``: shingles of the set from this one on.
     rows = single.select("node", "size", F.posexplode("first").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"))
@@ -308,10 +315,10 @@ def near_copies(
     heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{h}.{c}").alias(c) for c in ("node", "size", "rest", "group")]) for h in ("most", "least")]))).alias("h"))
     met = shared.join(heads, "key").filter((F.col("group") != F.col("h.group")) & reach(F.col("size"), F.col("rest"), F.col("h.size"), F.col("h.rest")))
     met = met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
-    led = scratch.cut(verified(met).unionByName(simhashed))
 
     # What the leaders left apart: all pairs of a key in different components.
-    groups = components(led, scratch).withColumnsRenamed({"component": "group"})
+    groups = components(verified(met).unionByName(stars()), scratch).withColumnsRenamed({"component": "group"})
+    scratch.tidy()
     apart = shared.drop("group").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     open_keys = apart.groupBy("key").agg((F.min("group") < F.max("group")).alias("open")).filter("open").select("key")
     apart = scratch.cut(apart.join(open_keys, "key").select("key", "node", "size", "rest", "group", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
@@ -323,7 +330,7 @@ def near_copies(
     left = verified(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
     scratch.drop(apart)
 
-    found = components(led.unionByName(left), scratch)
+    found = components(left.unionByName(stars()), scratch)
     named = found.join(single.select("node", "text_key"), "node")
     names = named.groupBy("component").agg(F.min("text_key").alias("name"))
     return named.join(names, "component").select("text_key", F.col("name").alias("component"))

@@ -413,6 +413,23 @@ def test_near_copies_leave_one(spark, cases):
     assert simhash.one_of_each(frame(spark, [])).count() == 0
 
 
+def test_links_meet_in_one_join(spark):
+    # One join per choice made 7 copies of the widest plan, which the driver keeps while it runs.
+    distinct = spark.createDataFrame([(i, i) for i in range(9)], "fingerprint bigint, first_doc bigint")
+    plan = simhash.links(distinct, Scratch(spark), crowd=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin ", plan)) == 1
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    written, real = [], Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df: written.append(df) or real(self, df))
+    found = lambda edges: {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert found([]) == {} and found([(3, 3), (None, 4)]) == {} and len(written) == 2
+    assert found([(5, 1), (1, 7), (9, 2), (9, 2)]) == {1: 1, 5: 1, 7: 1, 2: 2, 9: 2} and len(written) == 3
+    assert found([(i, i + 1) for i in range(40)]) == dict.fromkeys(range(41), 0)
+    assert found([(1, 4), (2, 4)]) == dict.fromkeys((1, 2, 4), 1)
+
+
 def jaccard_groups(spark, texts: dict) -> tuple[dict, dict]:
     """Groups that near_copies finds, and those of brute force, each as text number -> set of its group."""
     sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
