@@ -266,3 +266,16 @@ def test_tasks_grow_with_the_pages_and_rows(spark, monkeypatch):
     raw = spark.createDataFrame([(str(i), "psu", 0, "Max. Power", f"{400 + i} W", "spec-table") for i in range(60)],
                                 "candidate_id string, category string, row_no int, field string, value string, method string")
     assert parts(normalize_specs(raw)) > 4
+
+
+def test_summary_query_gives_every_section(spark, tmp_path):
+    """Values by confidence are part of the summary, zeros included."""
+    from gearledger.catalogue_queries.specs import QUERIES
+
+    parts = [(5 * i, f"part {i}", "Brand#1", "TYPE", i, 1.0) for i in range(1, 9)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    rows = {(r.section, r.name): (r.records, r["values"]) for r in QUERIES["spec_summary"](spark, str(tmp_path)).collect()}
+    levels = {n: v for (section, n), (_records, v) in rows.items() if section == "confidence"}
+    assert set(levels) == {"high", "medium", "low"} and levels["low"] == 0 and levels["high"] > 0 and levels["medium"] > 0
+    assert sum(levels.values()) == rows["total", "normalized"][1] == rows["category", "motherboard"][1]
+    assert rows["category", "motherboard"][0] == 8 and rows["category", "psu"] == (0, 0)
