@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gearledger.catalogue_queries.shapes import COMPONENTS, PRODUCTS, SPEC_COLUMNS, fold_sql, plain_sql, products, round_sql, shape, spread
+from gearledger.catalogue_queries.shapes import COMPONENTS, PRODUCTS, SPEC_COLUMNS, dealt, fold_sql, plain_sql, products, round_sql, shape, spread
 from gearledger.functions.identity import codes, identity_hash
 from gearledger.functions.specs import SPEC, number_spec, spec_map, text_spec
 from gearledger.functions.text import fold_text
@@ -142,7 +142,7 @@ def q_prefix_numbers(spark, folder):
 
 
 def curated(spark, folder):
-    return products(spark, folder).withColumns({
+    return products(spark, folder, part=dealt(spark, folder, "part", "p_partkey")).withColumns({
         "product_id": F.col("product_id").cast("string"), "confidence": F.when(F.col("year") > 2020, "Bonne").when(F.col("year") > 2014, "Moyenne").otherwise("Faible"),
         "notes": F.concat(F.lit("note "), "name"), "usage": F.lit(""), "source": F.lit("https://maker.example/p"),
     })
@@ -175,7 +175,8 @@ def open_files(spark, folder):
         F.array(F.lit("HDMI"), F.lit("DP")).alias("connectors"),
         F.struct(F.lit("https://maker.example/x").alias("manufacturer_url"), F.lit("DROP").alias("amazon_sku")).alias("general_product_information"),
     ))
-    return rows.select("folder", F.col("digits").alias("file_id"), F.try_parse_json(text).alias("data"))
+    # Out of an array: a rule over the files is then not pushed in front of the dealing, and each text is made and parsed once, not once per use.
+    return rows.select("folder", F.col("digits").alias("file_id"), F.explode(F.array(F.try_parse_json(text))).alias("data"))
 
 
 def q_validate_open_db(spark, folder):

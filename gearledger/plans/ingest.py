@@ -19,9 +19,9 @@ from gearledger.functions import scores
 from gearledger.functions.specs import SPEC_MAP, boolean_spec, spec_map, text_spec
 from gearledger.functions.text import fold_text
 from gearledger.operators.ranking import first_wins, latest, with_position
-from gearledger.operators.resolution import BEFORE_BATCH, resolve_entities
+from gearledger.operators.resolution import BEFORE_BATCH, resolve_rows
 from gearledger.operators.survivorship import SPEC_PREFIX, survive, union_part_numbers
-from gearledger.session import Scratch, cut_lineage
+from gearledger.session import Scratch
 
 TABLES = ("components", "fields", "sources", "identifiers")
 
@@ -76,12 +76,20 @@ def assemble(fields: DataFrame) -> DataFrame:
     }).drop("media")
 
 
-def with_arrival(records: DataFrame, scratch: Scratch) -> DataFrame:
-    """Number the records of a batch in reading order.
+def with_components(records: DataFrame, catalog: CatalogTables | None, scratch: Scratch) -> DataFrame:
+    """The records of a batch as a table, numbered in reading order (``arrival``), with the component each feeds and whether it founds it.
 
-    They are written first: sampling their order would read and normalise them all a second time.
+    They are written first: sampling their order would read and normalise them all a second time. Only what orders and resolves them is
+    numbered and moved; a whole record moves once, to its component.
     """
-    return with_position(scratch.cut(records), ["read_order", "record_id"], "arrival", cut=scratch.cut)
+    stored = scratch.cut(records.withColumn("_line", F.monotonically_increasing_id()))
+    order = scratch.cut(with_position(stored.select("read_order", "record_id", "_line"), ["read_order", "record_id"], "arrival", cut=scratch.cut).select("_line", "arrival"))
+    keys = stored.select("_line", "record_id", "source_key", "source_record_id", "category", "identity_hash", "codes").join(order, "_line")
+    assigned = resolve_rows(
+        keys, catalog.sources if catalog else None, catalog.identifiers if catalog else None, catalog.components if catalog else None, scratch)
+    batch = scratch.cut(stored.join(order.join(assigned.drop("record_id"), "arrival"), "_line").drop("_line"))
+    scratch.drop(stored, order, assigned)
+    return batch
 
 
 #: What makes a row of each table the same one: a change replaces all rows of its keys.
@@ -96,12 +104,17 @@ def ingest(records: DataFrame, catalog: CatalogTables | None, seen_at: str) -> t
     The tables are plans over the old ones; nothing is stored.
     """
     changed, outcomes = changes(records, catalog, seen_at)
+    return overlaid(catalog, changed), outcomes
+
+
+def overlaid(catalog: CatalogTables | None, changed: CatalogTables) -> CatalogTables:
+    """The tables with all rows of the changed keys replaced."""
     if catalog is None:
-        return changed, outcomes
+        return changed
     return CatalogTables(**{
         name: table.join(getattr(changed, name).select(*KEYS[name]).distinct(), list(KEYS[name]), "left_anti").unionByName(getattr(changed, name))
         for name, table in catalog.as_dict().items()
-    }), outcomes
+    })
 
 
 def changes(records: DataFrame, catalog: CatalogTables | None, seen_at: str, scratch: Scratch | None = None) -> tuple[CatalogTables, DataFrame]:
@@ -110,14 +123,7 @@ def changes(records: DataFrame, catalog: CatalogTables | None, seen_at: str, scr
     Tables written on the way belong to ``scratch``; the results read them.
     """
     scratch = scratch or Scratch(records.sparkSession)
-    numbered = with_arrival(records, scratch)
-    assigned = resolve_entities(
-        numbered,
-        catalog.sources if catalog else None, catalog.identifiers if catalog else None,
-        catalog.components if catalog else None, scratch,
-    )
-    batch = scratch.cut(numbered.join(assigned, "record_id"))
-
+    batch = with_components(records, catalog, scratch)
     touched = batch.select("component_id").distinct()
     fields = incoming_fields(batch)
     if catalog:
@@ -206,10 +212,16 @@ def repeatable(records: DataFrame) -> DataFrame:
 
 
 def sync(spark: SparkSession, waves: list[DataFrame], catalog: CatalogTables | None, seen_at: str) -> tuple[CatalogTables, DataFrame]:
-    """Waves of sources one after the other (curated, open database, export), each on what the former left."""
+    """Waves of sources one after the other (curated, open database, export), each on what the former left.
+
+    A wave writes what it changes and its outcomes; the tables are plans over what the waves wrote. Everything else goes with the wave.
+    """
     outcomes = None
     for wave in waves:
-        catalog, done = ingest(wave, catalog, seen_at)
-        catalog = CatalogTables(**{n: cut_lineage(t) for n, t in catalog.as_dict().items()})
+        with Scratch(spark) as scratch:
+            changed, done = changes(wave, catalog, seen_at, scratch)
+            changed = CatalogTables(**{n: scratch.keep(t) for n, t in changed.as_dict().items()})
+            done = scratch.keep(done)
+        catalog = overlaid(catalog, changed)
         outcomes = done if outcomes is None else outcomes.unionByName(done)
     return catalog, outcomes

@@ -325,3 +325,43 @@ def test_rows_of_one_file_are_dealt_over_tasks(spark, tmp_path):
     spark.createDataFrame(rows, "k int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     found = spread(spark, str(tmp_path), "SELECT k FROM {part}", "part", "k", 10).withColumn("task", F.spark_partition_id()).collect()
     assert sorted(map(str, (r.k for r in found))) == sorted(str(k) for k, in rows) and len({r.task for r in found}) > 4
+
+
+PART = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+
+
+def test_files_are_read_after_they_are_dealt(spark, tmp_path):
+    """One file may hold all parts: no rule over the texts may run in the task that reads it, and curated rows are made in many tasks."""
+    from gearledger.catalogue_queries.ingestion import curated, open_files
+    from gearledger.plans.normalize import validate_open_db
+
+    parts = spark.range(20_000).selectExpr("id", "concat('part ', id % 60)", "concat('Brand#', id % 25)", "'TYPE'", "cast(id % 50 + 1 as int)", "1.0D").toDF(
+        *[c.split()[0] for c in PART.split(", ")])
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert curated(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    plan = validate_open_db(open_files(spark, str(tmp_path)))[0]._jdf.queryExecution().optimizedPlan().toString()
+    before, dealing, after = plan.partition("RepartitionByExpression")
+    assert dealing and "Filter" in before and "Filter" not in after
+
+
+def test_waves_leave_what_they_change(spark, three_waves):
+    """Four tables and the outcomes of each wave stay; a wave doesn't write again what the former left."""
+    from pathlib import Path
+
+    from gearledger.session import ensure_checkpoint_dir
+
+    root = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    tables, outcomes = sync(spark, three_waves, None, "2024-01-01")
+    assert len(set(root.iterdir()) - before) == 5 * len(three_waves)
+    ids = [r.component_id for r in tables.components.select("component_id").collect()]
+    assert len(ids) == len(set(ids)) == tables.components.count() and outcomes.filter("outcome = 'created'").count() == len(ids)
+
+
+def test_a_record_that_comes_twice_in_a_wave(spark, three_waves):
+    """The second feeds the component that the first founds; the search for components ends."""
+    twice = three_waves[0].unionByName(three_waves[0])
+    tables, outcomes = sync(spark, [twice], None, "2024-01-01")
+    once, _ = sync(spark, [three_waves[0]], None, "2024-01-01")
+    assert {r.component_id for r in tables.components.collect()} == {r.component_id for r in once.components.collect()}
+    assert outcomes.count() == 2 * three_waves[0].count()
